@@ -6,6 +6,8 @@ import importlib
 
 #: query name: module in this subpackage; each has query(spark, sf_dir) and, where SQL can express it, SQL.
 MODULES = {
+    "op1_secrets": "secrets",
+    "op5_decontaminate": "decontaminate",
     "op2_pii": "pii",
     "op10_exact_dedup": "exact_dedup",
 }
