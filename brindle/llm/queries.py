@@ -6,6 +6,7 @@ import importlib
 
 #: query name: module in this subpackage; each has query(spark, sf_dir) and, where SQL can express it, SQL.
 MODULES = {
+    "op3_line_dedup": "line_dedup",
     "op6_near_dedup": "near_dedup",
     "op7_html_text": "html_text",
     "op4_chat": "chat",
