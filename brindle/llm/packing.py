@@ -33,6 +33,8 @@ BLOCK = 1 << 19
 #: Words whose ids a worker remembers (some 150 MB); the rest are encoded each time.
 MEMORY = 600_000
 STOPS = frozenset(".,!?:;")
+#: White space other than the space and the line feed.
+SPACES = "\t\v\f\r\x85\xa0\u1680\u2000\u2001\u2002\u2003\u2004\u2005\u2006\u2007\u2008\u2009\u200a\u2028\u2029\u202f\u205f\u3000"
 
 
 def tokenizer_path(name: str = "byte_bpe_50k.json") -> str:
@@ -67,6 +69,7 @@ class Encoder:
         self.lib = Tokenizer.from_file(path)
         self.special = [t.content for t in self.lib.get_added_tokens_decoder().values()]
         encode = lambda text: array("I", self.whole(text)).tobytes()
+        self.odd = ("  ", "\n\n", " \n", "\n ", *SPACES, *self.special)
         self.marks = {m: encode(m) for m in STOPS}
         known = lambda text: self.marks.get(text) or encode(text)
         self.first, self.inner = Words(known, "", memory // 4), Words(known, " ", memory)
@@ -76,8 +79,7 @@ class Encoder:
         return self.lib.encode(text, add_special_tokens=False).ids
 
     def regular(self, text: str) -> bool:
-        odd = ("  ", "\n\n", " \n", "\n ", "\t", "\r", *self.special)
-        return not (text[0].isspace() or text[-1].isspace() or any(s in text for s in odd))
+        return not (text[0].isspace() or text[-1].isspace() or any(s in text for s in self.odd))
 
     def encode(self, text: str) -> tuple[array, list[int], list[int]]:
         """Ids, then the places of sentence ends and of other cuts between words (ascending, 0 < place < len)."""
@@ -174,14 +176,14 @@ class Packer:
         return self._pack(True) if self.docs else []
 
     def _pack(self, last: bool) -> list[tuple]:
-        places, penalties, at = [0], [0], 0
+        places, penalties, at, step = [0], [0], 0, min(4 * EVERY, self.window)
         for _, ids, start, ends, cuts in self.docs:
             inner = [(e, SENTENCE) for e in ends if e > start] + [(c, WORD) for c in cuts if c > start]
             inner.sort()
             inner.append((len(ids), 0))
             prior = start
             for place, penalty in inner:
-                for run in range(prior + EVERY * 4, place, EVERY * 4):
+                for run in range(prior + step, place, step):
                     places.append(at + run - start)
                     penalties.append(RUN)
                 places.append(at + place - start)
