@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from brindle.functions import text as T
@@ -95,12 +95,7 @@ def area_map(node_table: DataFrame, area: str) -> DataFrame:
 
 def stats(node_table: DataFrame, edge_table: DataFrame) -> DataFrame:
     """One row: nodes, edges (pairs), areas."""
-    n = node_table.agg(F.count(F.lit(1)).alias("nodes"), F.countDistinct(F.nullif("area", F.lit(""))).alias("areas"))
-    e = edge_table.where("src < dst").agg(F.count(F.lit(1)).alias("edges"))
-    return n.join(F.broadcast(e))  # one row each
-
-
-def first_of(df: DataFrame, group: str, *order: str) -> DataFrame:
-    """First row of each group by an order."""
-    w = Window.partitionBy(group).orderBy(*order)
-    return df.withColumn("_n", F.row_number().over(w)).where("_n = 1").drop("_n")
+    none = F.lit(0).cast("long")
+    n = node_table.agg(F.count(F.lit(1)).alias("nodes"), F.countDistinct(F.nullif("area", F.lit(""))).alias("areas")).withColumn("edges", none)
+    e = edge_table.where("src < dst").agg(F.count(F.lit(1)).alias("edges")).select(none.alias("nodes"), none.alias("areas"), "edges")
+    return n.union(e).agg(*[F.max(c).alias(c) for c in ("nodes", "areas", "edges")])

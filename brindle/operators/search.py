@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from brindle.functions import text as T
@@ -56,25 +56,36 @@ def tfidf_index(docs: DataFrame, id_col: str = "id", text_col: str = "text") ->
     return raw.join(norm, "doc_id").select("doc_id", "term", (F.col("w") / F.when(F.col("norm") == 0, 1.0).otherwise(F.col("norm"))).alias("weight")), idf
 
 
-def tfidf_search(docs: DataFrame, query: str, k: int = 5, id_col: str = "id", text_col: str = "text", type_col: str | None = None, type_is: str | None = None, least: float = SPARSE_LEAST) -> DataFrame:
-    """doc_id and score of the best documents by cosine; ties by id. The threshold is on the exact score, the order on the rounded one.
+def query_index(postings: DataFrame, idf: DataFrame, query: str, k: int = 5, least: float = SPARSE_LEAST, among: DataFrame | None = None) -> DataFrame:
+    """doc_id and score of the best documents of a (stored) index by cosine; ties by id.
 
-    Only the query's terms are joined to the weights; the other terms enter through each document's norm,
-    a map-side sum, so nothing but (document, term) counts is shuffled.
+    The threshold is on the exact score, the order on the rounded one. Only the postings of the query's terms
+    are read on; stored by term, other files are skipped. `among` (doc_id) restricts the documents before scoring.
+    A query without known terms has no hits.
     """
-    spark = docs.sparkSession
-    wanted = spark.range(1).select(F.explode(T.terms(F.lit(query))).alias("term")).groupBy("term").agg(F.count(F.lit(1)).alias("qtf"))
-    postings, idf = tfidf_index(docs, id_col, text_col)
-    q = wanted.join(idf, "term").select("term", (F.col("qtf") * F.col("idf")).alias("qw"))
+    wanted = postings.sparkSession.range(1).select(F.explode(T.terms(F.lit(query))).alias("term")).groupBy("term").agg(F.count(F.lit(1)).alias("qtf"))
+    q = wanted.join(idf, "term").select("term", (F.col("qtf") * F.col("idf")).alias("w"))
+    norm = F.sqrt(F.sum(F.col("w") * F.col("w")).over(Window.partitionBy(F.lit(0))))  # over the query's few words
+    q = q.select("term", (F.col("w") / norm).alias("qw"))
     hits = postings.join(F.broadcast(q), "term")  # as many rows as the query has words
-    scored = hits.groupBy("doc_id").agg((F.sum(F.col("weight") * F.col("qw"))).alias("dot"))
-    norm = q.agg(F.sqrt(F.sum(F.col("qw") * F.col("qw"))).alias("qn"))
-    scored = scored.join(F.broadcast(norm)).select("doc_id", (F.col("dot") / F.col("qn")).alias("exact"))  # norm is one row
-    if type_is is not None:
-        scored = scored.join(docs.where(F.col(type_col) == type_is).select(F.col(id_col).alias("doc_id")), "doc_id", "left_semi")
+    if among is not None:
+        hits = hits.join(among, "doc_id", "left_semi")
+    scored = hits.groupBy("doc_id").agg(F.sum(F.col("weight") * F.col("qw")).alias("exact"))
     return scored.where(F.col("exact") >= least).select("doc_id", F.round("exact", 4).alias("score")).orderBy(F.desc("score"), "doc_id").limit(k)
 
 
+def tfidf_search(docs: DataFrame, query: str, k: int = 5, id_col: str = "id", text_col: str = "text", type_col: str | None = None, type_is: str | None = None, least: float = SPARSE_LEAST) -> DataFrame:
+    """query_index over an index built on the fly, with an optional type filter."""
+    among = None if type_is is None else docs.where(F.col(type_col) == type_is).select(F.col(id_col).alias("doc_id"))
+    return query_index(*tfidf_index(docs, id_col, text_col), query, k, least, among)
+
+
+def write_index(postings: DataFrame, idf: DataFrame, path: str) -> None:
+    """Stores an index; postings in order of term, so that a query's terms reach few row groups."""
+    postings.repartitionByRange("term").sortWithinPartitions("term").write.mode("overwrite").parquet(f"{path}/postings")
+    idf.write.mode("overwrite").parquet(f"{path}/terms")
+
+
 def cosine(a: Column, b: Column) -> Column:
     dot = lambda x, y: F.aggregate(F.zip_with(x, y, lambda u, v: u.cast("double") * v.cast("double")), F.lit(0.0), lambda s, z: s + z)
     return dot(a, b) / F.sqrt(dot(a, a) * dot(b, b))
