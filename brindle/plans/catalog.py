@@ -226,8 +226,8 @@ e AS (SELECT src, dst FROM one UNION SELECT dst, src FROM one)"""
 
 
 def _graph(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
-    n = graph.nodes(**{k: df.drop("replaces") for k, df in objects(spark, sf_dir).items()})
-    return n, graph.edges(n)
+    n = graph.nodes(**{k: df.drop("replaces") for k, df in objects(spark, sf_dir).items()}).persist()
+    return n, graph.edges(n).persist()  # each hop and each fallback reads them again
 
 
 @registered(f"WITH {TOKENS_SQL} SELECT name, type, list_sort(list(tok)) AS tokens FROM t GROUP BY name, type")
