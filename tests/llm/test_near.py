@@ -108,7 +108,7 @@ def test_probability_jaccard():
     assert (signed[0] == signed[1]).mean() == pytest.approx(plain, abs=0.03)
 
 
-START = regex.compile(r"(?=[\p{L}\p{N}])(?<![\p{L}\p{N}])(?=(.{1,10}))")
+START = regex.compile(r"(?:^|(?<= ))(?=(\S{10,}|.{1,10}))")
 
 
 def test_line_dedup_matches_brute_force(spark):

@@ -12,7 +12,7 @@ import __spark_entry__ as entry
 import corpus_pipeline
 from brindle.llm import decontaminate, line_dedup, near_dedup, packing, quality
 
-START = regex.compile(r"(?=[\p{L}\p{N}])(?<![\p{L}\p{N}])(?=(.{1,10}))")
+START = regex.compile(r"(?:^|(?<= ))(?=(\S{10,}|.{1,10}))")
 
 
 def classes(keys, alike):
