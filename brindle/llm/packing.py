@@ -14,6 +14,7 @@ import zlib
 from array import array
 from collections import deque
 from collections.abc import Iterator
+from functools import cache
 
 import numpy as np
 import pyarrow as pa
@@ -30,8 +31,10 @@ SENTENCE, WORD, RUN = 8, 24, 256
 EVERY = 64
 #: Ids that are packed at once; bounds the memory of a task whatever the partition holds.
 BLOCK = 1 << 19
-#: Words whose ids a worker remembers (some 150 MB); the rest are encoded each time.
+#: Words whose ids a worker remembers (some 150 MB), over all its tasks; when they would be more, it starts anew.
 MEMORY = 600_000
+#: Unseen words that are encoded in one call.
+CHUNK = 8192
 STOPS = frozenset(".,!?:;")
 #: White space other than the space and the line feed.
 SPACES = "\t\v\f\r\x85\xa0\u1680\u2000\u2001\u2002\u2003\u2004\u2005\u2006\u2007\u2008\u2009\u200a\u2028\u2029\u202f\u205f\u3000"
@@ -74,6 +77,29 @@ class Encoder:
         known = lambda text: self.marks.get(text) or encode(text)
         self.first, self.inner = Words(known, "", memory // 4), Words(known, " ", memory)
         self.newline = encode("\n")
+        vocab = self.lib.get_vocab()
+        self.spaced = np.zeros(max(vocab.values()) + 1, dtype=bool)  # ids of tokens that begin with a space
+        self.spaced[[i for token, i in vocab.items() if token[0] == "\u0120"]] = True
+
+    def learn(self, texts: list[str]) -> None:
+        """Remembers the unseen words of many texts. They are encoded in long runs, joined by spaces: only the
+        first token of a word begins with a space. What this leaves out is encoded when it is met."""
+        new = set()
+        for text in texts:
+            if text and self.regular(text):
+                new.update(text.replace("\n", " ").split(" "))
+        new = {w[:-1] if w[-1:] in STOPS and w[-2:-1].isalnum() else w for w in new if w}
+        inner = self.inner
+        if len(inner) + len(new) > inner.memory and len(inner) + len(new.difference(inner)) > inner.memory:
+            inner.clear()
+        words = list(new.difference(inner, STOPS))[: inner.memory - len(inner)]
+        for k in range(0, len(words), CHUNK):
+            part = words[k : k + CHUNK]
+            ids = np.array(self.lib.encode_batch_fast([" " + " ".join(part)], add_special_tokens=False)[0].ids, dtype="<u4")
+            starts = (4 * np.flatnonzero(self.spaced[ids])).tolist()
+            if len(starts) == len(part):
+                raw = ids.tobytes()
+                inner.update((w, raw[a:b]) for w, a, b in zip(part, starts, [*starts[1:], len(raw)]))
 
     def whole(self, text: str) -> list[int]:
         return self.lib.encode(text, add_special_tokens=False).ids
@@ -125,6 +151,12 @@ class Encoder:
         return ids, [e for e in ends if 0 < e < n], [c for c in cuts if 0 < c < n]
 
 
+@cache
+def encoder_of(path: str) -> Encoder:
+    """One per worker process, which keeps what it has learnt for its next tasks."""
+    return Encoder(path)
+
+
 def best_cuts(places: list[int], penalties: list[int], window: int = WINDOW) -> list[int]:
     """The cheapest cuts of a stream: `places` ascend from 0 to its end, neighbours at most a window apart.
 
@@ -234,7 +266,7 @@ def pack(docs: DataFrame, path: str | None = None, window: int = WINDOW, end_id:
         import os
 
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
-        encoder, packer = Encoder(path), Packer(window)
+        encoder, packer = encoder_of(path), Packer(window)
         base = TaskContext.get().partitionId() << 33
         waiting: dict[int, tuple] = {}  # documents with pieces to come: id and ids
         number, kind = 0, None
@@ -254,7 +286,9 @@ def pack(docs: DataFrame, path: str | None = None, window: int = WINDOW, end_id:
 
         for batch in batches:
             kind = batch.schema.field("doc_id").type
-            for doc_id, text in zip(batch.column("doc_id").to_pylist(), batch.column("text").to_pylist(), strict=True):
+            found = batch.column("text").to_pylist()
+            encoder.learn(found)
+            for doc_id, text in zip(batch.column("doc_id").to_pylist(), found, strict=True):
                 ids, ends, cuts = encoder.encode(text)
                 ids.append(end_id)
                 waiting[number] = (doc_id, ids)
