@@ -2,19 +2,25 @@
 
 Used by both near-duplicate operators, each in two rounds. The first round's bands are short, so that
 hardly any similar pair is missed; where that makes a bucket large, its members get longer bands in a
-second round, whose buckets separate the similar from the merely related. Everything here is joins and
-aggregations, and linear in the number of (node, bucket) rows.
+second round, whose buckets separate the similar from the merely related. What the members of large
+buckets have not shown to be one component by then is settled by an exact join of the prefixes of their
+sets (apart_pairs), so that no bucket's overflow is lost. Everything here is joins and aggregations.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from collections.abc import Callable
+
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from brindle.llm.common import checkpointed
+from brindle.llm.components import connected_components
 
 #: Buckets of up to so many nodes are compared pair by pair, in the first and in the second round.
 SMALL, SMALL_AGAIN = 6, 3
+#: Tokens are ordered by the number of rows of their cell; a broadcast of so many rows at most, for any input.
+CELLS = 1 << 18
 
 
 def bucket_pairs(members: DataFrame, small: int = SMALL) -> tuple[DataFrame, DataFrame]:
@@ -33,3 +39,41 @@ def bucket_pairs(members: DataFrame, small: int = SMALL) -> tuple[DataFrame, Dat
     centre = ranked.groupBy("bucket").agg(F.max(F.struct("weight", "node")).alias("top")).select("bucket", F.col("top.node").alias("centre"))
     star = ranked.join(centre, "bucket").where("node <> centre").select(F.least("node", "centre").alias("a"), F.greatest("node", "centre").alias("b"))
     return pairs.union(star).distinct(), central.select("node")
+
+
+def apart_pairs(items: DataFrame, comp: DataFrame, similarity: float, sized: bool) -> DataFrame:
+    """Every pair (a < b) of nodes in different components that may reach the similarity. `items`: node, token, weight of whole sets.
+
+    With all tokens in one order, rare ones first, two sets of (set or probability) Jaccard s share a token among
+    the first of each: those that more than s of its tokens, or more than s of its weight, do not follow. (Neither
+    Jaccard exceeds the share of tokens, or of normalised weight, that the two have in common.) `sized`: sets of
+    too different sizes cannot be alike. A token whose nodes are all of one component is dropped.
+    """
+    rows = items.withColumn("cell", F.pmod("token", F.lit(CELLS)))
+    cells = rows.groupBy("cell").agg(F.count(F.lit(1)).alias("often"))
+    whole = Window.partitionBy("node")
+    order = whole.orderBy("often", "token")
+    before = order.rowsBetween(Window.unboundedPreceding, -1)
+    ranked = rows.join(F.broadcast(cells), "cell").select(
+        "node", "token", F.row_number().over(order).alias("rank"), F.coalesce(F.sum("weight").over(before), F.lit(0)).alias("mass"),
+        F.count(F.lit(1)).over(whole).alias("n"), F.sum("weight").over(whole).alias("total"),
+    )
+    slack = 1 - similarity
+    first = ranked.where((F.col("rank") - 1 <= slack * F.col("n") + 1e-6) | (F.col("mass") <= slack * F.col("total") + 1e-6))
+    placed = checkpointed(first.join(comp, "node", "left").select("token", "node", "n", F.coalesce("component", "node").alias("part")))
+    mixed = placed.groupBy("token").agg(F.min("part").alias("low"), F.max("part").alias("high")).where("low < high").select("token")
+    met = checkpointed(placed.join(mixed, "token", "left_semi"))
+    x, y = (met.select("token", *[F.col(c).alias(f"{c}_{k}") for c in ("node", "n", "part")]) for k in "xy")
+    both = x.join(y, "token").where("part_x < part_y")
+    if sized:
+        both = both.where(F.least("n_x", "n_y") >= similarity * F.greatest("n_x", "n_y") - 1e-6)
+    return both.select(F.least("node_x", "node_y").alias("a"), F.greatest("node_x", "node_y").alias("b")).distinct()
+
+
+def whole_components(links: DataFrame, items: DataFrame, similarity: float, verify: Callable[[DataFrame], DataFrame], sized: bool = False) -> DataFrame:
+    """Components (node, component) of the links and of all verified pairs among the nodes of `items`."""
+    comp = connected_components(links)
+    more = checkpointed(verify(apart_pairs(items, comp, similarity, sized)))
+    if not more.take(1):
+        return comp
+    return connected_components(comp.select(F.col("node").alias("a"), F.col("component").alias("b")).union(more))

@@ -6,7 +6,8 @@ they start at each character). Each band of the signature takes the three least
 values of a reordering of the hashed shingle set, which agree for two lines with about the cube of
 their Jaccard; bands give candidates, whose exact Jaccard is then computed from the whole sets. Equal and
 verified lines form components by distributed union-find, and of each component the first line, by
-(doc_id, line number), stays. Large buckets are not expanded into pairs (see candidates).
+(doc_id, line number), stays. Large buckets are not expanded into pairs; the components of their members
+are completed by an exact join (see candidates).
 
 Lines shorter than MIN_CHARS say too little to be called copies and always stay, as do blank lines.
 """
@@ -16,9 +17,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from brindle.llm.candidates import SMALL_AGAIN, bucket_pairs
+from brindle.llm.candidates import SMALL_AGAIN, bucket_pairs, whole_components
 from brindle.llm.common import checkpointed, scratch, table
-from brindle.llm.components import connected_components
 
 SHINGLE, SIMILARITY, MIN_CHARS = 10, 0.8, 20
 #: Bands of the first round: a pair of Jaccard 0.8 shares one with probability 0.997, of 0.85 with 0.9995.
@@ -113,7 +113,9 @@ def dropped_lines(docs: DataFrame, similarity: float = SIMILARITY, id_col: str =
     links = checkpointed(verified(pairs, sets, similarity))
     longer = checkpointed(banded(sets.join(crowd, "node", "left_semi").select("node", F.col("set").alias("h")), 2 * LONG_BANDS, seed=1000).where("buckets IS NOT NULL"))
     more, _ = bucket_pairs(exploded(in_pairs(longer)), SMALL_AGAIN)
-    comp = connected_components(links.union(verified(more.join(pairs, ["a", "b"], "left_anti"), sets, similarity)))
+    links = links.union(verified(more.join(pairs, ["a", "b"], "left_anti"), sets, similarity))
+    items = sets.join(crowd, "node", "left_semi").select("node", F.explode("set").alias("token"), F.lit(1).alias("weight"))
+    comp = whole_components(links, items, similarity, lambda found: verified(found, sets, similarity), sized=True)
     joined = nodes.select("node", "first", "n").join(comp, "node", "left")
     keep = joined.where("component IS NOT NULL").groupBy("component").agg(F.min("first").alias("keep"))
     linked = joined.where("component IS NOT NULL").join(keep, "component").select("node", "keep")

@@ -6,8 +6,8 @@
    registers agree with the probability Jaccard similarity.
 2. Equal word sequences become one node. Nodes that share a band of registers are candidates: all pairs of a
    small bucket; in a larger one each member with the bucket's most central member. The members of large buckets
-   get longer bands and go through the same once more, so that links besides those to the centre are found
-   too, while no group is ever expanded into all its pairs.
+   get longer bands and go through the same once more, so that most links besides those to the centre are found
+   too; members still in different components then meet in an exact prefix join of their shingles.
 3. Candidates are verified on their whole shingle sets.
 4. Components of verified links are the classes; the smallest doc_id of a class stays.
 """
@@ -22,9 +22,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from brindle.llm.candidates import SMALL_AGAIN, bucket_pairs
+from brindle.llm.candidates import SMALL_AGAIN, bucket_pairs, whole_components
 from brindle.llm.common import bound_batches, checkpointed, table
-from brindle.llm.components import connected_components
 from brindle.llm.decontaminate import words
 
 SHINGLE, SIMILARITY = 5, 0.8
@@ -203,6 +202,19 @@ def longer_bands(sets: DataFrame) -> DataFrame:
     return sets.select("node", "set", "weights").mapInArrow(run, "node binary, buckets array<bigint>")
 
 
+def weighted_items(sets: DataFrame) -> DataFrame:
+    """node, token and weight: one row for each shingle of a packed set."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            tokens = [np.frombuffer(s, dtype="<i8") for s in batch.column("set").to_pylist()]
+            weights = [np.frombuffer(s, dtype="<u4").astype(np.int64) for s in batch.column("weights").to_pylist()]
+            yield pa.RecordBatch.from_arrays([batch.column("node"), pa.array(tokens, pa.list_(pa.int64())), pa.array(weights, pa.list_(pa.int64()))], names=["node", "tokens", "weights"])
+
+    rows = sets.select("node", "set", "weights").mapInArrow(run, "node binary, tokens array<bigint>, weights array<bigint>")
+    return rows.select("node", F.explode(F.arrays_zip("tokens", "weights")).alias("item")).select("node", F.col("item.tokens").alias("token"), F.col("item.weights").alias("weight"))
+
+
 def near_classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", similarity: float = SIMILARITY) -> DataFrame:
     """One row per input row: doc_id, class_id (smallest doc_id of its class), class_size, kept (doc_id is class_id).
 
@@ -226,7 +238,8 @@ def near_classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     again = longer_bands(sets.join(crowd, "node", "left_semi")).select("node", F.explode("buckets").alias("bucket"))
     more, _ = bucket_pairs(again, SMALL_AGAIN)
     links = links.union(verified(more.join(pairs, ["a", "b"], "left_anti"), sets, similarity))
-    comp = connected_components(links)
+    items = weighted_items(sets.join(crowd, "node", "left_semi"))
+    comp = whole_components(links, items, similarity, lambda found: verified(found, sets, similarity))
     labelled = signed.select("doc_id", "node").join(comp, "node", "left").select("doc_id", F.coalesce("component", "node").alias("component"))
     classes = labelled.groupBy("component").agg(F.min("doc_id").alias("class_id"), F.count(F.lit(1)).alias("class_size")).where("class_size > 1")
     return labelled.join(classes, "component", "left").select(

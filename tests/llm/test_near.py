@@ -147,3 +147,26 @@ def test_dedup_lines_keeps_columns_and_order(spark):
     got = {r.line: r.text for r in line_dedup.dedup_lines(docs).collect()}
     assert got == {"a": f"first\n{line}\nlast", "c": "\nkept here", "d": None, "e": "", "f": line}
     assert line_dedup.dropped_lines(docs.where("false")).count() == 0
+
+
+def crowded_pairs(n):
+    """2 n texts of long words that all share 117 words; texts 2 k and 2 k + 1 share 3 more. Jaccard of words: 0.8 in these pairs, 0.76 elsewhere."""
+    rng = random.Random(21)
+    new = lambda k: ["".join(rng.choices("abcdefghijklmnop", k=12)) for _ in range(k)]
+    core, texts = new(117), []
+    for _ in range(n):
+        pair = new(3)
+        texts += [" ".join(core + pair + new(15)) for _ in range(2)]
+    return texts
+
+
+def test_line_pairs_that_meet_in_large_buckets_only(spark):
+    docs = spark.createDataFrame(list(enumerate(crowded_pairs(30))), "doc_id long, text string")
+    assert sorted((r.doc_id, r.keep_id) for r in line_dedup.dropped_lines(docs).collect()) == [(k + 1, k) for k in range(0, 60, 2)]
+
+
+def test_text_pairs_that_meet_in_large_buckets_only(spark):
+    # four words before the core make shingles of five words as many as its words
+    texts = [f"w x y z {t}" for t in crowded_pairs(30)]
+    got = near_dedup.near_classes(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")).collect()
+    assert sorted((r.doc_id, r.class_id, r.class_size) for r in got) == [(k, k - k % 2, 2) for k in range(60)]
