@@ -3,7 +3,8 @@
 1. One pass names each document's word sequence by a digest and computes its ProbMinHash signature: the
    arrivals of one Poisson process per shingle (rate: its weight) fall into random registers, the
    earliest arrival of each register wins, and a process stops once it is later than every register. Two
-   registers agree with the probability Jaccard similarity.
+   registers agree with the probability Jaccard similarity. Where shingles repeat, a second signature with all
+   weights 1 does the same for the set Jaccard.
 2. Equal word sequences become one node. Nodes that share a band of registers are candidates: all pairs of a
    small bucket; in a larger one each member with the bucket's most central member. The members of large buckets
    get longer bands and go through the same once more, so that most links besides those to the centre are found
@@ -106,6 +107,22 @@ def bands(signed: np.ndarray, n: int, rows: int) -> np.ndarray:
     return key.view(np.int64)
 
 
+def both_bands(doc: np.ndarray, h: np.ndarray, weight: np.ndarray, n_docs: int, n: int, rows: int) -> list[list[int]]:
+    """The bands of each document's signature, and those of the same with all weights 1, which propose by set Jaccard.
+
+    The draws are the same, so a document without repeated shingles has the same bands twice; they are listed once.
+    """
+    found = bands(prob_minhash(doc, h, weight, n_docs, n * rows), n, rows).tolist()
+    repeats = np.zeros(n_docs, dtype=bool)
+    repeats[doc[weight > 1]] = True
+    if repeats.any():
+        at, which = repeats[doc], np.cumsum(repeats) - 1
+        plain = bands(prob_minhash(which[doc[at]], h[at], np.ones(int(at.sum())), int(repeats.sum()), n * rows), n, rows).tolist()
+        for i, more in zip(np.flatnonzero(repeats), plain, strict=True):
+            found[i] = list(dict.fromkeys(found[i] + more))
+    return found
+
+
 def jaccard(a: tuple[np.ndarray, np.ndarray], b: tuple[np.ndarray, np.ndarray]) -> tuple[float, float]:
     """Set Jaccard and probability Jaccard of two sorted shingle arrays with weights."""
     every = np.union1d(a[0], b[0])
@@ -127,7 +144,7 @@ def jaccard(a: tuple[np.ndarray, np.ndarray], b: tuple[np.ndarray, np.ndarray])
 
 
 def signatures(docs: DataFrame) -> DataFrame:
-    """doc_id, node (digest of the word sequence; of the raw text where there are no words), buckets (one per band).
+    """doc_id, node (digest of the word sequence; of the raw text where there are no words), buckets (one per band of either signature).
 
     `docs` has doc_id and text. A text without words has no buckets.
     """
@@ -141,9 +158,9 @@ def signatures(docs: DataFrame) -> DataFrame:
             raw = batch.column("text").cast(pa.binary()).to_pylist()
             texts = [words(t) for t in raw]
             doc, h, weight = shingles(texts, hashes)
-            key = bands(prob_minhash(doc, h, weight, len(texts), BANDS * ROWS), BANDS, ROWS)
+            key = both_bands(doc, h, weight, len(texts), BANDS, ROWS)
             node = [digest(t, r) for t, r in zip(texts, raw, strict=True)]
-            buckets = [k.tolist() if t else [] for k, t in zip(key, texts, strict=True)]
+            buckets = [k if t else [] for k, t in zip(key, texts, strict=True)]
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(node, pa.binary()), pa.array(buckets, pa.list_(pa.int64()))], names=["doc_id", "node", "buckets"])
 
     return docs.mapInArrow(run, f"doc_id {kind}, node binary, buckets array<bigint>")
@@ -196,8 +213,8 @@ def longer_bands(sets: DataFrame) -> DataFrame:
             w = [np.frombuffer(s, dtype="<u4") for s in batch.column("weights").to_pylist()]
             doc = np.repeat(np.arange(len(h)), [len(x) for x in h])
             # other draws than in the first round
-            key = bands(prob_minhash(doc, mix(np.concatenate(h)), np.concatenate(w), len(h), LONG_BANDS * LONG_ROWS), LONG_BANDS, LONG_ROWS)
-            yield pa.RecordBatch.from_arrays([batch.column("node"), pa.array(key.tolist(), pa.list_(pa.int64()))], names=["node", "buckets"])
+            key = both_bands(doc, mix(np.concatenate(h)), np.concatenate(w), len(h), LONG_BANDS, LONG_ROWS)
+            yield pa.RecordBatch.from_arrays([batch.column("node"), pa.array(key, pa.list_(pa.int64()))], names=["node", "buckets"])
 
     return sets.select("node", "set", "weights").mapInArrow(run, "node binary, buckets array<bigint>")
 

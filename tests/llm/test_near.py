@@ -170,3 +170,16 @@ def test_text_pairs_that_meet_in_large_buckets_only(spark):
     texts = [f"w x y z {t}" for t in crowded_pairs(30)]
     got = near_dedup.near_classes(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")).collect()
     assert sorted((r.doc_id, r.class_id, r.class_size) for r in got) == [(k, k - k % 2, 2) for k in range(60)]
+
+
+def test_texts_that_differ_only_in_how_often_passages_repeat(spark):
+    rng = random.Random(4)
+    texts = []
+    for _ in range(15):
+        once, often = (["".join(rng.choices("abcdefghij", k=8)) for _ in range(n)] for n in (100, 10))
+        texts += [" ".join(once + often * n) for n in (50, 5)]
+    hashes = near_dedup.WordHashes()
+    a, b = (near_dedup.shingles([near_dedup.words(t.encode())], hashes)[1:] for t in texts[:2])
+    assert near_dedup.jaccard(a, b)[0] == 1 and near_dedup.jaccard(a, b)[1] < 0.6
+    got = near_dedup.near_classes(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")).collect()
+    assert sorted((r.doc_id, r.class_id, r.class_size) for r in got) == [(k, k - k % 2, 2) for k in range(30)]
