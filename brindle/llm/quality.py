@@ -1,14 +1,15 @@
 """Document quality from a linear-chain conditional random field over lines.
 
 Each line is labelled good or bad from its own features and those of its neighbours; transitions tie
-successive labels together. The field is fitted on a bounded sample of labelled documents (each line
-takes its document's label). Scoring runs forward-backward over every line of every text, vectorised
+successive labels together. The field is fitted on a bounded sample of labelled documents, read whole (each
+line takes its document's label). Scoring runs forward-backward over every line of every text, vectorised
 over the documents of an Arrow batch, and a document's score is the length-weighted mean of its lines'
 marginals. No shuffle: a document is scored where it is read.
 """
 
 from __future__ import annotations
 
+from collections import Counter
 from collections.abc import Iterator
 from typing import NamedTuple
 
@@ -19,7 +20,8 @@ from pyspark.sql import functions as F
 
 from brindle.llm.common import bound_batches, table
 
-#: The fit's bounds: labelled documents (those with the smallest hashes of their ids) and lines of each.
+#: The fit's bounds: labelled documents (those with the smallest hashes of their ids) and their lines on average.
+#: Documents are read whole; one whose lines would exceed the sum is left out of the sample.
 MAX_TRAIN_DOCS, MAX_TRAIN_LINES = 4000, 60
 STEPS, RATE, RIDGE = 80, 0.1, 1e-3
 THRESHOLD = 0.3
@@ -38,7 +40,8 @@ def line_features(line: bytes) -> tuple[float, ...]:
     if not words:
         return (1.0, *[0.0] * (len(NAMES) - 1))
     w = len(words)
-    seen = len(set(words))
+    times = Counter(words)
+    seen = len(times)
     upper, lower = n - len(line.translate(None, UPPER)), n - len(line.translate(None, LOWER))
     last = line.rstrip()[-1:]
     return (
@@ -51,7 +54,7 @@ def line_features(line: bytes) -> tuple[float, ...]:
         (n - len(line.translate(None, SYMBOLS))) / n,
         sum(map(ends_odd, words)) / w,
         seen / w,
-        (w - seen) / w if w < 8 else max(map(words.count, words[:4])) / w,
+        max(times.values()) / w,
         float(last not in b".!?"),
         float(line[:1] in LOWER),
     )
@@ -163,13 +166,20 @@ def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
     bound_batches(spark)
     usable = labels.where(F.col("quality").isNotNull() & F.col("doc_id").isNotNull() & ~held_out(F.col("doc_id")))
     chosen = usable.groupBy(F.col("doc_id").alias("_id")).agg(F.min("quality").alias("_quality")).orderBy(F.xxhash64("_id"), "_id").limit(max_docs)
-    rows = docs.select(F.col(id_col).alias("_id"), F.col(text_col).cast("binary").alias("_text")).join(F.broadcast(chosen), "_id")  # at most max_docs rows
+    lines = F.greatest(F.coalesce(F.size(F.split(F.col(text_col).cast("string"), "\n", -1)), F.lit(1)), F.lit(1))
+    sizes = docs.select(F.col(id_col).alias("_id"), lines.alias("_lines")).join(F.broadcast(chosen), "_id").groupBy("_id", "_quality").agg(F.sum("_lines").alias("_lines"))
+    picked, left = [], MAX_TRAIN_DOCS * MAX_TRAIN_LINES
+    for r in sizes.orderBy(F.xxhash64("_id"), "_id").collect():  # at most max_docs rows
+        if r._lines <= left:
+            picked.append((r._id, r._quality))
+            left -= r._lines
+    chosen = spark.createDataFrame(picked, sizes.drop("_lines").schema)
+    rows = docs.select(F.col(id_col).alias("_id"), F.col(text_col).cast("binary").alias("_text")).join(F.broadcast(chosen), "_id")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             if batch.num_rows:
-                texts = [b"\n".join(lines_of(t)[:MAX_TRAIN_LINES]) for t in batch.column("_text").to_pylist()]
-                x, _, counts = batch_features(texts)
+                x, _, counts = batch_features(batch.column("_text").to_pylist())
                 ends = np.cumsum(counts)
                 found = [x[e - c : e].astype(np.float32).tobytes() for e, c in zip(ends, counts)]
                 yield pa.RecordBatch.from_arrays([batch.column("_id").cast(pa.string()), batch.column("_quality").cast(pa.int32()), pa.array(found, pa.binary())], names=["id", "quality", "x"])

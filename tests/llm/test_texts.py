@@ -232,6 +232,21 @@ def test_quality_learns_and_scores(spark):
     assert quality.score(docs.where("false"), model).count() == 0
 
 
+def test_top_word_counts_every_word_of_a_line():
+    top = quality.NAMES.index("top_word")
+    assert quality.line_features(b"a b c d " + b"spam " * 36)[top] == 36 / 40
+    assert quality.line_features(b"a b c b")[top] == 2 / 4
+
+
+def test_quality_is_fitted_on_whole_texts(spark, monkeypatch):
+    docs = table(spark, ["\n".join(["plain words here."] * 60 + ["12345"] * 60)] * 40)
+    labels = spark.createDataFrame([(i, i % 2, 0) for i in range(40)], "doc_id long, quality int, toxic int")
+    digit = quality.NAMES.index("digit")
+    assert quality.train(docs, labels).mean[digit] == pytest.approx(0.5)
+    monkeypatch.setattr(quality, "MAX_TRAIN_DOCS", 5)  # 300 lines: two whole documents
+    assert quality.train(docs, labels).mean[digit] == pytest.approx(0.5)
+
+
 def test_long_texts_stay_linear(spark):
     began = time.time()
     text = "password" * 20000 + " " + "AKIA" * 20000 + "f" * 100000
