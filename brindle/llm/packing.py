@@ -10,6 +10,8 @@ of bounded size, and carries its last, unfinished window over to the next block.
 
 from __future__ import annotations
 
+import json
+import re
 import zlib
 from array import array
 from collections import deque
@@ -31,13 +33,12 @@ SENTENCE, WORD, RUN = 8, 24, 256
 EVERY = 64
 #: Ids that are packed at once; bounds the memory of a task whatever the partition holds.
 BLOCK = 1 << 19
-#: Words whose ids a worker remembers (some 150 MB), over all its tasks; when they would be more, it starts anew.
-MEMORY = 600_000
-#: Unseen words that are encoded in one call.
-CHUNK = 8192
-STOPS = frozenset(".,!?:;")
-#: White space other than the space and the line feed.
-SPACES = "\t\v\f\r\x85\xa0\u1680\u2000\u2001\u2002\u2003\u2004\u2005\u2006\u2007\u2008\u2009\u200a\u2028\u2029\u202f\u205f\u3000"
+#: Fixed value: how the byte-level pre-tokenizer splits a text.
+PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
+#: Longer runs of white space are too deep for the fast encoder's pattern engine.
+LONG_SPACE = re.compile(r"\s{2000}")
+#: Ends of tokens after which a sentence may end: Latin, then full-width marks.
+STOPS = (b".", b"!", b"?", "\u3002".encode(), "\uFF01".encode(), "\uFF1F".encode())
 
 
 def tokenizer_path(name: str = "byte_bpe_50k.json") -> str:
@@ -46,114 +47,65 @@ def tokenizer_path(name: str = "byte_bpe_50k.json") -> str:
     return public_tokenizers.path(name)
 
 
-class Words(dict):
-    """Ids of words (little-endian 32-bit), each with `before` in front of it, found on first use."""
-
-    def __init__(self, encode, before: str, memory: int):
-        self.encode, self.before, self.memory = encode, before, memory
-
-    def __missing__(self, word: str) -> bytes:
-        if word[-1:] in STOPS and word[-2:-1].isalnum():  # one mark after a word is a token run of its own
-            ids = self[word[:-1]] + self.encode(word[-1])
-        else:
-            ids = self.encode(self.before + word)
-        if len(self) < self.memory:
-            self[word] = ids
-        return ids
+def byte_of() -> dict[str, int]:
+    """The byte that each character of a byte-level vocabulary stands for: visible Latin-1 characters stand for
+    themselves, the other bytes have characters from U+0100 on, in order."""
+    visible = [*range(0x21, 0x7F), *range(0xA1, 0xAD), *range(0xAE, 0x100)]
+    hidden = [b for b in range(256) if b not in visible]
+    return {chr(b): b for b in visible} | {chr(0x100 + k): b for k, b in enumerate(hidden)}
 
 
 class Encoder:
-    """Ids of texts, word by word: byte-level BPE never merges across a space before a word or a line end, so the
-    ids of `word` and ` word` can be remembered. Texts with unusual white space are encoded as a whole."""
+    """Ids of texts. A byte-level BPE file whose ids are in merge order is a table of ranks, which tiktoken applies
+    several times faster than the library of the file; texts with special tokens or very long runs of white space
+    go to that library."""
 
-    def __init__(self, path: str, memory: int = MEMORY):
+    def __init__(self, path: str):
+        import tiktoken
         from tokenizers import Tokenizer
 
         self.lib = Tokenizer.from_file(path)
         self.special = [t.content for t in self.lib.get_added_tokens_decoder().values()]
-        encode = lambda text: array("I", self.whole(text)).tobytes()
-        self.odd = ("  ", "\n\n", " \n", "\n ", *SPACES, *self.special)
-        self.marks = {m: encode(m) for m in STOPS}
-        known = lambda text: self.marks.get(text) or encode(text)
-        self.first, self.inner = Words(known, "", memory // 4), Words(known, " ", memory)
-        self.newline = encode("\n")
-        vocab = self.lib.get_vocab()
-        self.spaced = np.zeros(max(vocab.values()) + 1, dtype=bool)  # ids of tokens that begin with a space
-        self.spaced[[i for token, i in vocab.items() if token[0] == "\u0120"]] = True
-
-    def learn(self, texts: list[str]) -> None:
-        """Remembers the unseen words of many texts. They are encoded in long runs, joined by spaces: only the
-        first token of a word begins with a space. What this leaves out is encoded when it is met."""
-        new = set()
-        for text in texts:
-            if text and self.regular(text):
-                new.update(text.replace("\n", " ").split(" "))
-        new = {w[:-1] if w[-1:] in STOPS and w[-2:-1].isalnum() else w for w in new if w}
-        inner = self.inner
-        if len(inner) + len(new) > inner.memory and len(inner) + len(new.difference(inner)) > inner.memory:
-            inner.clear()
-        words = list(new.difference(inner, STOPS))[: inner.memory - len(inner)]
-        for k in range(0, len(words), CHUNK):
-            part = words[k : k + CHUNK]
-            ids = np.array(self.lib.encode_batch_fast([" " + " ".join(part)], add_special_tokens=False)[0].ids, dtype="<u4")
-            starts = (4 * np.flatnonzero(self.spaced[ids])).tolist()
-            if len(starts) == len(part):
-                raw = ids.tobytes()
-                inner.update((w, raw[a:b]) for w, a, b in zip(part, starts, [*starts[1:], len(raw)]))
+        with open(path, encoding="utf-8") as f:
+            spec = json.load(f)
+        vocab, merges, place = spec["model"]["vocab"], spec["model"]["merges"], byte_of()
+        token = {i: bytes(place[c] for c in t) for t, i in vocab.items()}
+        made = [vocab["".join(m if isinstance(m, list) else m.split(" "))] for m in merges]
+        split = spec["pre_tokenizer"]
+        if spec["normalizer"] or split["type"] != "ByteLevel" or split["add_prefix_space"] or not split["use_regex"] or made != sorted(made) or spec["model"].get("ignore_merges"):
+            raise ValueError(f"{path}: not a byte-level BPE file with ids in merge order")
+        self.fast = tiktoken.Encoding(path, pat_str=PATTERN, mergeable_ranks={t: i for i, t in token.items()}, special_tokens={})
+        size = max(token) + 1 + len(self.special)
+        self.space, self.stop, self.newline = (np.zeros(size, dtype=bool) for _ in range(3))
+        for i, t in token.items():
+            self.space[i], self.stop[i], self.newline[i] = t[:1] in (b" ", b"\n"), t.endswith(STOPS), t.endswith(b"\n")
 
     def whole(self, text: str) -> list[int]:
+        """Ids by the library of the file."""
         return self.lib.encode(text, add_special_tokens=False).ids
 
-    def regular(self, text: str) -> bool:
-        return not (text[0].isspace() or text[-1].isspace() or any(s in text for s in self.odd))
+    def ids(self, text: str) -> list[int]:
+        if any(s in text for s in self.special) or LONG_SPACE.search(text):
+            return self.whole(text)
+        return self.fast.encode_ordinary(text)
 
     def encode(self, text: str) -> tuple[array, list[int], list[int]]:
         """Ids, then the places of sentence ends and of other cuts between words (ascending, 0 < place < len)."""
-        ids = array("I")
-        if not text:
-            return ids, [], []
-        if not self.regular(text):
-            ids.extend(self.whole(text))
+        ids = array("I", self.ids(text))
+        if len(ids) < 2:
             return ids, [], []
-        ends, cuts, n, mark = [], [], 0, False
-        out: list[bytes] = []
-        word = self.inner.__getitem__
-        for k, line in enumerate(text.split("\n")):
-            if k:
-                out.append(self.newline)
-                n += 1
-                ends.append(n)
-            head, _, rest = line.partition(" ")
-            out.append(found := self.first[head])
-            n += len(found) >> 2
-            parts = rest.split(". ") if rest else []
-            for j, sentence in enumerate(parts):
-                if j and mark:  # the one that the split took away
-                    out.append(self.marks["."])
-                    n += 1
-                if j:
-                    ends.append(n)
-                mark = sentence[-1:].isalnum()
-                if not mark and j + 1 < len(parts):
-                    sentence += "."
-                pieces = list(map(word, sentence.split(" ")))
-                out += pieces
-                since = n
-                n += sum(map(len, pieces)) >> 2
-                if n - since > 2 * EVERY:
-                    place = since
-                    for piece in pieces:
-                        if place - since >= EVERY:
-                            cuts.append(place)
-                            since = place
-                        place += len(piece) >> 2
-        ids.frombytes(b"".join(out))
-        return ids, [e for e in ends if 0 < e < n], [c for c in cuts if 0 < c < n]
+        row = np.frombuffer(ids, dtype="<u4")
+        word, before = self.space[row[1:]], row[:-1]
+        end = self.newline[before] | (word & self.stop[before])
+        ends, cuts = np.flatnonzero(end) + 1, np.flatnonzero(word & ~end) + 1
+        first = np.ones(len(cuts), dtype=bool)  # of each EVERY ids, the first cut between words is offered
+        first[1:] = cuts[1:] // EVERY != cuts[:-1] // EVERY
+        return ids, ends.tolist(), cuts[first].tolist()
 
 
 @cache
 def encoder_of(path: str) -> Encoder:
-    """One per worker process, which keeps what it has learnt for its next tasks."""
+    """One per worker process, for all its tasks; its size does not depend on the texts."""
     return Encoder(path)
 
 
@@ -286,9 +238,7 @@ def pack(docs: DataFrame, path: str | None = None, window: int = WINDOW, end_id:
 
         for batch in batches:
             kind = batch.schema.field("doc_id").type
-            found = batch.column("text").to_pylist()
-            encoder.learn(found)
-            for doc_id, text in zip(batch.column("doc_id").to_pylist(), found, strict=True):
+            for doc_id, text in zip(batch.column("doc_id").to_pylist(), batch.column("text").to_pylist(), strict=True):
                 ids, ends, cuts = encoder.encode(text)
                 ids.append(end_id)
                 waiting[number] = (doc_id, ids)

@@ -131,7 +131,7 @@ def test_best_cuts_match_enumeration():
 
 
 def test_encoder_equals_the_library():
-    e = packing.Encoder(packing.tokenizer_path(), memory=50)
+    e = packing.Encoder(packing.tokenizer_path())
     rng = random.Random(3)
     parts = ["word", "Übung", "don't", "x.", "y!!", "?", "1,234", " ", "\n", ".", "'s", "\t", "é", "a.b", "<|endoftext|>", "\xa0", "日本", "…"]
     for k in range(400):
@@ -139,6 +139,19 @@ def test_encoder_equals_the_library():
         ids, ends, cuts = e.encode(text)
         assert ids.tolist() == e.whole(text), text
         assert all(0 < x < len(ids) for x in ends + cuts) and ends == sorted(ends) and cuts == sorted(cuts)
+    for text in ("a" * 300_000, " " * 300_000, "x" + "\n" * 50_000 + "y", "\u3000" * 5000 + "z"):
+        assert e.encode(text)[0].tolist() == e.whole(text)
+
+
+def test_padding_is_small(spark):
+    """Padding over ids of whole texts, and cuts at sentence ends where they can be."""
+    rng = random.Random(2)
+    df = spark.createDataFrame([(i, " ".join(rng.choices(["a", "few", "words.", "more", "Then!"], k=rng.randint(5, 900)))) for i in range(400)], "doc_id long, text string")
+    rows = packing.pack(df).collect()
+    sequences = {}
+    for r in rows:
+        sequences[r.sequence_id] = sequences.get(r.sequence_id, 0) + r.length
+    assert sum(padding(n, 2048) for n in sequences.values()) < 0.02 * sum(sequences.values())
 
 
 def test_pack_round_trip(spark):
