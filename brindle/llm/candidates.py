@@ -1,55 +1,79 @@
-"""From shared buckets to candidate pairs, without expanding a group into all its pairs.
+"""From shared buckets to verified components, without expanding a group into all its pairs.
 
-Used by both near-duplicate operators, each in two rounds. The first round's bands are short, so that
-hardly any similar pair is missed; where that makes a bucket large, its members get longer bands in a
-second round, whose buckets separate the similar from the merely related. What the members of large
-buckets have not shown to be one component by then is settled by an exact join of the prefixes of their
-sets (apart_pairs), so that no bucket's overflow is lost. Everything here is joins and aggregations.
+Used by both near-duplicate operators. Bands are short, so that hardly any similar pair is missed; where that
+makes a bucket large, its members meet only the most central of them at first. Members of a large bucket that
+are not one component by then are settled by an exact join of the prefixes of their sets (apart_pairs), so that
+no bucket's overflow is lost. Everything here is joins and aggregations; the passes over all members are
+hash aggregates of 64-bit keys.
 """
 
 from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from brindle.llm.common import checkpointed
 from brindle.llm.components import connected_components
 
-#: Buckets of up to so many nodes are compared pair by pair, in the first and in the second round.
-SMALL, SMALL_AGAIN = 6, 3
-#: Tokens are ordered by the number of rows of their cell; a broadcast of so many rows at most, for any input.
+#: Buckets of up to so many nodes are compared pair by pair.
+SMALL = 6
+#: Filters by cell and orders by cell are broadcasts of so many rows at most, for any input.
 CELLS = 1 << 18
 
 
+def cell(key: Column) -> Column:
+    return F.pmod(key, F.lit(CELLS))
+
+
+def in_cells(df: DataFrame, key: str, wanted: DataFrame) -> DataFrame:
+    """Rows of `df` that may have one of the wanted 64-bit keys: a filter of bounded size ahead of an exact join."""
+    cells = wanted.select(cell(F.col(key)).alias("_cell")).distinct()
+    return df.join(F.broadcast(cells), cell(F.col(key)) == F.col("_cell"), "left_semi")
+
+
 def bucket_pairs(members: DataFrame, small: int = SMALL) -> tuple[DataFrame, DataFrame]:
-    """Candidate pairs (a < b) and the nodes of large buckets. `members`: node, bucket.
+    """Candidate pairs (a < b), and bucket and key of the members of large buckets. `members`: key (64-bit), bucket.
 
     A small bucket gives all its pairs, a larger one pairs each member with the most central of them: the
     one that shares the most buckets with the most others.
     """
-    sizes = members.groupBy("bucket").agg(F.count(F.lit(1)).alias("size")).where("size > 1")
-    shared = checkpointed(members.join(sizes.hint("shuffle_hash"), "bucket"))  # the few shared buckets are hashed, the many members not sorted
-    few = shared.where(F.col("size") <= small).select("bucket", "node")
-    pairs = few.select("bucket", F.col("node").alias("a")).join(few.select("bucket", F.col("node").alias("b")), "bucket").where("a < b").select("a", "b")
-    many = shared.where(F.col("size") > small)
-    central = many.groupBy("node").agg(F.sum("size").alias("weight"))
-    ranked = many.join(central, "node").select("bucket", "node", "weight")
-    centre = ranked.groupBy("bucket").agg(F.max(F.struct("weight", "node")).alias("top")).select("bucket", F.col("top.node").alias("centre"))
-    star = ranked.join(centre, "bucket").where("node <> centre").select(F.least("node", "centre").alias("a"), F.greatest("node", "centre").alias("b"))
-    return pairs.union(star).distinct(), central.select("node")
+    tally = members.groupBy("bucket").agg(F.count(F.lit(1)).alias("size"), F.min("key").alias("lo"), F.max("key").alias("hi"), F.bit_xor("key").alias("odd"))
+    shared = checkpointed(tally.where("size > 1 AND lo < hi"))
+    middle = F.col("odd").bitwiseXOR(F.col("lo")).bitwiseXOR(F.col("hi"))
+    two = shared.where("size < 4").select("size", "lo", "hi", middle.alias("mid"))
+    pair = lambda a, b: F.struct(F.least(a, b).alias("a"), F.greatest(a, b).alias("b"))
+    pairs = two.select(F.explode(F.when(F.col("size") == 2, F.array(pair("lo", "hi"))).otherwise(F.array(pair("lo", "hi"), pair("lo", "mid"), pair("mid", "hi")))).alias("p")).select("p.*")
+    more = shared.where("size > 3").select("bucket", "size")
+    met = checkpointed(in_cells(members, "bucket", more).join(more, "bucket").select("bucket", "key", "size"))
+    few, many = met.where(F.col("size") <= small), met.where(F.col("size") > small)
+    x, y = (few.select("bucket", F.col("key").alias(k)) for k in "ab")
+    central = many.groupBy("key").agg(F.sum("size").alias("weight"))
+    ranked = many.join(central, "key")
+    heavy = ranked.groupBy("bucket").agg(F.max("weight").alias("weight"))
+    centre = ranked.join(heavy, ["bucket", "weight"]).groupBy("bucket").agg(F.min("key").alias("centre"))
+    star = many.join(centre, "bucket").select(F.least("key", "centre").alias("a"), F.greatest("key", "centre").alias("b"))
+    return checkpointed(pairs.union(x.join(y, "bucket").select("a", "b")).union(star).where("a < b").distinct()), many.select("bucket", "key")
+
 
+def apart_members(many: DataFrame, keyed: DataFrame, comp: DataFrame) -> DataFrame:
+    """Nodes (node, part) of the large buckets that hold more than one component. `keyed`: key, node."""
+    placed = checkpointed(many.join(keyed, "key").join(comp, "node", "left").select("bucket", "node", F.coalesce("component", "node").alias("part")))
+    parts = placed.select("bucket", F.xxhash64("part").alias("h")).groupBy("bucket").agg(F.min("h").alias("lo"), F.max("h").alias("hi"))
+    return checkpointed(placed.join(parts.where("lo < hi"), "bucket", "left_semi").select("node", "part").distinct())
 
-def apart_pairs(items: DataFrame, comp: DataFrame, similarity: float, sized: bool) -> DataFrame:
-    """Every pair (a < b) of nodes in different components that may reach the similarity. `items`: node, token, weight of whole sets.
+
+def apart_pairs(items: DataFrame, apart: DataFrame, similarity: float, sized: bool) -> DataFrame:
+    """Every pair (a < b) of nodes in different components that may reach the similarity. `items`: node, token, weight of whole sets;
+    `apart`: node, part (its component).
 
     With all tokens in one order, rare ones first, two sets of (set or probability) Jaccard s share a token among
     the first of each: those that more than s of its tokens, or more than s of its weight, do not follow. (Neither
     Jaccard exceeds the share of tokens, or of normalised weight, that the two have in common.) `sized`: sets of
     too different sizes cannot be alike. A token whose nodes are all of one component is dropped.
     """
-    rows = items.withColumn("cell", F.pmod("token", F.lit(CELLS)))
+    rows = items.withColumn("cell", cell(F.col("token")))
     cells = rows.groupBy("cell").agg(F.count(F.lit(1)).alias("often"))
     whole = Window.partitionBy("node")
     order = whole.orderBy("often", "token")
@@ -60,8 +84,8 @@ def apart_pairs(items: DataFrame, comp: DataFrame, similarity: float, sized: boo
     )
     slack = 1 - similarity
     first = ranked.where((F.col("rank") - 1 <= slack * F.col("n") + 1e-6) | (F.col("mass") <= slack * F.col("total") + 1e-6))
-    placed = checkpointed(first.join(comp, "node", "left").select("token", "node", "n", F.coalesce("component", "node").alias("part")))
-    mixed = placed.groupBy("token").agg(F.min("part").alias("low"), F.max("part").alias("high")).where("low < high").select("token")
+    placed = checkpointed(first.join(apart, "node").select("token", "node", "n", "part", F.xxhash64("part").alias("h")))
+    mixed = placed.groupBy("token").agg(F.min("h").alias("lo"), F.max("h").alias("hi")).where("lo < hi").select("token")
     met = checkpointed(placed.join(mixed, "token", "left_semi"))
     x, y = (met.select("token", *[F.col(c).alias(f"{c}_{k}") for c in ("node", "n", "part")]) for k in "xy")
     both = x.join(y, "token").where("part_x < part_y")
@@ -70,10 +94,16 @@ def apart_pairs(items: DataFrame, comp: DataFrame, similarity: float, sized: boo
     return both.select(F.least("node_x", "node_y").alias("a"), F.greatest("node_x", "node_y").alias("b")).distinct()
 
 
-def whole_components(links: DataFrame, items: DataFrame, similarity: float, verify: Callable[[DataFrame], DataFrame], sized: bool = False) -> DataFrame:
-    """Components (node, component) of the links and of all verified pairs among the nodes of `items`."""
+def whole_components(links: DataFrame, many: DataFrame, keyed: DataFrame, items_of: Callable[[DataFrame], DataFrame], verify: Callable[[DataFrame], DataFrame], similarity: float, sized: bool = False) -> DataFrame:
+    """Components (node, component) of the links and of all verified pairs among the members of large buckets.
+
+    `many`: bucket and key of those members; `keyed`: key and node; `items_of` gives the items of such nodes.
+    """
     comp = connected_components(links)
-    more = checkpointed(verify(apart_pairs(items, comp, similarity, sized)))
+    apart = apart_members(many, keyed, comp)
+    if not apart.take(1):
+        return comp
+    more = checkpointed(verify(apart_pairs(items_of(apart), apart, similarity, sized)))
     if not more.take(1):
         return comp
     return connected_components(comp.select(F.col("node").alias("a"), F.col("component").alias("b")).union(more))

@@ -1,15 +1,15 @@
 """Fuzzy line deduplication by MinHash, in DataFrame and SQL functions only.
 
-A line (normalised: lower case, single spaces) is a node named by its md5. Its shingles are the runs of
-SHINGLE characters that start at its words (a longer word counts as a whole; in scripts without spaces
-they start at each character). Each band of the signature takes the three least or the three greatest
-values of a reordering of the hashed shingle set, which agree for two lines with about the cube of
-their Jaccard; bands give candidates, whose exact Jaccard is then computed from the whole sets. Equal and
-verified lines form components by distributed union-find, and of each component the first line, by
-(doc_id, line number), stays. Large buckets are not expanded into pairs; the components of their members
-are completed by an exact join (see candidates).
-
-Lines shorter than MIN_CHARS say too little to be called copies and always stay, as do blank lines.
+A line (normalised: lower case, single spaces, trimmed) is a node named by its md5. Its shingles are all its runs
+of SHINGLE characters, at every position (a shorter line is one shingle), whatever its script or length. They are
+hashed once; in the circle of hash values, band k of the signature is the three distinct hashes that follow point
+k, so two lines share a band with about the cube of their Jaccard. Bands give candidates, whose exact Jaccard is
+then computed from the whole sets. Equal and verified lines form components by distributed union-find, and of each
+component the first line, by (doc_id, text, line number), stays. Large buckets are not expanded into pairs; the
+components of their members are completed by an exact join (see candidates).
+
+Blank lines always stay. A document row is known by its doc_id and its text, so rows that repeat both are one
+document, and rows that repeat only the id are not confused.
 """
 
 from __future__ import annotations
@@ -17,20 +17,14 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from brindle.llm.candidates import SMALL_AGAIN, bucket_pairs, whole_components
+from brindle.llm.candidates import bucket_pairs, in_cells, whole_components
 from brindle.llm.common import checkpointed, scratch, table
 
-SHINGLE, SIMILARITY, MIN_CHARS = 10, 0.8, 20
-#: Bands of the first round: a pair of Jaccard 0.8 shares one with probability 0.997, of 0.85 with 0.9995.
-BANDS = 8
-#: Second round, for lines of large buckets: LONG_BANDS of two such bands together: 0.99 at 0.8, but 0.22 at 0.5.
-LONG_BANDS = 16
-#: Scripts written without spaces: Thai, Lao, Myanmar, Khmer, kana, Han. Looked for in lines of two bytes a character or more.
-UNSPACED = "\u0E00-\u0EFF\u1000-\u109F\u1780-\u17FF\u3040-\u30FF\u3400-\u9FFF"
-STARTS = rf"(?:^|\x20)(?=(\S{{{SHINGLE},}}+|.{{1,{SHINGLE}}}))"
-STARTS_UNSPACED = rf"(?:^|(?<=\x20)|(?=[{UNSPACED}]))(?=(.{{1,{SHINGLE}}}))"
-#: So many document ids may be broadcast (some 30 MB); more are joined by a shuffle.
-BROADCAST_IDS = 1_000_000
+SHINGLE, SIMILARITY = 10, 0.8
+#: A pair of Jaccard 0.8 shares one of the bands with probability 0.997, of 0.85 with 0.9995.
+BANDS, ROWS = 8, 3
+#: The points of the circle of 64-bit hashes at which the bands begin.
+POINTS = [(2 * k + 1) * (1 << 64) // (2 * BANDS) - (1 << 63) for k in range(BANDS)]
 WHITE = ("\t", "\r", "\v", "\f", "  ")
 
 
@@ -43,106 +37,101 @@ def normalised(text: Column) -> Column:
 
 
 def lines_of(docs: DataFrame) -> DataFrame:
-    """doc_id, line (number from 0), norm and node of every line that counts. `docs` has doc_id and text.
+    """doc_id, mark, line (number from 0), norm and node of every line that is not blank. `docs` has doc_id, mark and text.
 
     (The outer form of explode keeps Spark from splitting once more, only to test for emptiness.)
     """
-    rows = docs.select("doc_id", F.posexplode_outer(F.split(normalised(F.col("text")), "\n", -1)).alias("line", "raw"))
-    return rows.select("doc_id", "line", F.trim("raw").alias("norm")).where(F.length("norm") >= MIN_CHARS).withColumn("node", F.unhex(F.md5("norm")))
+    rows = docs.select("doc_id", "mark", F.posexplode_outer(F.split(normalised(F.col("text")), "\n", -1)).alias("line", "raw"))
+    return rows.select("doc_id", "mark", "line", F.trim("raw").alias("norm")).where("norm <> ''").withColumn("node", F.unhex(F.md5("norm")))
 
 
-def shingle_set(norm: Column) -> Column:
-    """Hashes of the distinct shingles."""
-    wide = F.octet_length(norm) >= 2 * F.length(norm)
-    found = F.when(wide, F.regexp_extract_all(norm, F.lit(STARTS_UNSPACED), F.lit(1))).otherwise(F.regexp_extract_all(norm, F.lit(STARTS), F.lit(1)))
-    return F.array_distinct(F.transform(found, lambda s: F.xxhash64(s)))
+def shingle_hashes(norm: Column) -> Column:
+    """Hashes of the distinct shingles.
 
-
-def banded(rows: DataFrame, bands: int, seed: int = 0) -> DataFrame:
-    """Replaces the hash set `h` by `buckets`, one number per band (none for an empty set).
-
-    The three least values of a reordering are a sample without repetition, and so are the three greatest.
+    In UTF-32 every character has four bytes, so a shingle is cut out in constant time. (The text is bound to a
+    lambda variable, since a column of bytes would be copied at each use.)
     """
-    rest = [c for c in rows.columns if c != "h"]
-    turned = rows.select(*rest, F.size("h").alias("n"), *[F.sort_array(_reordered(F.col("h"), seed + i)).alias(f"h{i}") for i in range(bands // 2)])
-    ends = lambda i: (F.slice(f"h{i}", 1, 3), F.slice(f"h{i}", F.greatest(F.col("n") - 2, F.lit(1)), F.lit(3)))
-    keys = [F.xxhash64(F.lit(seed + 2 * i + k), end) for i in range(bands // 2) for k, end in enumerate(ends(i))]
-    return turned.select(*rest, F.when(F.col("n") > 0, F.array(*keys)).alias("buckets"))
+    width = 4 * SHINGLE
+    starts = lambda b: F.sequence(F.lit(1), F.greatest(F.octet_length(b) - (width - 1), F.lit(1)), F.lit(4))
+    found = F.transform(F.array(F.encode(norm, "UTF-32")), lambda b: F.transform(starts(b), lambda i: F.xxhash64(F.substring(b, i, F.lit(width)))))
+    return F.array_distinct(F.element_at(found, 1))
 
 
-def _reordered(hashes: Column, seed: int) -> Column:
-    return F.transform(hashes, lambda x: F.xxhash64(x, F.lit(seed)))
-
-
-def in_pairs(rows: DataFrame) -> DataFrame:
-    """Joins each two neighbouring buckets into one."""
-    n = F.size("buckets") / 2
-    return rows.select("node", F.transform(F.sequence(F.lit(0), n.cast("int") - 1), lambda k: F.xxhash64(k, F.slice("buckets", 2 * k + 1, F.lit(2)))).alias("buckets"))
+def banded(rows: DataFrame) -> DataFrame:
+    """Replaces the hashes `h` (one at least) by `buckets`, one 64-bit key per band."""
+    rest = [c for c in rows.columns if c != "h"]
+    ring = rows.select(*rest, F.sort_array("h").alias("h"))
+    # where a point would be in the sorted hashes: its place among hashes and points, less the points before it
+    ring = ring.select(*rest, F.size("h").alias("n"), F.concat("h", F.slice("h", 1, ROWS)).alias("h"), F.sort_array(F.concat("h", F.array(*map(F.lit, POINTS)))).alias("merged"))
+    after = lambda k: F.pmod(F.array_position("merged", F.lit(POINTS[k])).cast("int") - (k + 1), F.col("n"))
+    return ring.select(*rest, F.array(*[F.xxhash64(F.lit(k), F.slice("h", after(k) + 1, F.lit(ROWS))) for k in range(BANDS)]).alias("buckets"))
 
 
-def exploded(rows: DataFrame) -> DataFrame:
-    """node and bucket. (The outer form keeps Spark from testing the list, and so computing it, twice.)"""
-    return rows.select("node", F.explode_outer("buckets").alias("bucket")).where("bucket IS NOT NULL")
+def verified(pairs: DataFrame, norms: DataFrame, similarity: float) -> DataFrame:
+    """Links (a, b) between the nodes of each pair of keys whose exact Jaccard reaches the threshold. `norms`: key, node, norm."""
+    a, b = (norms.select(F.col("key").alias(n), F.col("node").alias(f"node_{n}"), F.col("norm").alias(f"norm_{n}")) for n in "ab")
+    both = pairs.join(a, "a").join(b, "b").select("node_a", "node_b", shingle_hashes(F.col("norm_a")).alias("sa"), shingle_hashes(F.col("norm_b")).alias("sb"))
+    sized = both.select("node_a", "node_b", (F.size("sa") + F.size("sb")).alias("n"), F.size(F.array_intersect("sa", "sb")).alias("shared"))
+    return sized.where(F.col("shared") >= similarity * (F.col("n") - F.col("shared")) - 1e-9).select(F.col("node_a").alias("a"), F.col("node_b").alias("b"))
 
 
-def verified(pairs: DataFrame, sets: DataFrame, similarity: float) -> DataFrame:
-    """The pairs (a, b) whose exact Jaccard reaches the threshold. `sets`: node, set."""
-    a, b = (sets.select(F.col("node").alias(n), F.col("set").alias(f"s{n}")) for n in "ab")
-    both = pairs.join(a, "a").join(b, "b").withColumn("shared", F.size(F.array_intersect("sa", "sb")))
-    return both.where(F.col("shared") >= similarity * (F.size("sa") + F.size("sb") - F.col("shared")) - 1e-9).select("a", "b")
+def marked(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """doc_id, mark (hash of the text) and text of each row that has both."""
+    text = F.col(text_col).cast("string")
+    return docs.select(F.col(id_col).alias("doc_id"), F.xxhash64(text).alias("mark"), text.alias("text")).where("doc_id IS NOT NULL AND text IS NOT NULL")
 
 
 def dropped_lines(docs: DataFrame, similarity: float = SIMILARITY, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """doc_id and line number of each line that an earlier line (by doc_id, then number) makes superfluous, with
-    the place of the one that stays (keep_id, keep_line). Null texts have no lines, rows without doc_id are left alone."""
-    rows = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).cast("string").alias("text")).where("doc_id IS NOT NULL AND text IS NOT NULL")
-    path = scratch(docs.sparkSession, "lines")
-    found = lines_of(rows)
-    banded(found.select("node", "doc_id", "line", shingle_set(F.col("norm")).alias("h")), BANDS).write.parquet(path)
-    lines = docs.sparkSession.read.parquet(path)
-    nodes = checkpointed(lines.groupBy("node").agg(F.min(F.struct("doc_id", "line")).alias("first"), F.count(F.lit(1)).alias("n"), F.first("buckets").alias("buckets")))
-    pairs, crowd = bucket_pairs(exploded(nodes))
-    pairs = checkpointed(pairs)
-    need = pairs.select(F.col("a").alias("node")).union(pairs.select("b")).distinct()
-    wanted = checkpointed(nodes.join(need, "node", "left_semi").select("node", F.col("first.doc_id").alias("doc_id")))
-    # a line's text comes from the first document that has it; only such documents are split once more
-    ids = wanted.select("doc_id").distinct()
-    ids = F.broadcast(ids) if ids.count() <= BROADCAST_IDS else ids
-    again = lines_of(rows.join(ids, "doc_id", "left_semi")).select("doc_id", "node", "norm")
-    sets = checkpointed(again.join(wanted, ["doc_id", "node"]).groupBy("node").agg(F.first("norm").alias("norm")).select("node", shingle_set(F.col("norm")).alias("set")))
-    links = checkpointed(verified(pairs, sets, similarity))
-    longer = checkpointed(banded(sets.join(crowd, "node", "left_semi").select("node", F.col("set").alias("h")), 2 * LONG_BANDS, seed=1000).where("buckets IS NOT NULL"))
-    more, _ = bucket_pairs(exploded(in_pairs(longer)), SMALL_AGAIN)
-    links = links.union(verified(more.join(pairs, ["a", "b"], "left_anti"), sets, similarity))
-    items = sets.join(crowd, "node", "left_semi").select("node", F.explode("set").alias("token"), F.lit(1).alias("weight"))
-    comp = whole_components(links, items, similarity, lambda found: verified(found, sets, similarity), sized=True)
-    joined = nodes.select("node", "first", "n").join(comp, "node", "left")
+    """doc_id, mark and line number of each line that an earlier line makes superfluous, with the place of the one
+    that stays (keep_id, keep_line). Null and empty texts have no lines, rows without doc_id are left alone, other
+    columns are not read, and an empty table gives no rows."""
+    spark = docs.sparkSession
+    rows = marked(docs, id_col, text_col)
+    path = scratch(spark, "lines")
+    banded(lines_of(rows).select("node", "doc_id", "mark", "line", shingle_hashes(F.col("norm")).alias("h"))).write.parquet(path)
+    lines = spark.read.parquet(path)
+    nodes = lines.groupBy("node").agg(F.min(F.struct("doc_id", "mark", "line")).alias("first"), F.count(F.lit(1)).alias("n"), F.first("buckets").alias("buckets"))
+    nodes = checkpointed(nodes.withColumn("key", F.xxhash64("node")))
+    pairs, many = bucket_pairs(nodes.select("key", F.explode_outer("buckets").alias("bucket")))
+    need = pairs.select(F.col("a").alias("key")).union(pairs.select("b")).distinct()
+    wanted = checkpointed(in_cells(nodes.select("key", "node", "first.*"), "key", need).join(need, "key", "left_semi"))
+    # a line's text comes from the first document that has it; few other documents are split once more
+    again = in_cells(lines_of(in_cells(rows, "mark", wanted)).withColumn("key", F.xxhash64("node")), "key", wanted)
+    norms = checkpointed(again.join(wanted, ["key", "node", "doc_id", "mark", "line"], "left_semi").select("key", "node", "norm").dropDuplicates(["node"]))
+    links = checkpointed(verified(pairs, norms, similarity))
+    items = lambda few: norms.join(few, "node", "left_semi").select("node", F.explode(shingle_hashes(F.col("norm"))).alias("token"), F.lit(1).alias("weight"))
+    keys = lambda found: found.select(F.xxhash64("a").alias("a"), F.xxhash64("b").alias("b"))
+    comp = whole_components(links, many, norms.select("key", "node"), items, lambda found: verified(keys(found), norms, similarity), similarity, sized=True)
+    joined = nodes.select("node", "first", "n").join(comp, "node", "left").where("component IS NOT NULL OR n > 1")
     keep = joined.where("component IS NOT NULL").groupBy("component").agg(F.min("first").alias("keep"))
-    linked = joined.where("component IS NOT NULL").join(keep, "component").select("node", "keep")
-    alone = joined.where("component IS NULL AND n > 1").select("node", F.col("first").alias("keep"))
-    placed = lines.select("node", "doc_id", "line").join(linked.union(alone), "node")
-    return placed.where((F.col("doc_id") != F.col("keep.doc_id")) | (F.col("line") != F.col("keep.line"))).select("doc_id", "line", F.col("keep.doc_id").alias("keep_id"), F.col("keep.line").alias("keep_line"))
+    copies = checkpointed(joined.join(keep, "component", "left").select("node", F.coalesce("keep", "first").alias("keep")))
+    placed = lines.select("node", "doc_id", "mark", "line").join(copies, "node")
+    return placed.where(F.struct("doc_id", "mark", "line") != F.col("keep")).select("doc_id", "mark", "line", F.col("keep.doc_id").alias("keep_id"), F.col("keep.line").alias("keep_line"))
 
 
 def dedup_lines(docs: DataFrame, similarity: float = SIMILARITY) -> DataFrame:
-    """The input's rows and columns, texts without their dropped lines.
+    """The input's rows and columns (any names), texts without their dropped lines.
 
-    A document that loses all its lines goes; one that had none to begin with (null or empty) stays. Rows
-    that repeat a doc_id share their lines' fate.
+    A document that loses all its lines goes; one that had none to begin with (null, empty or blank), or has no
+    doc_id, stays. Rows that repeat a doc_id with another text are documents of their own; rows that repeat both
+    are one document, in which no line is superfluous because of the other row. An empty table stays empty.
     """
-    gone = dropped_lines(docs, similarity).groupBy("doc_id").agg(F.collect_set("line").alias("_gone"))
-    lines = F.transform(F.split("text", "\n", -1), lambda raw, i: F.struct(raw.alias("raw"), i.alias("i")))
-    kept = F.transform(F.filter(lines, lambda x: ~F.array_contains("_gone", x["i"])), lambda x: x["raw"])
-    cut = docs.join(gone, "doc_id", "left").withColumn("_kept", F.when(F.col("_gone").isNotNull(), kept))
-    left = cut.where("_kept IS NULL OR exists(_kept, x -> trim(x) <> '')")
-    return left.withColumn("text", F.when(F.col("_kept").isNotNull(), F.array_join("_kept", "\n")).otherwise(F.col("text"))).select(docs.columns)
+    gone = dropped_lines(docs, similarity).groupBy("doc_id", "mark").agg(F.collect_set("line").alias("gone"))
+    gone = gone.select(F.col("doc_id").alias("gone_id"), F.col("mark").alias("gone_mark"), "gone")
+    whole = docs.select(F.struct("*").alias("row"), F.split(F.col("text").cast("string"), "\n", -1).alias("lines"))
+    cut = whole.join(gone, (F.col("row.doc_id") == F.col("gone_id")) & (F.xxhash64(F.col("row.text").cast("string")) == F.col("gone_mark")), "left")
+    left = F.array_except(F.sequence(F.lit(0), F.size("lines") - 1), "gone")
+    kept = cut.select("row", F.when(F.col("gone").isNotNull(), F.transform(left, lambda i: F.get("lines", i))).alias("kept"))
+    stay = kept.where("kept IS NULL OR exists(kept, x -> trim(x) <> '')")
+    text = F.when(F.col("kept").isNotNull(), F.array_join("kept", "\n")).otherwise(F.col("row.text"))
+    return stay.select(*[text.alias(c) if c == "text" else F.col("row").getField(c).alias(c) for c in docs.columns])
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
     """One row per document: its number of lines, the numbers of those that go, and where each one's kept line is."""
     docs = table(spark, sf_dir, "documents")
-    gone = dropped_lines(docs).groupBy("doc_id").agg(F.array_sort(F.collect_set(F.struct("line", "keep_id", "keep_line"))).alias("gone"))
-    rows = docs.select("doc_id", F.coalesce(F.size(F.split("text", "\n", -1)), F.lit(0)).cast("long").alias("n_lines"))
+    gone = dropped_lines(docs).groupBy("doc_id", "mark").agg(F.array_sort(F.collect_set(F.struct("line", "keep_id", "keep_line"))).alias("gone"))
+    rows = docs.select("doc_id", F.xxhash64("text").alias("mark"), F.coalesce(F.size(F.split("text", "\n", -1)), F.lit(0)).cast("long").alias("n_lines"))
     none = F.array().cast(gone.schema["gone"].dataType)
-    joined = rows.join(gone, "doc_id", "left").withColumn("gone", F.coalesce("gone", none)).withColumn("n_dropped", F.size("gone").cast("long"))
+    joined = rows.join(gone, ["doc_id", "mark"], "left").withColumn("gone", F.coalesce("gone", none)).withColumn("n_dropped", F.size("gone").cast("long"))
     return joined.select("doc_id", "n_lines", "n_dropped", F.transform("gone", lambda g: g["line"]).alias("dropped"), F.transform("gone", lambda g: g["keep_id"]).alias("keep_ids"), F.transform("gone", lambda g: g["keep_line"]).alias("keep_lines"))

@@ -6,9 +6,8 @@
    registers agree with the probability Jaccard similarity. Where shingles repeat, a second signature with all
    weights 1 does the same for the set Jaccard.
 2. Equal word sequences become one node. Nodes that share a band of registers are candidates: all pairs of a
-   small bucket; in a larger one each member with the bucket's most central member. The members of large buckets
-   get longer bands and go through the same once more, so that most links besides those to the centre are found
-   too; members still in different components then meet in an exact prefix join of their shingles.
+   small bucket; in a larger one each member with the bucket's most central member. Members of a large bucket that
+   are not one component by then meet in an exact prefix join of their shingles.
 3. Candidates are verified on their whole shingle sets.
 4. Components of verified links are the classes; the smallest doc_id of a class stays.
 """
@@ -23,16 +22,15 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from brindle.llm.candidates import SMALL_AGAIN, bucket_pairs, whole_components
+from brindle.llm.candidates import bucket_pairs, in_cells, whole_components
 from brindle.llm.common import bound_batches, checkpointed, table
 from brindle.llm.decontaminate import words
 
 SHINGLE, SIMILARITY = 5, 0.8
 #: A pair of similarity 0.8 shares one of the first round's bands with probability 0.9998.
 BANDS, ROWS = 16, 4
-#: Bands of the second round, for nodes of large buckets: 0.97 at 0.8, 0.999 at 0.85, but 0.01 at 0.5.
-LONG_BANDS, LONG_ROWS = 48, 12
-WORD_MEMORY = 1_000_000
+#: Words whose hashes a task remembers, some 20 MB.
+WORD_MEMORY = 100_000
 
 
 class WordHashes(dict):
@@ -190,33 +188,17 @@ def shingle_sets(docs: DataFrame) -> DataFrame:
 
 
 def verified(pairs: DataFrame, sets: DataFrame, similarity: float) -> DataFrame:
-    """The pairs (a, b) whose set or probability Jaccard reaches the threshold."""
-    left, right = (sets.select(F.col("node").alias(n), F.struct("set", "weights").alias(f"s{n}")) for n in "ab")
+    """Links (a, b) between the nodes of each pair of keys whose set or probability Jaccard reaches the threshold. `sets`: key, node, set, weights."""
+    left, right = (sets.select(F.col("key").alias(n), F.struct("node", "set", "weights").alias(f"s{n}")) for n in "ab")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         unpack = lambda s: (np.frombuffer(s["set"], dtype=np.uint64), np.frombuffer(s["weights"], dtype="<u4"))
         for batch in batches:
-            ok = [max(jaccard(unpack(x), unpack(y))) >= similarity for x, y in zip(batch.column("sa").to_pylist(), batch.column("sb").to_pylist(), strict=True)]
-            yield batch.select(["a", "b"]).filter(pa.array(ok, pa.bool_()))
+            both = zip(batch.column("sa").to_pylist(), batch.column("sb").to_pylist(), strict=True)
+            ok = [(x["node"], y["node"]) for x, y in both if max(jaccard(unpack(x), unpack(y))) >= similarity]
+            yield pa.RecordBatch.from_arrays([pa.array([p[k] for p in ok], pa.binary()) for k in (0, 1)], names=["a", "b"])
 
-    return pairs.join(left, "a").join(right, "b").select("a", "b", "sa", "sb").mapInArrow(run, "a binary, b binary")
-
-
-def longer_bands(sets: DataFrame) -> DataFrame:
-    """node and its second-round buckets, from its packed shingle set."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            if not batch.num_rows:
-                continue
-            h = [np.frombuffer(s, dtype=np.uint64) for s in batch.column("set").to_pylist()]
-            w = [np.frombuffer(s, dtype="<u4") for s in batch.column("weights").to_pylist()]
-            doc = np.repeat(np.arange(len(h)), [len(x) for x in h])
-            # other draws than in the first round
-            key = both_bands(doc, mix(np.concatenate(h)), np.concatenate(w), len(h), LONG_BANDS, LONG_ROWS)
-            yield pa.RecordBatch.from_arrays([batch.column("node"), pa.array(key, pa.list_(pa.int64()))], names=["node", "buckets"])
-
-    return sets.select("node", "set", "weights").mapInArrow(run, "node binary, buckets array<bigint>")
+    return pairs.join(left, "a").join(right, "b").select("sa", "sb").mapInArrow(run, "a binary, b binary")
 
 
 def weighted_items(sets: DataFrame) -> DataFrame:
@@ -232,34 +214,39 @@ def weighted_items(sets: DataFrame) -> DataFrame:
     return rows.select("node", F.explode(F.arrays_zip("tokens", "weights")).alias("item")).select("node", F.col("item.tokens").alias("token"), F.col("item.weights").alias("weight"))
 
 
+def near_nodes(rows: DataFrame, similarity: float) -> DataFrame:
+    """doc_id, node and class (a node of its component) of each row. `rows` has doc_id and text."""
+    bound_batches(rows.sparkSession, rows=1000, size=4 << 20)
+    signed = checkpointed(signatures(rows))
+    nodes = signed.groupBy("node").agg(F.min(F.struct(F.col("doc_id").isNull(), "doc_id")).alias("rep"), F.first("buckets").alias("buckets"))
+    nodes = checkpointed(nodes.select("node", F.xxhash64("node").alias("key"), F.col("rep.doc_id").alias("rep"), "buckets"))
+    pairs, many = bucket_pairs(nodes.select("key", F.explode("buckets").alias("bucket")))
+    need = pairs.select(F.col("a").alias("key")).union(pairs.select("b")).distinct()
+    wanted = checkpointed(nodes.select("node", "key", "rep").join(need, "key", "left_semi"))
+    # a node's text comes from rows of its smallest doc_id (null where it has none)
+    place = lambda c: F.xxhash64(F.col(c).isNull(), c)
+    found = in_cells(rows.withColumn("place", place("doc_id")), "place", wanted.withColumn("place", place("rep"))).drop("place")
+    sets = shingle_sets(found).withColumn("key", F.xxhash64("node"))
+    sets = checkpointed(in_cells(sets, "key", wanted).join(wanted, ["key", "node"], "left_semi").dropDuplicates(["node"]))
+    links = checkpointed(verified(pairs, sets, similarity))
+    keys = lambda found: found.select(F.xxhash64("a").alias("a"), F.xxhash64("b").alias("b"))
+    items = lambda few: weighted_items(sets.join(few, "node", "left_semi"))
+    comp = whole_components(links, many, sets.select("key", "node"), items, lambda found: verified(keys(found), sets, similarity), similarity)
+    return signed.select("doc_id", "node").join(comp, "node", "left").select("doc_id", "node", F.coalesce("component", "node").alias("class"))
+
+
 def near_classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", similarity: float = SIMILARITY) -> DataFrame:
-    """One row per input row: doc_id, class_id (smallest doc_id of its class), class_size, kept (doc_id is class_id).
+    """One row per input row: doc_id, class_id (smallest doc_id of its class), class_size (rows), kept (doc_id is class_id).
 
     Null and empty texts, and texts without words, are alike only if their raw texts are equal (null
-    counts as empty). Rows that repeat a doc_id are rows of that document; rows without doc_id take part in
-    linking, and a class made of them only has no class_id, and keeps them. No other column is read.
+    counts as empty). Rows without doc_id take part in linking; a class made of them only has no class_id, and
+    keeps them. Rows that repeat a doc_id are in the class of their own text. No other column is read, and an empty
+    table gives no rows.
     """
-    spark = docs.sparkSession
-    bound_batches(spark, rows=1000, size=4 << 20)
     rows = docs.select(F.col(id_col).alias("doc_id"), F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("text"))
-    signed = checkpointed(signatures(rows))
-    nodes = signed.groupBy("node").agg(F.min("doc_id").alias("rep"), F.first("buckets").alias("buckets"))
-    members = nodes.where("rep IS NOT NULL").select("node", F.explode("buckets").alias("bucket"))
-    pairs, crowd = bucket_pairs(members)
-    pairs = checkpointed(pairs)
-    need = pairs.select(F.col("a").alias("node")).union(pairs.select("b")).distinct()
-    ids = nodes.select("node", "rep").join(need, "node", "left_semi")
-    found = rows.join(ids.select(F.col("rep").alias("doc_id")), "doc_id", "left_semi")
-    sets = checkpointed(shingle_sets(found).join(need, "node", "left_semi").dropDuplicates(["node"]))
-    links = checkpointed(verified(pairs, sets, similarity))
-    again = longer_bands(sets.join(crowd, "node", "left_semi")).select("node", F.explode("buckets").alias("bucket"))
-    more, _ = bucket_pairs(again, SMALL_AGAIN)
-    links = links.union(verified(more.join(pairs, ["a", "b"], "left_anti"), sets, similarity))
-    items = weighted_items(sets.join(crowd, "node", "left_semi"))
-    comp = whole_components(links, items, similarity, lambda found: verified(found, sets, similarity))
-    labelled = signed.select("doc_id", "node").join(comp, "node", "left").select("doc_id", F.coalesce("component", "node").alias("component"))
-    classes = labelled.groupBy("component").agg(F.min("doc_id").alias("class_id"), F.count(F.lit(1)).alias("class_size")).where("class_size > 1")
-    return labelled.join(classes, "component", "left").select(
+    labelled = checkpointed(near_nodes(rows, similarity))
+    classes = labelled.groupBy("class").agg(F.min("doc_id").alias("class_id"), F.count(F.lit(1)).alias("class_size")).where("class_size > 1")
+    return labelled.join(classes, "class", "left").select(
         "doc_id",
         F.when(F.col("class_size").isNull(), F.col("doc_id")).otherwise(F.col("class_id")).alias("class_id"),
         F.coalesce("class_size", F.lit(1)).cast("long").alias("class_size"),
@@ -267,9 +254,18 @@ def near_classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
 
 
 def drop_near_duplicates(docs: DataFrame, similarity: float = SIMILARITY) -> DataFrame:
-    """The input's rows and columns, one document of each class; rows without doc_id stay."""
-    kept = near_classes(docs, similarity=similarity).where("kept AND doc_id IS NOT NULL").select("doc_id").distinct()
-    return docs.join(kept, "doc_id", "left_semi").dropDuplicates(["doc_id"]).select(docs.columns).unionByName(docs.where("doc_id IS NULL"))
+    """The input's rows and columns (any names), one document of each class: its smallest (doc_id, text).
+
+    Rows without doc_id stay. Rows that repeat a doc_id with another text are documents of their own; of rows that
+    repeat both one stays. An empty table stays empty.
+    """
+    # a text's node is a digest of its words; the mark tells texts with equal words apart
+    own = docs.select(F.struct("*").alias("row"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
+    own = own.select("row", "text", F.col("row.doc_id").alias("doc_id"), F.xxhash64("text").alias("mark"))
+    ids = own.where("doc_id IS NOT NULL").select(F.struct("doc_id", "mark").alias("doc_id"), "text")
+    kept = near_nodes(ids, similarity).groupBy("class").agg(F.min("doc_id").alias("keep")).select(F.col("keep.doc_id").alias("keep_id"), F.col("keep.mark").alias("keep_mark"))
+    stay = own.join(kept, (F.col("doc_id") == F.col("keep_id")) & (F.col("mark") == F.col("keep_mark")), "left_semi").dropDuplicates(["doc_id", "mark"])
+    return stay.select("row.*").union(own.where("doc_id IS NULL").select("row.*"))
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -6,14 +6,10 @@ from collections import defaultdict
 from itertools import combinations
 
 import pytest
-import regex
 
 import __spark_entry__ as entry
 import corpus_pipeline
-from brindle.llm import decontaminate, line_dedup, near_dedup, packing, quality
-
-START = regex.compile(r"(?:^|(?<= ))(?=(\S{10,}|.{1,10}))")
-
+from brindle.llm import decontaminate, near_dedup, packing, quality
 
 def classes(keys, alike):
     parent = {k: k for k in keys}
@@ -34,9 +30,9 @@ def brute_lines(docs):
     for i in sorted(docs):
         for k, raw in enumerate(docs[i].split("\n")):
             norm = " ".join(raw.split()).lower()
-            if len(norm) >= line_dedup.MIN_CHARS:
+            if norm:
                 places[norm].append((i, k))
-    sets = {n: set(START.findall(n)) for n in places}
+    sets = {n: {n[i : i + 10] for i in range(max(1, len(n) - 9))} for n in places}
     label = classes(sorted(places), lambda a, b: sets[a] and len(sets[a] & sets[b]) >= 0.8 * len(sets[a] | sets[b]))
     groups = defaultdict(list)
     for n, c in label.items():
