@@ -2,8 +2,9 @@
 
 Used by both near-duplicate operators. Bands are short, so that hardly any similar pair is missed; where that
 makes a bucket large, its members meet only the most central of them at first. Members of a large bucket that
-are not one component by then are settled by an exact join of the prefixes of their sets (apart_pairs), so that
-no bucket's overflow is lost. Everything here is joins and aggregations; the passes over all members are
+are not one component by then get a second round with longer bands, which tell the similar from the merely
+related; what is still apart in a large bucket of that round is settled by an exact join of the prefixes of their
+sets (apart_pairs), so that no bucket's overflow is lost. Everything here is joins and aggregations; the passes over all members are
 hash aggregates of 64-bit keys.
 """
 
@@ -19,7 +20,7 @@ from brindle.llm.components import connected_components
 
 #: Buckets of up to so many nodes are compared pair by pair.
 SMALL = 6
-#: Filters by cell and orders by cell are broadcasts of so many rows at most, for any input.
+#: Filters by cell are broadcasts of so many rows at most, for any input.
 CELLS = 1 << 18
 
 
@@ -73,17 +74,17 @@ def apart_pairs(items: DataFrame, apart: DataFrame, similarity: float, sized: bo
     Jaccard exceeds the share of tokens, or of normalised weight, that the two have in common.) `sized`: sets of
     too different sizes cannot be alike. A token whose nodes are all of one component is dropped.
     """
-    rows = items.withColumn("cell", cell(F.col("token")))
-    cells = rows.groupBy("cell").agg(F.count(F.lit(1)).alias("often"))
+    items = checkpointed(items)
+    often = items.groupBy("token").agg(F.count(F.lit(1)).alias("often"))
     whole = Window.partitionBy("node")
     order = whole.orderBy("often", "token")
     before = order.rowsBetween(Window.unboundedPreceding, -1)
-    ranked = rows.join(F.broadcast(cells), "cell").select(
-        "node", "token", F.row_number().over(order).alias("rank"), F.coalesce(F.sum("weight").over(before), F.lit(0)).alias("mass"),
+    ranked = items.join(often, "token").select(
+        "node", "token", "often", F.row_number().over(order).alias("rank"), F.coalesce(F.sum("weight").over(before), F.lit(0)).alias("mass"),
         F.count(F.lit(1)).over(whole).alias("n"), F.sum("weight").over(whole).alias("total"),
     )
     slack = 1 - similarity
-    first = ranked.where((F.col("rank") - 1 <= slack * F.col("n") + 1e-6) | (F.col("mass") <= slack * F.col("total") + 1e-6))
+    first = ranked.where("often > 1").where((F.col("rank") - 1 <= slack * F.col("n") + 1e-6) | (F.col("mass") <= slack * F.col("total") + 1e-6))
     placed = checkpointed(first.join(apart, "node").select("token", "node", "n", "part", F.xxhash64("part").alias("h")))
     mixed = placed.groupBy("token").agg(F.min("h").alias("lo"), F.max("h").alias("hi")).where("lo < hi").select("token")
     met = checkpointed(placed.join(mixed, "token", "left_semi"))
@@ -94,16 +95,29 @@ def apart_pairs(items: DataFrame, apart: DataFrame, similarity: float, sized: bo
     return both.select(F.least("node_x", "node_y").alias("a"), F.greatest("node_x", "node_y").alias("b")).distinct()
 
 
-def whole_components(links: DataFrame, many: DataFrame, keyed: DataFrame, items_of: Callable[[DataFrame], DataFrame], verify: Callable[[DataFrame], DataFrame], similarity: float, sized: bool = False) -> DataFrame:
-    """Components (node, component) of the links and of all verified pairs among the members of large buckets.
+def whole_components(
+    links: DataFrame, many: DataFrame, keyed: DataFrame, again: Callable[[DataFrame], DataFrame], items_of: Callable[[DataFrame], DataFrame],
+    verify: Callable[[DataFrame], DataFrame], similarity: float, sized: bool = False,
+) -> DataFrame:
+    """Components (node, component) of the links and of the verified pairs among the members of large buckets.
 
-    `many`: bucket and key of those members; `keyed`: key and node; `items_of` gives the items of such nodes.
+    `many`: bucket and key of those members; `keyed`: key and node; `again` gives the second round's key and bucket
+    of such nodes, `items_of` their items; `verify` gives the links of pairs of keys.
     """
     comp = connected_components(links)
     apart = apart_members(many, keyed, comp)
     if not apart.take(1):
         return comp
-    more = checkpointed(verify(apart_pairs(items_of(apart), apart, similarity, sized)))
-    if not more.take(1):
+    pairs, many = bucket_pairs(checkpointed(again(apart)))
+    comp = _joined(comp, verify(pairs))
+    apart = apart_members(many, keyed, comp)
+    if not apart.take(1):
         return comp
-    return connected_components(comp.select(F.col("node").alias("a"), F.col("component").alias("b")).union(more))
+    found = apart_pairs(items_of(apart), apart, similarity, sized)
+    return _joined(comp, verify(found.select(F.xxhash64("a").alias("a"), F.xxhash64("b").alias("b"))))
+
+
+def _joined(comp: DataFrame, links: DataFrame) -> DataFrame:
+    """The components after further links."""
+    links = checkpointed(links)
+    return connected_components(comp.select(F.col("node").alias("a"), F.col("component").alias("b")).union(links)) if links.take(1) else comp

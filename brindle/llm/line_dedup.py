@@ -2,8 +2,8 @@
 
 A line (normalised: lower case, single spaces, trimmed) is a node named by its md5. Its shingles are all its runs
 of SHINGLE characters, at every position (a shorter line is one shingle), whatever its script or length. They are
-hashed once; in the circle of hash values, band k of the signature is the three distinct hashes that follow point
-k, so two lines share a band with about the cube of their Jaccard. Bands give candidates, whose exact Jaccard is
+hashed once; in the circle of hash values, band k of the signature is the first three distinct hashes among those
+that follow point k, so two lines share a band with about the cube of their Jaccard. Bands give candidates, whose exact Jaccard is
 then computed from the whole sets. Equal and verified lines form components by distributed union-find, and of each
 component the first line, by (doc_id, text, line number), stays. Large buckets are not expanded into pairs; the
 components of their members are completed by an exact join (see candidates).
@@ -23,8 +23,8 @@ from brindle.llm.common import checkpointed, scratch, table
 SHINGLE, SIMILARITY = 10, 0.8
 #: A pair of Jaccard 0.8 shares one of the bands with probability 0.997, of 0.85 with 0.9995.
 BANDS, ROWS = 8, 3
-#: The points of the circle of 64-bit hashes at which the bands begin.
-POINTS = [(2 * k + 1) * (1 << 64) // (2 * BANDS) - (1 << 63) for k in range(BANDS)]
+#: Second round, for lines of unsettled large buckets: 0.9993 at 0.8, but 0.02 at 0.3.
+LONG_BANDS, LONG_ROWS = 24, 6
 WHITE = ("\t", "\r", "\v", "\f", "  ")
 
 
@@ -46,7 +46,7 @@ def lines_of(docs: DataFrame) -> DataFrame:
 
 
 def shingle_hashes(norm: Column) -> Column:
-    """Hashes of the distinct shingles.
+    """Hashes of the shingles, in order.
 
     In UTF-32 every character has four bytes, so a shingle is cut out in constant time. (The text is bound to a
     lambda variable, since a column of bytes would be copied at each use.)
@@ -54,23 +54,30 @@ def shingle_hashes(norm: Column) -> Column:
     width = 4 * SHINGLE
     starts = lambda b: F.sequence(F.lit(1), F.greatest(F.octet_length(b) - (width - 1), F.lit(1)), F.lit(4))
     found = F.transform(F.array(F.encode(norm, "UTF-32")), lambda b: F.transform(starts(b), lambda i: F.xxhash64(F.substring(b, i, F.lit(width)))))
-    return F.array_distinct(F.element_at(found, 1))
+    return F.element_at(found, 1)
 
 
-def banded(rows: DataFrame) -> DataFrame:
-    """Replaces the hashes `h` (one at least) by `buckets`, one 64-bit key per band."""
+def banded(rows: DataFrame, bands: int = BANDS, width: int = ROWS) -> DataFrame:
+    """Replaces the hashes `h` (one at least) by `buckets`, one 64-bit key per band.
+
+    The points at which bands begin are sorted into the hashes. Band k looks at the 2 * width hashes after point k
+    (from the end on to the beginning; other points may lie between) and takes the first `width` distinct ones.
+    """
     rest = [c for c in rows.columns if c != "h"]
-    ring = rows.select(*rest, F.sort_array("h").alias("h"))
-    # where a point would be in the sorted hashes: its place among hashes and points, less the points before it
-    ring = ring.select(*rest, F.size("h").alias("n"), F.concat("h", F.slice("h", 1, ROWS)).alias("h"), F.sort_array(F.concat("h", F.array(*map(F.lit, POINTS)))).alias("merged"))
-    after = lambda k: F.pmod(F.array_position("merged", F.lit(POINTS[k])).cast("int") - (k + 1), F.col("n"))
-    return ring.select(*rest, F.array(*[F.xxhash64(F.lit(k), F.slice("h", after(k) + 1, F.lit(ROWS))) for k in range(BANDS)]).alias("buckets"))
+    points = [(2 * k + 1) * (1 << 64) // (2 * bands) - (1 << 63) for k in range(bands)]
+    fixed, window = F.array(*map(F.lit, points)), 2 * width + bands
+    ring = rows.select(*rest, F.sort_array(F.concat("h", fixed)).alias("ring"))
+    ring = ring.select(*rest, F.concat("ring", F.slice("ring", 1, window)).alias("ring"))
+    after = lambda p: F.slice("ring", F.array_position("ring", F.lit(p)).cast("int") + 1, F.lit(window))
+    keys = F.array(*[F.xxhash64(F.lit(k), F.slice(F.array_except(after(p), fixed), 1, width)) for k, p in enumerate(points)])
+    # a higher-order function (here of nothing) makes Spark compile each key by itself; all in one are too large for the JIT
+    return ring.select(*rest, F.concat(keys, F.transform(F.slice("ring", 1, 0), lambda x: x)).alias("buckets"))
 
 
 def verified(pairs: DataFrame, norms: DataFrame, similarity: float) -> DataFrame:
     """Links (a, b) between the nodes of each pair of keys whose exact Jaccard reaches the threshold. `norms`: key, node, norm."""
     a, b = (norms.select(F.col("key").alias(n), F.col("node").alias(f"node_{n}"), F.col("norm").alias(f"norm_{n}")) for n in "ab")
-    both = pairs.join(a, "a").join(b, "b").select("node_a", "node_b", shingle_hashes(F.col("norm_a")).alias("sa"), shingle_hashes(F.col("norm_b")).alias("sb"))
+    both = pairs.join(a, "a").join(b, "b").select("node_a", "node_b", F.array_distinct(shingle_hashes(F.col("norm_a"))).alias("sa"), F.array_distinct(shingle_hashes(F.col("norm_b"))).alias("sb"))
     sized = both.select("node_a", "node_b", (F.size("sa") + F.size("sb")).alias("n"), F.size(F.array_intersect("sa", "sb")).alias("shared"))
     return sized.where(F.col("shared") >= similarity * (F.col("n") - F.col("shared")) - 1e-9).select(F.col("node_a").alias("a"), F.col("node_b").alias("b"))
 
@@ -96,12 +103,13 @@ def dropped_lines(docs: DataFrame, similarity: float = SIMILARITY, id_col: str =
     need = pairs.select(F.col("a").alias("key")).union(pairs.select("b")).distinct()
     wanted = checkpointed(in_cells(nodes.select("key", "node", "first.*"), "key", need).join(need, "key", "left_semi"))
     # a line's text comes from the first document that has it; few other documents are split once more
-    again = in_cells(lines_of(in_cells(rows, "mark", wanted)).withColumn("key", F.xxhash64("node")), "key", wanted)
-    norms = checkpointed(again.join(wanted, ["key", "node", "doc_id", "mark", "line"], "left_semi").select("key", "node", "norm").dropDuplicates(["node"]))
+    texts = in_cells(lines_of(in_cells(rows, "mark", wanted)).withColumn("key", F.xxhash64("node")), "key", wanted)
+    norms = checkpointed(texts.join(wanted, ["key", "node", "doc_id", "mark", "line"], "left_semi").select("key", "node", "norm").dropDuplicates(["node"]))
     links = checkpointed(verified(pairs, norms, similarity))
-    items = lambda few: norms.join(few, "node", "left_semi").select("node", F.explode(shingle_hashes(F.col("norm"))).alias("token"), F.lit(1).alias("weight"))
-    keys = lambda found: found.select(F.xxhash64("a").alias("a"), F.xxhash64("b").alias("b"))
-    comp = whole_components(links, many, norms.select("key", "node"), items, lambda found: verified(keys(found), norms, similarity), similarity, sized=True)
+    of = lambda few: norms.join(few, "node", "left_semi")
+    again = lambda few: banded(of(few).select("key", shingle_hashes(F.col("norm")).alias("h")), LONG_BANDS, LONG_ROWS).select("key", F.explode_outer("buckets").alias("bucket"))
+    items = lambda few: of(few).select("node", F.explode(F.array_distinct(shingle_hashes(F.col("norm")))).alias("token"), F.lit(1).alias("weight"))
+    comp = whole_components(links, many, norms.select("key", "node"), again, items, lambda found: verified(found, norms, similarity), similarity, sized=True)
     joined = nodes.select("node", "first", "n").join(comp, "node", "left").where("component IS NOT NULL OR n > 1")
     keep = joined.where("component IS NOT NULL").groupBy("component").agg(F.min("first").alias("keep"))
     copies = checkpointed(joined.join(keep, "component", "left").select("node", F.coalesce("keep", "first").alias("keep")))
