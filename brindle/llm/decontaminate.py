@@ -1,6 +1,6 @@
 """Benchmark decontamination with a generalised suffix automaton.
 
-The automaton of all test items, over normalised words, is built once per worker from a bounded
+The automaton of all test items, over normalised words, is built once per worker process from a bounded
 block of items. Each document's words are streamed through it: the current state and matched length
 tell the longest run of words, ending here, that occurs in an item. Where that run covers a window
 (`window` consecutive item words, or the whole of a shorter item), its words are hit. Documents lose
@@ -11,19 +11,20 @@ benchmark is scanned in several blocks of items whose hits are united per docume
 from __future__ import annotations
 
 import re
+import uuid
 from collections.abc import Iterator
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from brindle.llm.common import bound_batches, table
+from brindle.llm.common import bound_batches, checkpointed, table
 
 WINDOW = 10
 #: A document with a larger share of hit words is contaminated as a whole.
 MAX_COVERAGE = 0.5
-#: Item words per automaton: bounds what is broadcast (some 20 MB) and a worker's memory.
-BLOCK_WORDS = 1_000_000
+#: Item words per automaton: bounds what is broadcast (some 4 MB) and a worker's memory (some 120 MB).
+BLOCK_WORDS = 200_000
 
 #: ASCII letters to lower case, all that is neither letter, digit nor beyond ASCII to a space.
 FOLD = bytes(c + 32 if 65 <= c <= 90 else c if 48 <= c <= 57 or 97 <= c <= 122 or c >= 128 else 32 for c in range(256))
@@ -146,11 +147,29 @@ class Automaton:
         return [tuple(s) for s in spans], items
 
 
-def item_blocks(benchmark: DataFrame, id_col: str = "item_id", text_col: str = "text", block_words: int = BLOCK_WORDS) -> Iterator[list[tuple[object, list[bytes]]]]:
-    """Items in blocks of bounded size; the driver holds one block at a time."""
-    block, size = [], 0
-    for item, text in benchmark.select(F.col(id_col), F.col(text_col).cast("binary")).toLocalIterator():
-        ws = words(bytes(text)) if text else []
+#: The automaton that this worker process last built.
+_built: dict[str, Automaton] = {}
+
+
+def automaton_of(name: str, shared, window: int) -> Automaton:
+    """One per worker process, kept for its next tasks; another block of items (known by name) replaces it."""
+    if name not in _built:
+        _built.clear()
+        _built[name] = Automaton(shared.value, window)
+    return _built[name]
+
+
+def item_blocks(benchmark: DataFrame, id_col: str = "item_id", text_col: str = "text", block_words: int = BLOCK_WORDS, window: int = WINDOW) -> Iterator[list[tuple[object, list[bytes]]]]:
+    """Items in blocks of bounded size; the driver holds one block at a time. An item of more words than a block is
+    cut into parts that overlap, so that each of its windows lies in one of them."""
+    block, size, most = [], 0, max(block_words, 2 * window)
+    parts = (
+        (item, ws[k : k + most])
+        for item, text in benchmark.select(F.col(id_col), F.col(text_col).cast("binary")).toLocalIterator()
+        for ws in [words(bytes(text)) if text else []]
+        for k in range(0, max(len(ws) - window + 1, 1), most - window + 1)
+    )
+    for item, ws in parts:
         if block and size + len(ws) > block_words:
             yield block
             block, size = [], 0
@@ -167,17 +186,22 @@ def find_leaks(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, text
     """
     bound_batches(docs.sparkSession)
     found = docs.withColumns({"_n_words": F.lit(0).cast("long"), "_spans": F.array().cast("array<struct<start:int,end:int>>"), "_items": F.array().cast("array<string>")})
-    for block in item_blocks(benchmark, block_words=block_words):
-        shared = docs.sparkSession.sparkContext.broadcast([(str(i), ws) for i, ws in block if ws])
-        found = _scan(found, shared, window, text_col)
+    before = None
+    for block in item_blocks(benchmark, block_words=block_words, window=window):
+        if before:  # one scan at a time: the earlier one is finished and its items are released
+            found = checkpointed(found)
+            before.unpersist()
+        before = docs.sparkSession.sparkContext.broadcast([(str(i), ws) for i, ws in block if ws])
+        found = _scan(found, before, window, text_col)
     return found
 
 
 def _scan(docs: DataFrame, shared, window: int, text_col: str) -> DataFrame:
     """Adds the hits of one block of items to those found so far, row by row."""
+    name = uuid.uuid4().hex
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        auto = Automaton(shared.value, window)
+        auto = automaton_of(name, shared, window)
         span = pa.list_(pa.struct([("start", pa.int32()), ("end", pa.int32())]))
         for batch in batches:
             at = {name: batch.schema.get_field_index(name) for name in (text_col, "_n_words", "_spans", "_items")}

@@ -191,23 +191,29 @@ def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
     return fit(np.vstack([x for x, _ in sample]).astype(np.float64), np.array([len(x) for x, _ in sample]), np.array([q for _, q in sample]))
 
 
-def score(docs: DataFrame, model: Model, text_col: str = "text") -> DataFrame:
-    """The input's columns plus _score; null and empty texts count as one empty line."""
+def scored(docs: DataFrame, model: Model, text_col: str = "text") -> DataFrame:
+    """row (all columns of the input) and score of each row; null and empty texts count as one empty line."""
     bound_batches(docs.sparkSession)
+    whole = docs.select(F.struct("*").alias("row"), F.col(text_col).cast("string").cast("binary").alias("text"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             if batch.num_rows:
-                texts = batch.column(batch.schema.get_field_index(text_col)).cast(pa.binary()).to_pylist()
-                yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(score_batch(model, texts))], names=[*batch.schema.names, "_score"])
+                yield pa.RecordBatch.from_arrays([batch.column("row"), pa.array(score_batch(model, batch.column("text").to_pylist()))], names=["row", "score"])
+
+    return whole.mapInArrow(run, whole.select("row", F.lit(0.0).alias("score")).schema)
 
-    schema = docs.withColumn("_score", F.lit(0.0)).schema
-    return docs.mapInArrow(run, schema)
+
+def score(docs: DataFrame, model: Model, text_col: str = "text") -> DataFrame:
+    """The input's columns plus _score, which replaces an input column of that name. Null and empty texts count as one
+    empty line, repeated rows each get their score, and an empty table stays empty."""
+    return scored(docs, model, text_col).select(*[F.col("row").getField(c).alias(c) for c in docs.columns if c != "_score"], F.col("score").alias("_score"))
 
 
 def keep_good(docs: DataFrame, labels: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
-    """The input's rows and columns without the documents that score below the threshold."""
-    return score(docs, train(docs, labels)).where(F.col("_score") >= threshold).drop("_score")
+    """The input's rows and columns (any names) without the documents that score below the threshold. Null texts are
+    scored as empty ones; rows that repeat a doc_id are judged each by its own text."""
+    return scored(docs, train(docs, labels)).where(F.col("score") >= threshold).select("row.*")
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
