@@ -1,10 +1,9 @@
 """From shared buckets to verified components, without expanding a group into all its pairs.
 
 Used by both near-duplicate operators. Bands are short, so that hardly any similar pair is missed; where that
-makes a bucket large, its members meet only the most central of them at first. Members of a large bucket that
-are not one component by then get a second round with longer bands, which tell the similar from the merely
-related; what is still apart in a large bucket of that round is settled by an exact join of the prefixes of their
-sets (apart_pairs), so that no bucket's overflow is lost. Everything here is joins and aggregations; the passes over all members are
+makes a bucket large, its members meet only the most central of them at first. They get a second round with longer
+bands, which tell the similar from the merely related; what is then still apart in a large bucket of that round is
+settled by an exact join of the prefixes of their sets (apart_pairs), so that no bucket's overflow is lost. Everything here is joins and aggregations; the passes over all members are
 hash aggregates of 64-bit keys.
 """
 
@@ -102,22 +101,15 @@ def whole_components(
     """Components (node, component) of the links and of the verified pairs among the members of large buckets.
 
     `many`: bucket and key of those members; `keyed`: key and node; `again` gives the second round's key and bucket
-    of such nodes, `items_of` their items; `verify` gives the links of pairs of keys.
+    of such keys, `items_of` the items of such nodes; `verify` gives the links of pairs of keys.
     """
-    comp = connected_components(links)
-    apart = apart_members(many, keyed, comp)
-    if not apart.take(1):
-        return comp
-    pairs, many = bucket_pairs(checkpointed(again(apart)))
-    comp = _joined(comp, verify(pairs))
+    if not many.take(1):
+        return connected_components(links)
+    pairs, many = bucket_pairs(checkpointed(again(many.select("key").distinct())))
+    comp = connected_components(links.union(verify(pairs)))
     apart = apart_members(many, keyed, comp)
     if not apart.take(1):
         return comp
     found = apart_pairs(items_of(apart), apart, similarity, sized)
-    return _joined(comp, verify(found.select(F.xxhash64("a").alias("a"), F.xxhash64("b").alias("b"))))
-
-
-def _joined(comp: DataFrame, links: DataFrame) -> DataFrame:
-    """The components after further links."""
-    links = checkpointed(links)
-    return connected_components(comp.select(F.col("node").alias("a"), F.col("component").alias("b")).union(links)) if links.take(1) else comp
+    more = checkpointed(verify(found.select(F.xxhash64("a").alias("a"), F.xxhash64("b").alias("b"))))
+    return connected_components(comp.select(F.col("node").alias("a"), F.col("component").alias("b")).union(more)) if more.take(1) else comp

@@ -25,6 +25,10 @@ def _small_star(edges: DataFrame) -> DataFrame:
     return edges.join(least, "a").select(F.explode(F.array(F.struct(F.col("a").alias("a"), F.col("m").alias("b")), F.struct(F.col("b").alias("a"), F.col("m").alias("b")))).alias("e")).select("e.*").where("a > b")
 
 
+#: Edges a task should have at least; small edge tables are not spread over many tiny files.
+EDGES = 20_000
+
+
 def connected_components(edges: DataFrame) -> DataFrame:
     """node, component (its smallest node) of every node with an edge. `edges` has a and b; loops and repeats do no harm."""
     now = checkpointed(edges.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).where("a > b").distinct())
@@ -34,5 +38,5 @@ def connected_components(edges: DataFrame) -> DataFrame:
         if mark == seen or not mark[0]:
             break
         seen = mark
-        now = checkpointed(_small_star(_large_star(now).distinct()).distinct())
+        now = checkpointed(_small_star(_large_star(now)).distinct().coalesce(1 + mark[0] // EDGES))
     return now.select(F.col("a").alias("node"), F.col("b").alias("component")).union(now.select("b", "b").distinct())

@@ -75,9 +75,11 @@ def banded(rows: DataFrame, bands: int = BANDS, width: int = ROWS) -> DataFrame:
 
 
 def verified(pairs: DataFrame, norms: DataFrame, similarity: float) -> DataFrame:
-    """Links (a, b) between the nodes of each pair of keys whose exact Jaccard reaches the threshold. `norms`: key, node, norm."""
-    a, b = (norms.select(F.col("key").alias(n), F.col("node").alias(f"node_{n}"), F.col("norm").alias(f"norm_{n}")) for n in "ab")
-    both = pairs.join(a, "a").join(b, "b").select("node_a", "node_b", F.array_distinct(shingle_hashes(F.col("norm_a"))).alias("sa"), F.array_distinct(shingle_hashes(F.col("norm_b"))).alias("sb"))
+    """Links (a, b) between the nodes of each pair of keys whose exact Jaccard reaches the threshold. `norms`: key, node, norm, n (distinct shingles).
+
+    Sets of too different sizes are not compared."""
+    a, b = (norms.select(F.col("key").alias(k), *[F.col(c).alias(f"{c}_{k}") for c in ("node", "norm", "n")]) for k in "ab")
+    both = pairs.join(a, "a").join(b, "b").where(F.least("n_a", "n_b") >= similarity * F.greatest("n_a", "n_b") - 1e-9).select("node_a", "node_b", F.array_distinct(shingle_hashes(F.col("norm_a"))).alias("sa"), F.array_distinct(shingle_hashes(F.col("norm_b"))).alias("sb"))
     sized = both.select("node_a", "node_b", (F.size("sa") + F.size("sb")).alias("n"), F.size(F.array_intersect("sa", "sb")).alias("shared"))
     return sized.where(F.col("shared") >= similarity * (F.col("n") - F.col("shared")) - 1e-9).select(F.col("node_a").alias("a"), F.col("node_b").alias("b"))
 
@@ -104,10 +106,10 @@ def dropped_lines(docs: DataFrame, similarity: float = SIMILARITY, id_col: str =
     wanted = checkpointed(in_cells(nodes.select("key", "node", "first.*"), "key", need).join(need, "key", "left_semi"))
     # a line's text comes from the first document that has it; few other documents are split once more
     texts = in_cells(lines_of(in_cells(rows, "mark", wanted)).withColumn("key", F.xxhash64("node")), "key", wanted)
-    norms = checkpointed(texts.join(wanted, ["key", "node", "doc_id", "mark", "line"], "left_semi").select("key", "node", "norm").dropDuplicates(["node"]))
+    norms = checkpointed(texts.join(wanted, ["key", "node", "doc_id", "mark", "line"], "left_semi").dropDuplicates(["node"]).select("key", "node", "norm", F.size(F.array_distinct(shingle_hashes(F.col("norm")))).alias("n")))
     links = checkpointed(verified(pairs, norms, similarity))
     of = lambda few: norms.join(few, "node", "left_semi")
-    again = lambda few: banded(of(few).select("key", shingle_hashes(F.col("norm")).alias("h")), LONG_BANDS, LONG_ROWS).select("key", F.explode_outer("buckets").alias("bucket"))
+    again = lambda few: banded(norms.join(few, "key", "left_semi").select("key", shingle_hashes(F.col("norm")).alias("h")), LONG_BANDS, LONG_ROWS).select("key", F.explode_outer("buckets").alias("bucket"))
     items = lambda few: of(few).select("node", F.explode(F.array_distinct(shingle_hashes(F.col("norm")))).alias("token"), F.lit(1).alias("weight"))
     comp = whole_components(links, many, norms.select("key", "node"), again, items, lambda found: verified(found, norms, similarity), similarity, sized=True)
     joined = nodes.select("node", "first", "n").join(comp, "node", "left").where("component IS NOT NULL OR n > 1")

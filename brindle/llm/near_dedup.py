@@ -250,7 +250,7 @@ def near_nodes(rows: DataFrame, similarity: float) -> DataFrame:
     sets = checkpointed(in_cells(sets, "key", wanted).join(wanted, ["key", "node"], "left_semi").dropDuplicates(["node"]))
     links = checkpointed(verified(pairs, sets, similarity))
     of = lambda few: sets.join(few, "node", "left_semi")
-    comp = whole_components(links, many, sets.select("key", "node"), lambda few: longer_bands(of(few)), lambda few: weighted_items(of(few)), lambda found: verified(found, sets, similarity), similarity)
+    comp = whole_components(links, many, sets.select("key", "node"), lambda few: longer_bands(sets.join(few, "key", "left_semi")), lambda few: weighted_items(of(few)), lambda found: verified(found, sets, similarity), similarity)
     return signed.select("doc_id", "node").join(comp, "node", "left").select("doc_id", "node", F.coalesce("component", "node").alias("class"))
 
 
