@@ -14,7 +14,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from brindle.llm.common import checkpointed
+from brindle.llm.common import compact
 from brindle.llm.components import connected_components
 
 #: Buckets of up to so many nodes are compared pair by pair.
@@ -40,13 +40,13 @@ def bucket_pairs(members: DataFrame, small: int = SMALL) -> tuple[DataFrame, Dat
     one that shares the most buckets with the most others.
     """
     tally = members.groupBy("bucket").agg(F.count(F.lit(1)).alias("size"), F.min("key").alias("lo"), F.max("key").alias("hi"), F.bit_xor("key").alias("odd"))
-    shared = checkpointed(tally.where("size > 1 AND lo < hi"))
+    shared = compact(tally.where("size > 1 AND lo < hi"))
     middle = F.col("odd").bitwiseXOR(F.col("lo")).bitwiseXOR(F.col("hi"))
     two = shared.where("size < 4").select("size", "lo", "hi", middle.alias("mid"))
     pair = lambda a, b: F.struct(F.least(a, b).alias("a"), F.greatest(a, b).alias("b"))
     pairs = two.select(F.explode(F.when(F.col("size") == 2, F.array(pair("lo", "hi"))).otherwise(F.array(pair("lo", "hi"), pair("lo", "mid"), pair("mid", "hi")))).alias("p")).select("p.*")
     more = shared.where("size > 3").select("bucket", "size")
-    met = checkpointed(in_cells(members, "bucket", more).join(more, "bucket").select("bucket", "key", "size"))
+    met = compact(in_cells(members, "bucket", more).join(more, "bucket").select("bucket", "key", "size"))
     few, many = met.where(F.col("size") <= small), met.where(F.col("size") > small)
     x, y = (few.select("bucket", F.col("key").alias(k)) for k in "ab")
     central = many.groupBy("key").agg(F.sum("size").alias("weight"))
@@ -54,14 +54,14 @@ def bucket_pairs(members: DataFrame, small: int = SMALL) -> tuple[DataFrame, Dat
     heavy = ranked.groupBy("bucket").agg(F.max("weight").alias("weight"))
     centre = ranked.join(heavy, ["bucket", "weight"]).groupBy("bucket").agg(F.min("key").alias("centre"))
     star = many.join(centre, "bucket").select(F.least("key", "centre").alias("a"), F.greatest("key", "centre").alias("b"))
-    return checkpointed(pairs.union(x.join(y, "bucket").select("a", "b")).union(star).where("a < b").distinct()), many.select("bucket", "key")
+    return compact(pairs.union(x.join(y, "bucket").select("a", "b")).union(star).where("a < b").distinct()), many.select("bucket", "key")
 
 
 def apart_members(many: DataFrame, keyed: DataFrame, comp: DataFrame) -> DataFrame:
     """Nodes (node, part) of the large buckets that hold more than one component. `keyed`: key, node."""
-    placed = checkpointed(many.join(keyed, "key").join(comp, "node", "left").select("bucket", "node", F.coalesce("component", "node").alias("part")))
+    placed = compact(many.join(keyed, "key").join(comp, "node", "left").select("bucket", "node", F.coalesce("component", "node").alias("part")))
     parts = placed.select("bucket", F.xxhash64("part").alias("h")).groupBy("bucket").agg(F.min("h").alias("lo"), F.max("h").alias("hi"))
-    return checkpointed(placed.join(parts.where("lo < hi"), "bucket", "left_semi").select("node", "part").distinct())
+    return compact(placed.join(parts.where("lo < hi"), "bucket", "left_semi").select("node", "part").distinct())
 
 
 def apart_pairs(items: DataFrame, apart: DataFrame, similarity: float, sized: bool) -> DataFrame:
@@ -73,7 +73,7 @@ def apart_pairs(items: DataFrame, apart: DataFrame, similarity: float, sized: bo
     Jaccard exceeds the share of tokens, or of normalised weight, that the two have in common.) `sized`: sets of
     too different sizes cannot be alike. A token whose nodes are all of one component is dropped.
     """
-    items = checkpointed(items)
+    items = compact(items)
     often = items.groupBy("token").agg(F.count(F.lit(1)).alias("often"))
     whole = Window.partitionBy("node")
     order = whole.orderBy("often", "token")
@@ -84,9 +84,9 @@ def apart_pairs(items: DataFrame, apart: DataFrame, similarity: float, sized: bo
     )
     slack = 1 - similarity
     first = ranked.where("often > 1").where((F.col("rank") - 1 <= slack * F.col("n") + 1e-6) | (F.col("mass") <= slack * F.col("total") + 1e-6))
-    placed = checkpointed(first.join(apart, "node").select("token", "node", "n", "part", F.xxhash64("part").alias("h")))
+    placed = compact(first.join(apart, "node").select("token", "node", "n", "part", F.xxhash64("part").alias("h")))
     mixed = placed.groupBy("token").agg(F.min("h").alias("lo"), F.max("h").alias("hi")).where("lo < hi").select("token")
-    met = checkpointed(placed.join(mixed, "token", "left_semi"))
+    met = compact(placed.join(mixed, "token", "left_semi"))
     x, y = (met.select("token", *[F.col(c).alias(f"{c}_{k}") for c in ("node", "n", "part")]) for k in "xy")
     both = x.join(y, "token").where("part_x < part_y")
     if sized:
@@ -105,11 +105,11 @@ def whole_components(
     """
     if not many.take(1):
         return connected_components(links)
-    pairs, many = bucket_pairs(checkpointed(again(many.select("key").distinct())))
+    pairs, many = bucket_pairs(compact(again(many.select("key").distinct())))
     comp = connected_components(links.union(verify(pairs)))
     apart = apart_members(many, keyed, comp)
     if not apart.take(1):
         return comp
     found = apart_pairs(items_of(apart), apart, similarity, sized)
-    more = checkpointed(verify(found.select(F.xxhash64("a").alias("a"), F.xxhash64("b").alias("b"))))
+    more = compact(verify(found.select(F.xxhash64("a").alias("a"), F.xxhash64("b").alias("b"))))
     return connected_components(comp.select(F.col("node").alias("a"), F.col("component").alias("b")).union(more)) if more.take(1) else comp

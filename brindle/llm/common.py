@@ -42,6 +42,12 @@ def checkpointed(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
+def compact(df: DataFrame, rows: int = 20_000) -> DataFrame:
+    """`df` checkpointed, in no more partitions than give each `rows` rows: a small table is not spread over many tiny files."""
+    done = checkpointed(df)
+    return done.coalesce(1 + done.count() // rows)
+
+
 def scratch(spark: SparkSession, name: str) -> str:
     """A path for an intermediate table in the shared folder."""
     return f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"

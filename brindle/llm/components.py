@@ -9,7 +9,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from brindle.llm.common import checkpointed
+from brindle.llm.common import checkpointed, compact
 
 
 def _large_star(edges: DataFrame) -> DataFrame:
@@ -31,12 +31,13 @@ EDGES = 20_000
 
 def connected_components(edges: DataFrame) -> DataFrame:
     """node, component (its smallest node) of every node with an edge. `edges` has a and b; loops and repeats do no harm."""
-    now = checkpointed(edges.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).where("a > b").distinct())
+    now = compact(edges.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).where("a > b").distinct())
     seen = None
     while True:
         mark = now.agg(F.count(F.lit(1)), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first()
         if mark == seen or not mark[0]:
             break
         seen = mark
-        now = checkpointed(_small_star(_large_star(now)).distinct().coalesce(1 + mark[0] // EDGES))
+        tasks = 1 + mark[0] // EDGES
+        now = checkpointed(_small_star(_large_star(now).coalesce(tasks)).coalesce(tasks).distinct().coalesce(tasks))
     return now.select(F.col("a").alias("node"), F.col("b").alias("component")).union(now.select("b", "b").distinct())

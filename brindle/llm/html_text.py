@@ -11,7 +11,7 @@ from __future__ import annotations
 import html
 import math
 import re
-from collections import deque
+from collections import Counter, deque
 from collections.abc import Iterator
 from typing import NamedTuple
 
@@ -27,6 +27,9 @@ _HIDDEN = re.compile(r"display\s*:\s*none|visibility\s*:\s*hidden", re.IGNORECAS
 
 #: Kinds of elements, and words in class, id and role that tell what one holds.
 RAW = frozenset("script style noscript template textarea title iframe object svg math select option button canvas audio video head datalist".split())
+#: Of these, elements that take the rest of a page if they have no end tag, and controls that can't be nested.
+SWALLOW = frozenset("script style template textarea title iframe".split())
+CONTROLS = frozenset("button option select".split())
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 BLOCK = frozenset(
     "address article aside blockquote body center dd details dialog dir div dl dt fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 "
@@ -47,47 +50,122 @@ BOILER_WORDS = frozenset(
 CONTENT_WORDS = frozenset("article articlebody body content entry main post posttext story text".split())
 
 
+#: Words that make a class name speak of a state or an absence ("no-comments", "with-sidebar"), not of what an element holds.
+STATE_WORDS = frozenset("with without no not has is hide hidden show open closed enabled disabled on off".split())
+COMMENT_WORDS = frozenset("comment comments commentlist discussion disqus replies reply respond".split())
+#: Elements that may wrap a whole page; they and named boilerplate count as such only up to this share of the page's text.
+WRAPPERS = frozenset("form fieldset".split())
+WRAPPED = 2 / 3
+#: What an element says of its contents. STRICT and GONE hold for all that is inside, LOOSE up to its share of the text.
+CONTENT, NOTHING, LOOSE, STRICT, GONE = 2, 0, -1, -2, -3
+
+
 class Block(NamedTuple):
     text: str
     tag: str
-    path: tuple[int, ...]  # open elements, outermost first
+    node: int  # its element, -1 for none
     hint: int  # 1 inside an article, -1 inside boilerplate, else 0
     linked: int  # characters inside links
 
 
-def element_hint(tag: str, attrs: str, within: int) -> int:
-    """What an element says of its contents; `within` is what its parent said. Boilerplate holds for all that is inside."""
-    if within < 0 or tag in BOILER_TAGS or (tag == "header" and within <= 0):
-        return -1
-    words: set[str] = set()
+class Tree:
+    """The block elements of a page, numbered in order of their start tags, so that parents come first."""
+
+    def __init__(self) -> None:
+        self.parent: list[int] = []
+        self.depth: list[int] = []
+        self.tag: list[str] = []
+        self.says: list[int] = []
+
+    def add(self, tag: str, attrs: str, parent: int) -> int:
+        self.parent.append(parent)
+        self.depth.append(self.depth[parent] + 1 if parent >= 0 else 1)
+        self.tag.append(tag)
+        self.says.append(element_says(tag, attrs))
+        return len(self.parent) - 1
+
+    def hints(self, own: list[int]) -> list[int]:
+        """1, 0 or -1 for each element, from what it and those around it say; `own`: characters of its own blocks."""
+        size, total = list(own), sum(own)
+        for k in range(len(size) - 1, -1, -1):
+            if self.parent[k] >= 0:
+                size[self.parent[k]] += size[k]
+        out: list[int] = []
+        for k, says in enumerate(self.says):
+            around = out[self.parent[k]] if self.parent[k] >= 0 else 0
+            if around < 0 or says in (STRICT, GONE) or (says == LOOSE and size[k] <= WRAPPED * total):
+                around = -1
+            elif self.tag[k] == "header" and around == 0:
+                around = -1
+            elif says == CONTENT:
+                around = 1
+            out.append(around)
+        return out
+
+    def distance(self, a: int, b: int, most: int = 64) -> int:
+        """Steps between two elements, `most` if there are more."""
+        steps = 0
+        while a != b and steps < most:
+            if b < 0 or (a >= 0 and self.depth[a] >= self.depth[b]):
+                a = self.parent[a]
+            else:
+                b = self.parent[b]
+            steps += 1
+        return steps
+
+
+def element_says(tag: str, attrs: str) -> int:
+    """What an element's tag and attributes say of its contents."""
+    if tag in BOILER_TAGS and tag not in WRAPPERS:
+        return STRICT
+    tokens: set[str] = set()
     if attrs and tag not in ("html", "body"):
         for m in _ATTR.finditer(attrs):
             name, value = m[1].lower(), (m[2] or "").strip("\"'").lower()
             if name == "hidden" or (name == "aria-hidden" and value == "true") or (name == "style" and _HIDDEN.search(value)):
-                return -1
+                return GONE
             if name in ("class", "id", "role"):
-                words |= set(re.split(r"[^a-z0-9]+", value))
-                words |= {w.rstrip("0123456789") for w in words}
-    if words & BOILER_WORDS and tag not in CONTENT_TAGS:
-        return -1
-    if tag == "article" and words & {"comment", "comments", "reply", "related", "promo"}:
-        return -1
-    return 1 if tag in CONTENT_TAGS or words & CONTENT_WORDS else within
+                tokens |= set(value.split())
+    plain = {t.rstrip("0123456789") for t in tokens}
+    words = {w for t in tokens for parts in [re.split(r"[^a-z0-9]+", t)] if not STATE_WORDS & set(parts) for p in parts for w in (p, p.rstrip("0123456789"))}
+    if words & COMMENT_WORDS and not (plain & CONTENT_WORDS and not plain & COMMENT_WORDS):
+        return GONE
+    if tag == "article":
+        return STRICT if words & {"related", "promo"} else CONTENT
+    if tag == "main":
+        return CONTENT
+    if words & BOILER_WORDS and not (plain & CONTENT_WORDS and not plain & BOILER_WORDS):
+        return LOOSE
+    if words & CONTENT_WORDS:
+        return CONTENT
+    return LOOSE if tag in WRAPPERS else NOTHING
 
 
 def blocks_of(page: str) -> list[Block]:
     """Text blocks in page order; forgiving about missing and stray end tags."""
+    return page_blocks(page)[0]
+
+
+def page_blocks(page: str) -> tuple[list[Block], Tree]:
+    """The blocks and the elements that they are in."""
     out: list[Block] = []
-    stack: list[tuple[str, int, int]] = []  # tag, number, hint
+    tree = Tree()
+    stack: list[int] = []
+    opened: Counter[str] = Counter()  # tags on the stack
     pending: list[str] = []
-    linked, in_link, count, at, size = 0, False, 0, 0, len(page)
+    linked, in_link, at, size = 0, False, 0, len(page)
+    unclosed: set[str] = set()  # raw elements without any end tag from here on
+
+    def close(k: int) -> None:
+        opened.subtract(tree.tag[n] for n in stack[k:])
+        del stack[k:]
 
     def end_block() -> None:
         nonlocal linked
         if pending:
             text = " ".join("".join(pending).split())
             if text:
-                out.append(Block(text, stack[-1][0] if stack else "", tuple(s[1] for s in stack), stack[-1][2] if stack else 0, linked))
+                out.append(Block(text, tree.tag[stack[-1]] if stack else "", stack[-1] if stack else -1, 0, linked))
             pending.clear()
         linked = 0
 
@@ -111,11 +189,14 @@ def blocks_of(page: str) -> list[Block]:
             continue
         closing, attrs = m[1] or m[4], m[3] or m[6] or ""
         if tag in RAW:
-            if not closing and not attrs.endswith("/"):
-                end = re.compile(rf"</{re.escape(tag)}(?=[\s/>])[^>]*>", re.IGNORECASE).search(page, at)
-                if tag == "head" and not end:
-                    continue
-                at = end.end() if end else size
+            if not closing and not attrs.endswith("/") and tag not in unclosed:
+                end = re.compile(rf"</{re.escape(tag)}(?=[\s/>])[^>]*>|<{tag}(?=[\s/>])" if tag in CONTROLS else rf"</{re.escape(tag)}(?=[\s/>])[^>]*>", re.IGNORECASE).search(page, at)
+                if end and page[end.start() + 1] == "/":
+                    at = end.end()
+                elif tag in SWALLOW:
+                    at = size
+                elif not end:
+                    unclosed.add(tag)
         elif tag == "a":
             in_link = not closing
         elif tag == "br":
@@ -123,26 +204,33 @@ def blocks_of(page: str) -> list[Block]:
         elif tag in BLOCK:
             end_block()
             if closing:
-                for k in range(len(stack) - 1, -1, -1):
-                    if stack[k][0] == tag:
-                        del stack[k:]
+                for k in range(len(stack) - 1, -1, -1) if opened[tag] else ():
+                    open_tag = tree.tag[stack[k]]
+                    if open_tag == tag:
+                        close(k)
                         in_link = False
                         break
-                    if stack[k][0] in SCOPES and tag not in SCOPES:
+                    if open_tag in SCOPES and tag not in SCOPES:
                         break
             elif tag not in VOID:
-                if stack and stack[-1][0] == "p":
-                    stack.pop()
-                for k in range(len(stack) - 1, -1, -1) if tag in ENDS else ():
-                    if stack[k][0] in ENDS[tag]:
-                        del stack[k:]
+                if stack and tree.tag[stack[-1]] == "p":
+                    close(len(stack) - 1)
+                for k in range(len(stack) - 1, -1, -1) if any(opened[t] for t in ENDS.get(tag, ())) else ():
+                    open_tag = tree.tag[stack[k]]
+                    if open_tag in ENDS[tag]:
+                        close(k)
                         break
-                    if stack[k][0] in ("ul", "ol", "dl", "table"):
+                    if open_tag in ("ul", "ol", "dl", "table"):
                         break
-                stack.append((tag, count, element_hint(tag, attrs, stack[-1][2] if stack else 0)))
-                count += 1
+                stack.append(tree.add(tag, attrs, stack[-1] if stack else -1))
+                opened[tag] += 1
     end_block()
-    return out
+    own = [0] * len(tree.parent)
+    for b in out:
+        if b.node >= 0:
+            own[b.node] += len(b.text)
+    hints = tree.hints(own)
+    return [b._replace(hint=hints[b.node]) if b.node >= 0 else b for b in out], tree
 
 
 #: Weights of the block classifier (log-odds of content).
@@ -159,21 +247,12 @@ def log_odds(b: Block) -> float:
     )
 
 
-def tree_distance(a: tuple[int, ...], b: tuple[int, ...]) -> int:
-    shared = 0
-    for x, y in zip(a, b):
-        if x != y:
-            break
-        shared += 1
-    return len(a) + len(b) - 2 * shared
-
-
-def smoothness(blocks: list[Block]) -> list[tuple[int, int, float]]:
+def smoothness(blocks: list[Block], tree: Tree) -> list[tuple[int, int, float]]:
     edges, last = [], {}
     for i, b in enumerate(blocks):
         if i:
-            edges.append((i - 1, i, NEAR / (1 + tree_distance(blocks[i - 1].path, b.path))))
-        parent = b.path[-2] if len(b.path) > 1 else -1
+            edges.append((i - 1, i, NEAR / (1 + tree.distance(blocks[i - 1].node, b.node))))
+        parent = tree.parent[b.node] if b.node >= 0 else -1
         j = last.get(parent, i)
         if j < i - 1:
             edges.append((j, i, SIBLING))
@@ -226,25 +305,31 @@ def min_cut(odds: list[float], edges: list[tuple[int, int, float]]) -> list[bool
 
 def main_text(page: str | None) -> str:
     """Content blocks joined by line feeds; empty for null, empty or contentless pages."""
-    blocks = blocks_of(page) if page else []
+    blocks, tree = page_blocks(page) if page else ([], None)
     if not blocks:
         return ""
-    keep = min_cut([log_odds(b) for b in blocks], smoothness(blocks))
+    keep = min_cut([log_odds(b) for b in blocks], smoothness(blocks, tree))
     return "\n".join(b.text for b, k in zip(blocks, keep) if k)
 
 
 def extract(pages: DataFrame, html_col: str = "html") -> DataFrame:
-    """The input's columns plus _text, the main text of each row (empty if none); repeated rows each give a row."""
+    """The input's columns plus _text (which replaces an input column of that name), the main text of each row.
+
+    It is empty for null, empty and contentless pages. Repeated rows each give a row, an empty table stays empty, and
+    time and memory are in proportion to a page's length however deep its elements are nested.
+    """
     bound_batches(pages.sparkSession)
+    whole = pages.select(F.struct("*").alias("row"), F.col(html_col).cast("string").alias("html"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            found = [main_text(p) for p in batch.column(batch.schema.get_field_index(html_col)).to_pylist()]
-            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(found, pa.string())], names=[*batch.schema.names, "_text"])
+            found = [main_text(p) for p in batch.column("html").to_pylist()]
+            yield pa.RecordBatch.from_arrays([batch.column("row"), pa.array(found, pa.string())], names=["row", "text"])
 
-    return pages.mapInArrow(run, pages.withColumn("_text", F.lit("")).schema)
+    found = whole.mapInArrow(run, whole.select("row", F.lit("").alias("text")).schema)
+    return found.select(*[F.col("row").getField(c).alias(c) for c in pages.columns if c != "_text"], F.col("text").alias("_text"))
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
-    found = extract(table(spark, sf_dir, "pages").select("page_id", "url", "html"))
-    return found.select("page_id", "url", F.col("_text").alias("text"), F.length("_text").cast("long").alias("n_chars"))
+    pages = table(spark, sf_dir, "pages").select("page_id", "url", "html")
+    return extract(pages).select("page_id", "url", F.col("_text").alias("text"), F.length("_text").cast("long").alias("n_chars"))

@@ -18,7 +18,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from brindle.llm.candidates import bucket_pairs, in_cells, whole_components
-from brindle.llm.common import checkpointed, scratch, table
+from brindle.llm.common import compact, scratch, table
 
 SHINGLE, SIMILARITY = 10, 0.8
 #: A pair of Jaccard 0.8 shares one of the bands with probability 0.997, of 0.85 with 0.9995.
@@ -100,21 +100,21 @@ def dropped_lines(docs: DataFrame, similarity: float = SIMILARITY, id_col: str =
     banded(lines_of(rows).select("node", "doc_id", "mark", "line", shingle_hashes(F.col("norm")).alias("h"))).write.parquet(path)
     lines = spark.read.parquet(path)
     nodes = lines.groupBy("node").agg(F.min(F.struct("doc_id", "mark", "line")).alias("first"), F.count(F.lit(1)).alias("n"), F.first("buckets").alias("buckets"))
-    nodes = checkpointed(nodes.withColumn("key", F.xxhash64("node")))
+    nodes = compact(nodes.withColumn("key", F.xxhash64("node")))
     pairs, many = bucket_pairs(nodes.select("key", F.explode_outer("buckets").alias("bucket")))
     need = pairs.select(F.col("a").alias("key")).union(pairs.select("b")).distinct()
-    wanted = checkpointed(in_cells(nodes.select("key", "node", "first.*"), "key", need).join(need, "key", "left_semi"))
+    wanted = compact(in_cells(nodes.select("key", "node", "first.*"), "key", need).join(need, "key", "left_semi"))
     # a line's text comes from the first document that has it; few other documents are split once more
     texts = in_cells(lines_of(in_cells(rows, "mark", wanted)).withColumn("key", F.xxhash64("node")), "key", wanted)
-    norms = checkpointed(texts.join(wanted, ["key", "node", "doc_id", "mark", "line"], "left_semi").dropDuplicates(["node"]).select("key", "node", "norm", F.size(F.array_distinct(shingle_hashes(F.col("norm")))).alias("n")))
-    links = checkpointed(verified(pairs, norms, similarity))
+    norms = compact(texts.join(wanted, ["key", "node", "doc_id", "mark", "line"], "left_semi").dropDuplicates(["node"]).select("key", "node", "norm", F.size(F.array_distinct(shingle_hashes(F.col("norm")))).alias("n")))
+    links = compact(verified(pairs, norms, similarity))
     of = lambda few: norms.join(few, "node", "left_semi")
     again = lambda few: banded(norms.join(few, "key", "left_semi").select("key", shingle_hashes(F.col("norm")).alias("h")), LONG_BANDS, LONG_ROWS).select("key", F.explode_outer("buckets").alias("bucket"))
     items = lambda few: of(few).select("node", F.explode(F.array_distinct(shingle_hashes(F.col("norm")))).alias("token"), F.lit(1).alias("weight"))
     comp = whole_components(links, many, norms.select("key", "node"), again, items, lambda found: verified(found, norms, similarity), similarity, sized=True)
     joined = nodes.select("node", "first", "n").join(comp, "node", "left").where("component IS NOT NULL OR n > 1")
     keep = joined.where("component IS NOT NULL").groupBy("component").agg(F.min("first").alias("keep"))
-    copies = checkpointed(joined.join(keep, "component", "left").select("node", F.coalesce("keep", "first").alias("keep")))
+    copies = compact(joined.join(keep, "component", "left").select("node", F.coalesce("keep", "first").alias("keep")))
     placed = lines.select("node", "doc_id", "mark", "line").join(copies, "node")
     return placed.where(F.struct("doc_id", "mark", "line") != F.col("keep")).select("doc_id", "mark", "line", F.col("keep.doc_id").alias("keep_id"), F.col("keep.line").alias("keep_line"))
 

@@ -24,7 +24,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from brindle.llm.candidates import bucket_pairs, in_cells, whole_components
-from brindle.llm.common import bound_batches, checkpointed, table
+from brindle.llm.common import bound_batches, checkpointed, compact, table
 from brindle.llm.decontaminate import words
 
 SHINGLE, SIMILARITY = 5, 0.8
@@ -239,16 +239,16 @@ def near_nodes(rows: DataFrame, similarity: float) -> DataFrame:
     bound_batches(rows.sparkSession, rows=1000, size=4 << 20)
     signed = checkpointed(signatures(rows))
     nodes = signed.groupBy("node").agg(F.min(F.struct(F.col("doc_id").isNull(), "doc_id")).alias("rep"), F.first("buckets").alias("buckets"))
-    nodes = checkpointed(nodes.select("node", F.xxhash64("node").alias("key"), F.col("rep.doc_id").alias("rep"), "buckets"))
+    nodes = compact(nodes.select("node", F.xxhash64("node").alias("key"), F.col("rep.doc_id").alias("rep"), "buckets"))
     pairs, many = bucket_pairs(nodes.select("key", F.explode("buckets").alias("bucket")))
     need = pairs.select(F.col("a").alias("key")).union(pairs.select("b")).distinct()
-    wanted = checkpointed(nodes.select("node", "key", "rep").join(need, "key", "left_semi"))
+    wanted = compact(nodes.select("node", "key", "rep").join(need, "key", "left_semi"))
     # a node's text comes from rows of its smallest doc_id (null where it has none)
     place = lambda c: F.xxhash64(F.col(c).isNull(), c)
     found = in_cells(rows.withColumn("place", place("doc_id")), "place", wanted.withColumn("place", place("rep"))).drop("place")
     sets = shingle_sets(found).withColumn("key", F.xxhash64("node"))
-    sets = checkpointed(in_cells(sets, "key", wanted).join(wanted, ["key", "node"], "left_semi").dropDuplicates(["node"]))
-    links = checkpointed(verified(pairs, sets, similarity))
+    sets = compact(in_cells(sets, "key", wanted).join(wanted, ["key", "node"], "left_semi").dropDuplicates(["node"]), rows=1000)
+    links = compact(verified(pairs, sets, similarity))
     of = lambda few: sets.join(few, "node", "left_semi")
     comp = whole_components(links, many, sets.select("key", "node"), lambda few: longer_bands(sets.join(few, "key", "left_semi")), lambda few: weighted_items(of(few)), lambda found: verified(found, sets, similarity), similarity)
     return signed.select("doc_id", "node").join(comp, "node", "left").select("doc_id", "node", F.coalesce("component", "node").alias("class"))
@@ -263,7 +263,7 @@ def near_classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     table gives no rows.
     """
     rows = docs.select(F.col(id_col).alias("doc_id"), F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("text"))
-    labelled = checkpointed(near_nodes(rows, similarity))
+    labelled = compact(near_nodes(rows, similarity))
     classes = labelled.groupBy("class").agg(F.min("doc_id").alias("class_id"), F.count(F.lit(1)).alias("class_size")).where("class_size > 1")
     return labelled.join(classes, "class", "left").select(
         "doc_id",

@@ -101,6 +101,21 @@ def test_main_text():
     assert [html_text.main_text(x) for x in (None, "", "   ", "<p", "<nav>x</nav>", "<!-- ")] == [""] * 6
 
 
+ARTICLE = "<p>" + "This is a paragraph of the article, and it goes on for a while. " * 6 + "</p>"
+
+
+@pytest.mark.parametrize("page", [
+    '<nav><a href=x>Home</a></nav><div class="page with-sidebar">{}</div>', '<div class="single no-comments">{}</div>', "<form><nav><a>Home</a></nav>{}<footer>(c) us</footer></form>",
+    "<button>Share{}", "<button>Share{}<button>x</button>", '<div class="story share-price">{}</div>', '{}<div class="comments"><article><p>A reader said that this is a fine text, and more.</p></article></div>',
+])
+def test_wrappers_do_not_hide_the_article(page):
+    assert html_text.main_text(page.format(ARTICLE)) == html_text.main_text(ARTICLE) != ""
+
+
+def test_deep_nesting_is_linear():
+    assert len(html_text.main_text("<div>some text here and words. " * 50_000)) > 1_000_000
+
+
 def test_pages_table(spark):
     df = spark.createDataFrame([(1, "u", PAGE, "a"), (1, "u", PAGE, "a"), (2, None, None, "b"), (None, "v", "", "c")], "page_id long, url string, html string, text string")
     got = html_text.extract(df)
