@@ -10,7 +10,7 @@ from brindle.functions import text as T
 #: Sources of lessons that say nothing about a customer and are kept as they are; others become a digest.
 GENERIC_SOURCES = ("pipeline run", "seed")
 #: Protocol by artifact subtype.
-PROTOCOLS = {"ODATA": "OData V2", "ODATAV4": "OData V4", "SOAP": "SOAP", "REST": "REST"}
+PROTOCOLS = {"ODATA": "OData V2", "ODATAV4": "OData V4", "SOAP": "SOAP", "REST": "REST", "EVENT": "Event"}
 
 
 def replacements(views: DataFrame) -> DataFrame:
@@ -53,18 +53,25 @@ def insert_or_ignore(target: DataFrame, batch: DataFrame, key: str, order: list[
     return target.unionByName(fresh.withColumn("_n", F.row_number().over(first)).where("_n = 1").select(target.columns))
 
 
-def upsert(target: DataFrame, batch: DataFrame, key: str) -> DataFrame:
-    """Target with whole rows replaced or added."""
-    return target.join(batch.select(key), key, "left_anti").unionByName(batch.select(target.columns))
+def last_rows(batch: DataFrame, key: str, order: list[str] | None = None, first: bool = False) -> DataFrame:
+    """Of each key the last (or first) row by `order`; rows that it does not tell apart, or without one, by all their columns."""
+    by = [F.col(c).asc() if first else F.col(c).desc() for c in [*(order or []), *batch.columns]]
+    return batch.withColumn("_n", F.row_number().over(Window.partitionBy(key).orderBy(*by))).where("_n = 1").drop("_n")
 
 
-def merge_backfill(target: DataFrame, batch: DataFrame, key: str, fill: list[str], empty_too: bool = False) -> DataFrame:
+def upsert(target: DataFrame, batch: DataFrame, key: str, order: list[str] | None = None) -> DataFrame:
+    """Target with whole rows replaced or added; of batch rows that repeat a key the last by `order` counts."""
+    return target.join(batch.select(key), key, "left_anti").unionByName(last_rows(batch, key, order).select(target.columns))
+
+
+def merge_backfill(target: DataFrame, batch: DataFrame, key: str, fill: list[str], empty_too: bool = False, order: list[str] | None = None) -> DataFrame:
     """Full outer merge: new keys are added; on a match only the `fill` columns that are null take the batch's value.
 
     Adds _status (existing, added, backfilled). With `empty_too`, empty strings count as missing, as in a dry run.
+    Of batch rows that repeat a key the first by `order` counts.
     """
     gone = (lambda c: F.nullif(c, F.lit(""))) if empty_too else (lambda c: c)
-    b = batch.where(F.col(key).isNotNull()).dropDuplicates([key]).select([F.col(c).alias(f"_{c}") for c in target.columns])
+    b = last_rows(batch.where(F.col(key).isNotNull()), key, order, first=True).select([F.col(c).alias(f"_{c}") for c in target.columns])
     j = target.withColumn("_old", F.lit(True)).join(b.withColumn("_new", F.lit(True)), F.col(key) == F.col(f"_{key}"), "full_outer")
     filled = F.lit(False)
     for c in fill:
@@ -113,9 +120,15 @@ def names_customer(hay: Column, source: Column) -> Column:
     return ~F.lower(s).isin(*GENERIC_SOURCES, "") & (whole | F.exists(parts, lambda p: F.contains(F.lower(hay), F.lower(p))))
 
 
-def technical_name(title: Column, name: Column) -> Column:
-    """The text before ` (`, else the name."""
-    return F.when(F.instr(title, " (") > 0, F.trim(F.substring_index(title, " (", 1))).otherwise(name)
+def technical_name(description: Column, name: Column) -> Column:
+    """A view's name as its description spells it (the text before ` (`), else the name."""
+    return F.when(F.instr(description, " (") > 0, F.trim(F.substring_index(description, " (", 1))).otherwise(name)
+
+
+def view_rows(raw: DataFrame) -> DataFrame:
+    """Remote views (Name, DisplayName, Description, State) as catalog rows, released ones only."""
+    name = technical_name(F.col("Description"), T.filled(F.col("Name")))
+    return raw.where(F.upper("State") == "RELEASED").select(name.alias("name"), T.first_filled(F.col("DisplayName"), F.col("Name")).alias("title"), T.filled(F.col("Description")).alias("notes"))
 
 
 def artifact_rows(raw: DataFrame, url_base: str) -> DataFrame:

@@ -140,17 +140,27 @@ def failure_class(log: Column, patterns: dict[str, str], last: int = 2000) -> Co
     return out
 
 
-def redact(json: Column, keys: list[str]) -> Column:
-    """JSON text with the values of secret keys masked at any depth: strings, numbers, literals, flat objects and lists."""
+def redact(json: Column, keys: list[str], depth: int = 16) -> Column:
+    """JSON text with the values of secret keys masked: strings, numbers, literals, and objects and lists with all
+    that is in them. A value nested deeper than `depth` masks the rest of the text, so that nothing secret stays."""
     names = "|".join(k.replace(".", r"\.") for k in keys)
-    value = r'"(?:[^"\\]|\\.)*+"|-?[0-9][0-9.eE+-]*|true|false|null|\{[^{}]*\}|\[[^\[\]]*\]'
+    string = r'"(?:[^"\\]|\\.)*+"'
+    nested = r"[\[{](?:" + string + r'|[^"\[\]{}])*+[\]}]'
+    for _ in range(depth):
+        nested = r"[\[{](?:" + string + r'|[^"\[\]{}]|' + nested + r")*+[\]}]"
+    value = rf"{string}|-?[0-9][0-9.eE+-]*|true|false|null|{nested}|[\[{{](?s:.*)"
     return F.regexp_replace(json, rf'(?i)("(?:{names})"\s*:\s*)(?:{value})', f'$1"{MASK}"')
 
 
 def apply_comments(findings: DataFrame, comments: DataFrame) -> DataFrame:
-    """Findings with the last comment (by its order) on their id or their file. comments: target, text, n."""
-    both = findings.join(comments, (findings["id"] == comments["target"]) | (findings["file"] == comments["target"]), "left")
-    return both.groupBy(*findings.columns).agg(F.max_by("text", "n").alias("comment"))
+    """Findings with the last comment (by its order) on their id or their file. comments: target, text, n; findings
+    have an id each. Two joins on equal keys, each with one comment per target."""
+    last = comments.groupBy("target").agg(F.max(F.struct("n", "text")).alias("said"))
+    on = lambda c: last.select(F.col("target").alias(f"_on_{c}"), F.col("said").alias(f"_by_{c}"))
+    both = findings
+    for c in ("id", "file"):
+        both = both.join(on(c), F.col(c) == F.col(f"_on_{c}"), "left")
+    return both.select(*findings.columns, F.greatest("_by_id", "_by_file")["text"].alias("comment"))
 
 
 def tail(events: DataFrame, order: str, n: int = 10) -> DataFrame:

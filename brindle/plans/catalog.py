@@ -57,9 +57,9 @@ def keyword_all_parts(spark, sf_dir):
     return found.select("p_partkey", "p_name", "p_type")
 
 
-@registered("SELECT doc_id, source FROM documents WHERE lang = 'en' AND (contains(lower(coalesce(text, '') || ' ' || coalesce(source, '')), 'license') OR contains(lower(coalesce(text, '') || ' ' || coalesce(source, '')), 'akia'))")
+@registered("SELECT doc_id, source FROM documents WHERE contains(lower(coalesce(text, '') || ' ' || coalesce(source, '')), 'license') OR contains(lower(coalesce(text, '') || ' ' || coalesce(source, '')), 'akia')")
 def keyword_any_docs(spark, sf_dir):
-    docs = table(spark, sf_dir, "documents").where("lang = 'en'")
+    docs = table(spark, sf_dir, "documents")
     return search.keyword_search(docs, ["text", "source"], "license akia", mode="any").select("doc_id", "source")
 
 
@@ -334,9 +334,9 @@ def anti_export(spark, sf_dir):
     return out.withColumn("source", catalog.anonymous_source(F.col("source"), ("src0",)))
 
 
-@registered("SELECT printf('EXP-%03d', max(p_partkey) + 1) AS next_id FROM part WHERE p_partkey < 50")
+@registered("SELECT printf('EXP-%03d', max(p_partkey) + 1) AS next_id FROM part")
 def next_lesson_id(spark, sf_dir):
-    ids = table(spark, sf_dir, "part").where("p_partkey < 50").select(F.format_string("EXP-%03d", "p_partkey").alias("id"))
+    ids = table(spark, sf_dir, "part").select(F.format_string("EXP-%03d", "p_partkey").alias("id"))
     return catalog.next_number(ids.union(spark.range(1).select(F.lit("EXP-x9"))), "id")
 
 
@@ -401,11 +401,11 @@ def usage_full_outer(spark, sf_dir):
     return runs.usage_with_runs(u, table(spark, sf_dir, "customer").select(F.col("c_custkey").alias("k"), "c_name"), "k")
 
 
-RUNS_SQL = "r AS (SELECT o_custkey AS source, CASE WHEN o_orderkey % 3 = 0 THEN 'X' || o_custkey ELSE 'X' || o_custkey || '-R' || (o_orderkey % 40) END AS id FROM (SELECT DISTINCT o_custkey, o_orderkey % 120 AS o_orderkey FROM orders)), v AS (SELECT DISTINCT source, id, coalesce(nullif(regexp_extract(id, '-R(\\d+)$', 1), '')::INT, 1) AS version FROM r)"
+RUNS_SQL = "r AS (SELECT o_custkey AS source, CASE WHEN o_orderkey % 3 = 0 THEN 'X' || o_custkey ELSE 'X' || o_custkey || '-R' || (o_orderkey % 40) END AS id FROM (SELECT DISTINCT o_custkey, o_orderkey FROM orders)), v AS (SELECT DISTINCT source, id, coalesce(nullif(regexp_extract(id, '-R(\\d+)$', 1), '')::INT, 1) AS version FROM r)"
 
 
 def _runs(spark: SparkSession, sf_dir: str) -> DataFrame:
-    o = table(spark, sf_dir, "orders").select("o_custkey", (F.col("o_orderkey") % 120).alias("k")).distinct()
+    o = table(spark, sf_dir, "orders").select("o_custkey", F.col("o_orderkey").alias("k")).distinct()
     base = F.concat(F.lit("X"), F.col("o_custkey").cast("string"))
     return o.select(F.col("o_custkey").alias("source"), F.when(F.col("k") % 3 == 0, base).otherwise(F.concat(base, F.lit("-R"), (F.col("k") % 40).cast("string"))).alias("id")).distinct()
 
@@ -453,15 +453,40 @@ def redact_props(spark, sf_dir):
     return table(spark, sf_dir, "events").select("event_id", runs.redact(F.col("props"), ["k", "password"]).alias("props"))
 
 
+@registered("""WITH c AS (SELECT CASE WHEN l_linenumber % 2 = 0 THEN 'o' || l_orderkey ELSE 'c' || l_suppkey END AS target, l_returnflag || l_linestatus AS text, l_orderkey * 10 + l_linenumber AS n FROM lineitem),
+l AS (SELECT target, text, n FROM c QUALIFY row_number() OVER (PARTITION BY target ORDER BY n DESC, text DESC) = 1)
+SELECT 'o' || o_orderkey AS id, 'c' || o_custkey AS file, CASE WHEN coalesce(a.n, -1) >= coalesce(b.n, -1) THEN a.text ELSE b.text END AS comment
+FROM orders LEFT JOIN l a ON a.target = 'o' || o_orderkey LEFT JOIN l b ON b.target = 'c' || o_custkey""")
+def last_comments(spark, sf_dir):
+    key = lambda letter, c: F.concat(F.lit(letter), F.col(c).cast("string"))
+    target = F.when(F.col("l_linenumber") % 2 == 0, key("o", "l_orderkey")).otherwise(key("c", "l_suppkey"))
+    comments = table(spark, sf_dir, "lineitem").select(target.alias("target"), F.concat("l_returnflag", "l_linestatus").alias("text"), (F.col("l_orderkey") * 10 + F.col("l_linenumber")).alias("n"))
+    findings = table(spark, sf_dir, "orders").select(key("o", "o_orderkey").alias("id"), key("c", "o_custkey").alias("file"))
+    return runs.apply_comments(findings, comments)
+
+
+@registered("SELECT o_custkey, max(o_orderkey) AS o_orderkey, arg_max(o_totalprice, o_orderkey) AS o_totalprice FROM orders GROUP BY o_custkey")
+def upsert_last_of_batch(spark, sf_dir):
+    o = table(spark, sf_dir, "orders").select("o_custkey", "o_orderkey", "o_totalprice")
+    return catalog.upsert(o.where("o_custkey % 2 = 0").dropDuplicates(["o_custkey"]), o, "o_custkey", order=["o_orderkey"])
+
+
+@registered("SELECT CASE WHEN c_custkey % 2 = 0 THEN c_name ELSE upper(c_name) END AS name, c_name AS title, CASE WHEN c_custkey % 2 = 0 THEN c_name || ' (Basic)' END AS notes FROM customer")
+def view_rows(spark, sf_dir):
+    c = table(spark, sf_dir, "customer")
+    raw = c.select(F.upper("c_name").alias("Name"), F.col("c_name").alias("DisplayName"), F.when(F.col("c_custkey") % 2 == 0, F.concat("c_name", F.lit(" (Basic)"))).alias("Description"), F.lit("Released").alias("State"))
+    return catalog.view_rows(raw)
+
+
 @registered("SELECT event_id, ts, event_type FROM events ORDER BY event_id DESC LIMIT 10")
 def audit_tail(spark, sf_dir):
     return runs.tail(table(spark, sf_dir, "events").select("event_id", "ts", "event_type"), "event_id", 0)
 
 
-@registered("SELECT r_name, coalesce(list_sort(list(n_name) FILTER (n_name IS NOT NULL)), []) AS runs FROM region LEFT JOIN nation ON n_regionkey = r_regionkey AND n_nationkey > 6 GROUP BY r_name")
+@registered("SELECT r_name, coalesce(list_sort(list(n_name) FILTER (n_name IS NOT NULL)), []) AS runs FROM region LEFT JOIN nation ON n_regionkey = r_regionkey GROUP BY r_name")
 def inputs_with_runs(spark, sf_dir):
     r = table(spark, sf_dir, "region").select("r_name", F.col("r_regionkey").alias("path"))
-    n = table(spark, sf_dir, "nation").where("n_nationkey > 6").select(F.col("n_regionkey").alias("path"), "n_name")
+    n = table(spark, sf_dir, "nation").select(F.col("n_regionkey").alias("path"), "n_name")
     return runs.inputs_with_runs(r, n, "path", "n_name").select("r_name", "runs")
 
 

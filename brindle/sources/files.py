@@ -35,7 +35,8 @@ def salvage_json(text: Column) -> Column:
         except ValueError:
             return None
 
-    return F.coalesce(F.when(F.try_parse_json(text).isNotNull(), text), F.udf(first, "string", useArrow=True)(text))
+    whole = F.try_parse_json(text).isNotNull()
+    return F.coalesce(F.when(whole, text), F.udf(first, "string", useArrow=True)(F.when(~whole, text)))  # only broken texts go to Python
 
 
 def read_manifests(spark: SparkSession, root: str, pattern: str = "run.json") -> DataFrame:
@@ -47,7 +48,9 @@ def read_manifests(spark: SparkSession, root: str, pattern: str = "run.json") ->
 
 def read_log(spark: SparkSession, path: str, schema: str) -> DataFrame:
     """JSON lines; a bad line is left out, and only that line (a sequential reader would stop there)."""
-    return spark.read.schema(schema).option("mode", "DROPMALFORMED").json(path)
+    bad = "_bad_line"
+    rows = spark.read.schema(f"{schema}, {bad} string").option("mode", "PERMISSIVE").option("columnNameOfCorruptRecord", bad).json(path)
+    return rows.where(F.col(bad).isNull()).drop(bad)
 
 
 def last_result(lines: DataFrame, group: str, order: str, text_col: str = "value") -> DataFrame:
@@ -65,9 +68,22 @@ def read_inputs(spark: SparkSession, root: str) -> DataFrame:
 
 
 def replace_table(df: DataFrame, path: str) -> None:
-    """Overwrites a stored table; `df` must not read from it. Spark's commit makes the change all or nothing."""
+    """Overwrites a stored table; `df` must not read from it. The old files go before the new ones are committed, so
+    a failed job leaves no table: a reader that must never miss one reads a snapshot (see write_snapshot)."""
     df.write.mode("overwrite").parquet(path)
 
 
+def write_snapshot(df: DataFrame, path: str, version: str) -> str:
+    """Writes a table under a new version of `path` and returns its folder; earlier ones stay as they are, and `df` may read them."""
+    df.write.mode("error").parquet(folder := f"{path}/version={version}")
+    return folder
+
+
+def read_snapshot(spark: SparkSession, path: str) -> DataFrame:
+    """The latest version of a table (by its name); only that folder is read. Files of a failed write are not yet in place."""
+    every = spark.read.option("basePath", path).parquet(path).withColumn("version", F.col("version").cast("string"))
+    return every.where(F.col("version") == every.agg(F.max("version")).first()[0]).drop("version")
+
+
 def append_log(df: DataFrame, path: str) -> None:
     df.write.mode("append").json(path)

@@ -153,6 +153,21 @@ def test_redaction(spark):
     assert one(spark, runs.redact(F.lit(js), ["token", "password"])) == '{"a": {"Token": "***REDACTED***", "b": [1]}, "token": "***REDACTED***", "password":"***REDACTED***", "tokens": "stay"}'
 
 
+def test_redaction_of_nested_values(spark):
+    js = '{"token": {"a": {"b": [1, {"c": "}{]["}]}}, "x": 1}'
+    assert one(spark, runs.redact(F.lit(js), ["token"])) == '{"token": "***REDACTED***", "x": 1}'
+    deep = '{"token": ' + "[" * 40 + '"secret"' + "]" * 40 + ', "x": 1}'
+    assert "secret" not in one(spark, runs.redact(F.lit(deep), ["token"]))
+
+
+def test_repeated_batch_keys(spark):
+    old = spark.createDataFrame([("a", None, 0)], "k string, v string, n int")
+    new = spark.createDataFrame([("a", "x", 1), ("a", "y", 2), ("b", "p", 1), ("b", "q", 2)], "k string, v string, n int")
+    assert sorted(map(tuple, catalog.upsert(old, new, "k", ["n"]).collect())) == [("a", "y", 2), ("b", "q", 2)]
+    merged = catalog.merge_backfill(old, new, "k", ["v"], order=["n"]).collect()
+    assert sorted((r.k, r.v, r.n, r._status) for r in merged) == [("a", "x", 0, "backfilled"), ("b", "p", 1, "added")]
+
+
 def test_last_comment_wins(spark):
     f = spark.createDataFrame([("F1", "a.md"), ("F2", "b.md")], "id string, file string")
     c = spark.createDataFrame([("F1", "one", 1), ("a.md", "two", 2), ("zz", "no", 3)], "target string, text string, n int")
