@@ -70,9 +70,12 @@ def apart_pairs(items: DataFrame, apart: DataFrame, similarity: float, sized: bo
 
     With all tokens in one order, rare ones first, two sets of (set or probability) Jaccard s share a token among
     the first of each: those that more than s of its tokens, or more than s of its weight, do not follow. (Neither
-    Jaccard exceeds the share of tokens, or of normalised weight, that the two have in common.) `sized` (set Jaccard
-    only): sets of too different sizes cannot be alike, and neither can those whose first shared token comes too late
-    for the rest to suffice. A token whose nodes are all of one component is dropped.
+    Jaccard exceeds the share of tokens, or of normalised weight, that the two have in common.) Nor can
+    two be alike whose first shared token comes too late for the rest to suffice, or (set Jaccard) that differ too
+    much in size. With the normalised weights p and q before that token, the probability Jaccard is at most the mean
+    of (1 - p) / (1 + p) and (1 - q) / (1 + q): these weights are in one of the two only, so each term of the sum is
+    at most the harmonic mean of its weight / (1 + p) and / (1 + q). `sized`: set Jaccard only. A token whose nodes are all of one
+    component is dropped.
     """
     items = items.repartition("token")
     often = items.groupBy("token").agg(F.count(F.lit(1)).alias("often"))
@@ -85,15 +88,18 @@ def apart_pairs(items: DataFrame, apart: DataFrame, similarity: float, sized: bo
     )
     slack = 1 - similarity
     first = ranked.where("often > 1").where((F.col("rank") - 1 <= slack * F.col("n") + 1e-6) | (F.col("mass") <= slack * F.col("total") + 1e-6))
-    placed = compact(first.join(apart, "node").select("token", "node", "n", "rank", "part", F.xxhash64("part").alias("h")))
+    placed = compact(first.join(apart, "node").select("token", "node", "n", "rank", (F.col("mass") / F.col("total")).alias("before"), "part", F.xxhash64("part").alias("h")))
     mixed = placed.groupBy("token").agg(F.min("h").alias("lo"), F.max("h").alias("hi")).where("lo < hi").select("token")
     met = compact(placed.join(mixed, "token", "left_semi"))
-    x, y = (met.select("token", *[F.col(c).alias(f"{c}_{k}") for c in ("node", "n", "rank", "part")]) for k in "xy")
+    x, y = (met.select("token", *[F.col(c).alias(f"{c}_{k}") for c in ("node", "n", "rank", "before", "part")]) for k in "xy")
     both = x.join(y, "token").where("part_x < part_y")
-    if sized:
-        enough = similarity / (1 + similarity) * (F.col("n_x") + F.col("n_y")) - 1e-6  # shared tokens of such a pair
-        left = 1 + F.least(F.col("n_x") - F.col("rank_x"), F.col("n_y") - F.col("rank_y"))
-        both = both.where((F.least("n_x", "n_y") >= similarity * F.greatest("n_x", "n_y") - 1e-6) & (left >= enough))
+    enough = similarity / (1 + similarity) * (F.col("n_x") + F.col("n_y")) - 1e-6  # shared tokens of such a pair
+    left = 1 + F.least(F.col("n_x") - F.col("rank_x"), F.col("n_y") - F.col("rank_y"))
+    possible = (F.least("n_x", "n_y") >= similarity * F.greatest("n_x", "n_y") - 1e-6) & (left >= enough)
+    if not sized:
+        rest = lambda m: (1 - F.col(m)) / (1 + F.col(m))
+        possible = possible | ((rest("before_x") + rest("before_y")) / 2 >= similarity - 1e-6)
+    both = both.where(possible)
     return both.select(F.least("node_x", "node_y").alias("a"), F.greatest("node_x", "node_y").alias("b")).distinct()
 
 
