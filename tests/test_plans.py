@@ -4,6 +4,7 @@ import os
 
 import pytest
 
+from brindle.operators import search
 from brindle.plans import catalog
 
 DATA = "/root/testdata/sf0.001"
@@ -21,7 +22,8 @@ def test_no_cross_joins(spark, name):
 
 
 def test_columns_and_filters_reach_the_scan(spark):
-    text = plan(catalog.QUERIES["keyword_any_docs"](spark, DATA))
+    english = spark.read.parquet(f"{DATA}/documents.parquet").where("lang = 'en'")
+    text = plan(search.keyword_search(english, ["text", "source"], "license akia", mode="any").select("doc_id", "source"))
     assert "PushedFilters: [IsNotNull(lang), EqualTo(lang,en)]" in text and "n_chars" not in text.split("ReadSchema", 1)[1]
     assert "struct<event_type:string,value:double>" in plan(catalog.QUERIES["tool_metrics"](spark, DATA))
 
