@@ -3,10 +3,14 @@
 Conversations are cut into pieces of bounded size (nearly always one each) by streaming their turns
 in order; every turn is named by a digest of all turns up to it. Ordered by those names, pieces that
 share initial turns stand next to each other, in depth-first order, and a streaming pass over each
-range emits trees of bounded size: shared turns are written once, each node carries its position
-(continuing its parent's) and the intervals of its ancestors, which are all that it may attend to.
-No group is ever collected: a first turn that a third of all conversations share is spread over as many
-trees and partitions as its size asks for.
+range emits the trees: shared turns are written once, each node carries its position (continuing its
+parent's) and the intervals of its ancestors, which are all that it may attend to.
+
+Trees are cut into rows of bounded size, between nodes. What is above a cut is not written again: a node
+whose parent stands in another row names it (`above`), and its position goes on from there. So do the
+later pieces of a very long conversation. No group is ever collected: a first turn that a third of all
+conversations share is spread over as many rows and partitions as its size asks for; each partition
+writes the one path with which it begins.
 """
 
 from __future__ import annotations
@@ -22,13 +26,13 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from brindle.llm.common import bound_batches, table
-from brindle.llm.packing import Encoder, tokenizer_path
+from brindle.llm.packing import Encoder, encoder_of, tokenizer_path
 
 #: The strings that have a meaning in a template; inside texts they are escaped.
 START, END = "<|im_start|>", "<|im_end|>"
 CONTROL = (START, END, "<s>", "</s>", "[INST]", "[/INST]", "<<SYS>>", "<</SYS>>")
 LOSS_ROLE = "assistant"
-#: Bounds of a piece of a conversation, and of a tree.
+#: Bounds of a piece of a conversation, and of a row of a tree.
 PIECE_TURNS, PIECE_CHARS = 512, 1 << 20
 TREE_TOKENS, TREE_CONVERSATIONS = 16_384, 4096
 
@@ -66,8 +70,16 @@ def chain(before: bytes, role: str, text: str) -> bytes:
     return h.digest()
 
 
-def pieces(turns: DataFrame) -> DataFrame:
-    """conv_id, piece, path (names of the turns), roles, texts; null roles and texts are empty.
+def coded(encoder: Encoder, role: str, text: str) -> tuple[array, int, int]:
+    """Ids of a formatted turn, and the interval of them under the loss."""
+    head, body, tail = (array("I", encoder.ids(x)) for x in parts(role, text))
+    bounds = (len(head), len(head) + len(body)) if role == LOSS_ROLE else (0, 0)
+    return head + body + tail, *bounds
+
+
+def pieces(turns: DataFrame, path: str, piece_turns: int = PIECE_TURNS) -> DataFrame:
+    """conv_id, piece, path (names of the turns), roles, texts, above (name of the turn before, null in a first piece)
+    and begin (position of the first token); null roles and texts are empty.
 
     Turns are ordered by turn (null first), then role and text, so repeated rows and ties are kept, in a
     defined order. Rows without conv_id form one conversation.
@@ -75,25 +87,32 @@ def pieces(turns: DataFrame) -> DataFrame:
     rows = turns.select("conv_id", "turn", *[F.coalesce(F.col(c).cast("string"), F.lit("")).alias(c) for c in ("role", "text")])
     kind = rows.schema["conv_id"].dataType.simpleString()
     ordered = rows.repartition("conv_id").sortWithinPartitions("conv_id", "turn", "role", "text")
+    tokenizer = path
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         out, held = [], 0
         now, piece, path, roles, texts, size, name = object(), 0, [], [], [], 0, b""
+        above, begin = None, 0
 
-        def done() -> None:
-            nonlocal piece, path, roles, texts, size, held
+        def done(last: bool = True) -> None:
+            nonlocal piece, path, roles, texts, size, held, above, begin
             if path:
-                out.append((now, piece, path, roles, texts))
+                out.append((now, piece, path, roles, texts, above, begin))
                 held += size
+                if last:
+                    above, begin = None, 0
+                else:  # only a conversation that goes on needs its tokens counted here
+                    above, begin = path[-1], begin + sum(len(coded(encoder_of(tokenizer), *t)[0]) for t in zip(roles, texts))
                 piece, path, roles, texts, size = piece + 1, [], [], [], 0
 
         def batch_of(schema_type: pa.DataType) -> pa.RecordBatch:
             nonlocal held
             columns = [pa.array([r[0] for r in out], schema_type), pa.array([r[1] for r in out], pa.int32()), pa.array([r[2] for r in out], pa.list_(pa.binary()))]
             columns += [pa.array([r[k] for r in out], pa.list_(pa.string())) for k in (3, 4)]
+            columns += [pa.array([r[5] for r in out], pa.binary()), pa.array([r[6] for r in out], pa.int64())]
             out.clear()
             held = 0
-            return pa.RecordBatch.from_arrays(columns, names=["conv_id", "piece", "path", "roles", "texts"])
+            return pa.RecordBatch.from_arrays(columns, names=["conv_id", "piece", "path", "roles", "texts", "above", "begin"])
 
         conv_type = None
         for batch in batches:
@@ -102,8 +121,8 @@ def pieces(turns: DataFrame) -> DataFrame:
                 if conv != now:
                     done()
                     now, piece, name = conv, 0, b""
-                elif len(path) >= PIECE_TURNS or size >= PIECE_CHARS:
-                    done()
+                elif len(path) >= piece_turns or size >= PIECE_CHARS:
+                    done(last=False)
                 name = chain(name, role, text)
                 path.append(name)
                 roles.append(role)
@@ -115,133 +134,158 @@ def pieces(turns: DataFrame) -> DataFrame:
         if out:
             yield batch_of(conv_type)
 
-    return ordered.mapInArrow(run, f"conv_id {kind}, piece int, path array<binary>, roles array<string>, texts array<string>")
+    return ordered.mapInArrow(run, f"conv_id {kind}, piece int, path array<binary>, roles array<string>, texts array<string>, above binary, begin bigint")
 
 
 class Tree:
-    """Nodes of one tree in depth-first order, and the tokens of each, emitted once."""
+    """A row: nodes of a tree in depth-first order, and the tokens of each, emitted once.
+
+    `stack` is the path from the root to the latest node, as (name, number in this row or -1, position of its end);
+    it goes on from row to row.
+    """
 
-    def __init__(self):
-        self.ids, self.positions = array("I"), array("I")
+    def __init__(self, stack: list[tuple[bytes, int, int]]):
+        self.ids, self.positions = array("I"), array("q")
         self.nodes: list[dict] = []
-        self.stack: list[tuple[bytes, int]] = []  # the path from the root to the latest node
+        self.stack = [(name, -1, end) for name, _, end in stack]
         self.leaves: list[dict] = []
 
     def shared(self, path: list[bytes]) -> int:
         n = 0
-        for (name, _), other in zip(self.stack, path):
+        for (name, _, _), other in zip(self.stack, path):
             if name != other:
                 break
             n += 1
         return n
 
-    def add(self, conv, piece: int, path: list[bytes], coded: list[tuple[array, int, int]]) -> None:
-        """`coded`: of each turn beyond the shared ones, ids and the place of the loss-bearing ones."""
-        del self.stack[len(path) - len(coded) :]
-        for name, (ids, first, last) in zip(path[len(path) - len(coded) :], coded, strict=True):
-            parent = self.stack[-1][1] if self.stack else -1
-            start, begin = len(self.ids), 0
+    def add(self, piece: dict, new: list[tuple[array, int, int]]) -> None:
+        """`new`: of each turn beyond the shared ones, ids and the place of the loss-bearing ones."""
+        path = piece["path"]
+        n_shared = len(path) - len(new)
+        del self.stack[n_shared:]
+        for name, (ids, first, last) in zip(path[n_shared:], new, strict=True):
+            above, parent, begin = self.stack[-1] if self.stack else (piece["above"], -1, piece["begin"])
+            start = len(self.ids)
             intervals: list[dict] = []
             if parent >= 0:
-                above = self.nodes[parent]
-                begin = above["position"] + above["end"] - above["start"]
-                intervals = [dict(x) for x in above["ancestors"]]
-                if intervals and intervals[-1]["end"] == above["start"]:
-                    intervals[-1]["end"] = above["end"]
+                over = self.nodes[parent]
+                above, intervals = over["above"], [dict(x) for x in over["ancestors"]]
+                if intervals and intervals[-1]["end"] == over["start"]:
+                    intervals[-1]["end"] = over["end"]
                 else:
-                    intervals.append({"start": above["start"], "end": above["end"]})
+                    intervals.append({"start": over["start"], "end": over["end"]})
             self.ids.extend(ids)
             self.positions.extend(range(begin, begin + len(ids)))
-            self.nodes.append({"start": start, "end": len(self.ids), "parent": parent, "position": begin, "loss_start": start + first, "loss_end": start + last, "ancestors": intervals})
-            self.stack.append((name, len(self.nodes) - 1))
-        self.leaves.append({"conv_id": conv, "piece": piece, "leaf": self.stack[-1][1]})
+            self.nodes.append({"name": name, "above": above, "start": start, "end": len(self.ids), "parent": parent, "position": begin, "loss_start": start + first, "loss_end": start + last, "ancestors": intervals})
+            self.stack.append((name, len(self.nodes) - 1, begin + len(ids)))
+        self.leaves.append({"conv_id": piece["conv_id"], "piece": piece["piece"], "turns": len(path), "name": path[-1], "leaf": self.stack[-1][1]})
 
 
 TREE = (
-    "tree_id bigint, ids array<int>, positions array<int>, "
-    "nodes array<struct<start:int,end:int,parent:int,position:int,loss_start:int,loss_end:int,ancestors:array<struct<start:int,end:int>>>>, "
-    "leaves array<struct<conv_id:{id},piece:int,leaf:int>>"
+    "tree_id bigint, ids array<int>, positions array<bigint>, "
+    "nodes array<struct<name:binary,above:binary,start:int,end:int,parent:int,position:bigint,loss_start:int,loss_end:int,ancestors:array<struct<start:int,end:int>>>>, "
+    "leaves array<struct<conv_id:{id},piece:int,turns:int,name:binary,leaf:int>>"
 )
+#: The bits of a tree_id below its stream (the range it was made from); in these, rows of a stream are numbered.
+ROW_BITS = 33
 
 
-def chat_trees(turns: DataFrame, path: str | None = None, tree_tokens: int = TREE_TOKENS) -> DataFrame:
-    """One row per tree: token ids with their positions, nodes (a turn each: token interval, parent, position of
-    its first token, interval under the loss, intervals of its ancestors) and the conversations' leaves.
+def chat_trees(turns: DataFrame, path: str | None = None, tree_tokens: int = TREE_TOKENS, piece_turns: int = PIECE_TURNS) -> DataFrame:
+    """Rows of prefix trees: token ids with their positions, nodes (a turn each: its name, token interval, parent,
+    position of its first token, interval under the loss, intervals of its ancestors in this row, and `above`, the name
+    of the nearest ancestor in another row) and leaves (a conversation's piece, its number of turns, its last turn).
 
-    A token attends to the earlier ones of its own node and to its ancestors' intervals. Positions of a
-    later piece of a very long conversation start from 0 again. An empty table gives no trees.
+    A token attends to the earlier ones of its own node, to its ancestors' intervals and, where there is an `above`,
+    to that node and all that it attends to; positions count from the conversation's first token over all of these. A
+    leaf or parent of -1 stands in another row (or, without `above`, nowhere). A row holds `tree_tokens` tokens, or the one
+    piece that is longer. Rows without conv_id form one conversation; other columns are not read. An empty table gives no trees.
     """
     path = path or tokenizer_path()
     bound_batches(turns.sparkSession, rows=500, size=4 << 20)
-    found = pieces(turns)
+    found = pieces(turns, path, piece_turns)
     kind = found.schema["conv_id"].dataType.simpleString()
     keys = ["path", "conv_id", "piece"]
     n = int(turns.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     ordered = found.repartitionByRange(n, *keys).sortWithinPartitions(*keys)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encoder = Encoder(path)
-        base, made, tree, leaf_type = TaskContext.get().partitionId() << 33, 0, Tree(), None
+        encoder = encoder_of(path)
+        base, made, tree, leaf_type = TaskContext.get().partitionId() << ROW_BITS, 0, Tree([]), None
         span = [("start", pa.int32()), ("end", pa.int32())]
-        node = pa.struct([*span, ("parent", pa.int32()), ("position", pa.int32()), ("loss_start", pa.int32()), ("loss_end", pa.int32()), ("ancestors", pa.list_(pa.struct(span)))])
+        names = [("name", pa.binary()), ("above", pa.binary())]
+        node = pa.struct([*names, *span, ("parent", pa.int32()), ("position", pa.int64()), ("loss_start", pa.int32()), ("loss_end", pa.int32()), ("ancestors", pa.list_(pa.struct(span)))])
 
         def row() -> pa.RecordBatch:
-            leaf = pa.struct([("conv_id", leaf_type), ("piece", pa.int32()), ("leaf", pa.int32())])
+            leaf = pa.struct([("conv_id", leaf_type), ("piece", pa.int32()), ("turns", pa.int32()), ("name", pa.binary()), ("leaf", pa.int32())])
             columns = [pa.array([base + made], pa.int64())]
-            columns += [pa.array([x], t) for x, t in ((tree.ids, pa.list_(pa.int32())), (tree.positions, pa.list_(pa.int32())), (tree.nodes, pa.list_(node)), (tree.leaves, pa.list_(leaf)))]
+            columns += [pa.array([x], t) for x, t in ((tree.ids, pa.list_(pa.int32())), (tree.positions, pa.list_(pa.int64())), (tree.nodes, pa.list_(node)), (tree.leaves, pa.list_(leaf)))]
             return pa.RecordBatch.from_arrays(columns, names=["tree_id", "ids", "positions", "nodes", "leaves"])
 
-        def coded(role: str, text: str) -> tuple[array, int, int]:
-            head, body, tail = (encoder.encode(x)[0] for x in parts(role, text))
-            bounds = (len(head), len(head) + len(body)) if role == LOSS_ROLE else (0, 0)
-            return head + body + tail, *bounds
-
         for batch in batches:
             leaf_type = batch.schema.field("conv_id").type
             for r in batch.to_pylist():
-                n_shared = tree.shared(r["path"])
-                more = [coded(*t) for t in list(zip(r["roles"], r["texts"]))[n_shared:]]
-                if tree.leaves and (len(tree.leaves) >= TREE_CONVERSATIONS or len(tree.ids) + sum(len(c[0]) for c in more) > tree_tokens):
+                new = [coded(encoder, *t) for t in list(zip(r["roles"], r["texts"]))[tree.shared(r["path"]) :]]
+                if tree.leaves and (len(tree.leaves) >= TREE_CONVERSATIONS or len(tree.ids) + sum(len(c[0]) for c in new) > tree_tokens):
                     yield row()
-                    tree, made = Tree(), made + 1
-                    more = [*(coded(*t) for t in list(zip(r["roles"], r["texts"]))[:n_shared]), *more]
-                tree.add(r["conv_id"], r["piece"], r["path"], more)
+                    tree, made = Tree(tree.stack), made + 1
+                tree.add(r, new)
         if tree.leaves:
             yield row()
 
     return ordered.mapInArrow(run, TREE.format(id=kind))
 
 
-def read_back(trees: DataFrame, path: str | None = None) -> DataFrame:
+def read_back(trees: DataFrame, path: str | None = None, in_order: bool = False) -> DataFrame:
     """conv_id, piece, n_turns, turns ("role\\ntext\\n" of each), loss (all text under the loss mask, unescaped)
-    and formatted_chars, from the trees' tokens, intervals and masks alone."""
+    and formatted_chars, from the trees' tokens, nodes and masks alone.
+
+    The rows of a stream are read one after the other: what is above a row is the end of the path before it.
+    `in_order` tells that they come straight from chat_trees; else they are brought together and sorted first.
+    """
     path = path or tokenizer_path()
     kind = trees.schema["leaves"].dataType.elementType["conv_id"].dataType.simpleString()
     bound_batches(trees.sparkSession, rows=64, size=4 << 20)
+    if not in_order:
+        trees = trees.repartition(F.shiftright("tree_id", ROW_BITS)).sortWithinPartitions("tree_id")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from tokenizers import Tokenizer
 
         lib = Tokenizer.from_file(path)
         decode = lambda ids: lib.decode(ids, skip_special_tokens=False)
+        names = ["conv_id", "piece", "n_turns", "turns", "loss", "formatted_chars"]
+        kinds = (None, pa.int32(), pa.int64(), pa.string(), pa.string(), pa.int64())
+        now: list[tuple[bytes, str, str]] = []  # the path to the latest node: name, formatted, text under the loss
+        depth: dict[bytes, int] = {}
+
+        def back_to(name: bytes | None) -> None:
+            keep = depth.get(name, 0)
+            for gone, _, _ in now[keep:]:
+                del depth[gone]
+            del now[keep:]
+
+        def read(leaf: dict) -> tuple:
+            own = now[len(now) - leaf["turns"] :]
+            formatted = "".join(x[1] for x in own)
+            turns = parse(formatted)
+            return leaf["conv_id"], leaf["piece"], len(turns), "".join(f"{r}\n{t}\n" for r, t in turns), "".join(x[2] for x in own), len(formatted)
+
         for batch in batches:
-            conv_type = batch.schema.field("leaves").type.value_type.field("conv_id").type
+            kinds = (batch.schema.field("leaves").type.value_type.field("conv_id").type, *kinds[1:])
             for tree in batch.to_pylist():
-                ids, nodes, rows = tree["ids"], tree["nodes"], []
-                said = [unescape(decode(ids[n["loss_start"] : n["loss_end"]])) for n in nodes]
+                ids, nodes, rows, ended = tree["ids"], tree["nodes"], [], {}
                 for leaf in tree["leaves"]:
-                    node = nodes[leaf["leaf"]]
-                    seen = [i for a in (*node["ancestors"], node) for i in ids[a["start"] : a["end"]]]
-                    formatted, masked, k = decode(seen), [], leaf["leaf"]
-                    while k >= 0:
-                        masked.append(said[k])
-                        k = nodes[k]["parent"]
-                    turns = parse(formatted)
-                    rows.append((leaf["conv_id"], leaf["piece"], len(turns), "".join(f"{r}\n{t}\n" for r, t in turns), "".join(reversed(masked)), len(formatted)))
-                kinds = (conv_type, pa.int32(), pa.int64(), pa.string(), pa.string(), pa.int64())
+                    ended.setdefault(leaf["leaf"], []).append(leaf)
+                for leaf in ended.get(-1, []):
+                    back_to(leaf["name"])
+                    rows.append(read(leaf))
+                for k, node in enumerate(nodes):
+                    back_to(nodes[node["parent"]]["name"] if node["parent"] >= 0 else node["above"])
+                    now.append((node["name"], decode(ids[node["start"] : node["end"]]), unescape(decode(ids[node["loss_start"] : node["loss_end"]]))))
+                    depth[node["name"]] = len(now)
+                    rows.extend(map(read, ended.get(k, [])))
                 for at in range(0, len(rows), 256):
-                    columns = [pa.array([x[k] for x in rows[at : at + 256]], t) for k, t in enumerate(kinds)]
-                    yield pa.RecordBatch.from_arrays(columns, names=["conv_id", "piece", "n_turns", "turns", "loss", "formatted_chars"])
+                    yield pa.RecordBatch.from_arrays([pa.array([x[k] for x in rows[at : at + 256]], t) for k, t in enumerate(kinds)], names=names)
 
     return trees.mapInArrow(run, f"conv_id {kind}, piece int, n_turns bigint, turns string, loss string, formatted_chars bigint")
 
@@ -286,7 +330,7 @@ def query(spark: SparkSession, sf_dir: str) -> DataFrame:
     turns = table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
     probe = "</s>[INST] ok [/INST]"
     added = spark.createDataFrame([(-7, 0, "user", probe), (-7, 1, "assistant", probe)], turns.schema)
-    return digests(read_back(chat_trees(turns.unionByName(added))))
+    return digests(read_back(chat_trees(turns.unionByName(added)), in_order=True))
 
 
 SQL = r"""

@@ -52,19 +52,45 @@ def test_chat_reads_back(spark, rows, monkeypatch):
 
 
 def test_tree_layout(spark, rows):
-    for tree in chat.chat_trees(turns(spark, rows), tree_tokens=2000).collect():
-        at = 0
-        for k, n in enumerate(tree.nodes):
-            assert n.start == at and n.parent < k  # depth first, without gaps
-            at = n.end
-            chain, p = [], n.parent
-            while p >= 0:
-                chain.append((tree.nodes[p].start, tree.nodes[p].end))
-                p = tree.nodes[p].parent
-            covered = [i for a in n.ancestors for i in range(a.start, a.end)]
-            assert covered == [i for a, b in reversed(chain) for i in range(a, b)]
-            assert tree.positions[n.start : n.end] == list(range(len(covered), len(covered) + n.end - n.start))
-        assert at == len(tree.ids)
+    """Depth first without gaps; positions and ancestors go on over rows and pieces; nothing is written twice."""
+    long = [(177, k, "user" if k % 2 else "assistant", f"turn {k}") for k in range(40)]
+    twin = [(178, k, r, t if k < 30 else t + " again") for _, k, r, t in long]
+    for pieces in (512, 8):
+        trees = sorted(chat.chat_trees(turns(spark, rows + long + twin).repartition(1), tree_tokens=300, piece_turns=pieces).collect(), key=lambda t: t.tree_id)
+        ends, seen, last = {None: 0}, [], {}
+        for tree in trees:
+            ends |= {n.name: n.position + n.end - n.start for n in tree.nodes}
+            last |= {(leaf.conv_id, leaf.piece): leaf for leaf in tree.leaves}
+        for tree in trees:
+            at = 0
+            for k, n in enumerate(tree.nodes):
+                assert n.start == at and n.parent < k
+                at = n.end
+                chain, p, top = [], n.parent, n
+                while p >= 0:
+                    top = tree.nodes[p]
+                    chain.append((top.start, top.end))
+                    p = top.parent
+                covered = [i for a in n.ancestors for i in range(a.start, a.end)]
+                assert covered == [i for a, b in reversed(chain) for i in range(a, b)]
+                assert n.above == top.above and n.position == ends[n.above] + len(covered)
+                assert tree.positions[n.start : n.end] == list(range(n.position, n.position + n.end - n.start))
+                seen.append((tree.tree_id >> chat.ROW_BITS, bytes(n.name)))
+            assert at == len(tree.ids)
+        assert len(set(seen)) == len(seen)
+        assert any(n.above for tree in trees for n in tree.nodes)
+        tokens = sum(len(chat.coded(chat.encoder_of(chat.tokenizer_path()), r, t)[0]) for _, _, r, t in long)
+        assert ends[last[177, 39 // pieces].name] == tokens
+
+
+@pytest.mark.parametrize("piece_turns", [512, 3])
+def test_chat_rows_in_any_order(spark, rows, piece_turns):
+    trees = chat.chat_trees(turns(spark, rows), tree_tokens=40, piece_turns=piece_turns)
+    straight = chat.digests(chat.read_back(trees, in_order=True)).toPandas()
+    shuffled = chat.digests(chat.read_back(trees.repartition(7))).toPandas()
+    one = chat.digests(chat.read_back(chat.chat_trees(turns(spark, rows)))).toPandas()
+    for got in (straight, shuffled):
+        assert got.sort_values("conv_id").to_dict("records") == one.sort_values("conv_id").to_dict("records")
 
 
 def test_chat_empty(spark, rows):
