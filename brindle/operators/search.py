@@ -2,7 +2,10 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+import re
+
+from pyspark.errors import AnalysisException
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from brindle.functions import text as T
@@ -42,15 +45,19 @@ def term_counts(docs: DataFrame, id_col: str = "id", text_col: str = "text") ->
     return rows.groupBy("doc_id", "n_terms", "term").agg(F.count(F.lit(1)).alias("tf"))
 
 
-def term_idf(counts: DataFrame, n_docs: int) -> DataFrame:
-    """term, df and smoothed idf = ln((N + 1) / (df + 1)) + 1."""
-    return counts.groupBy("term").agg(F.count(F.lit(1)).alias("df")).withColumn("idf", F.log((F.lit(n_docs) + 1) / (F.col("df") + 1)) + 1)
+def term_idf(docs: DataFrame, text_col: str = "text") -> DataFrame:
+    """term, df and smoothed idf = ln((N + 1) / (df + 1)) + 1. Repeats go inside each row, so one shuffle, of partial counts, is all."""
+    terms = docs.select(F.explode(F.array_distinct(T.terms(F.col(text_col), stop=[]))).alias("term")).where(~F.col("term").isin(*T.STOP_WORDS))
+    return terms.groupBy("term").agg(F.count(F.lit(1)).alias("df")).withColumn("idf", F.log((F.lit(docs.count()) + 1) / (F.col("df") + 1)) + 1)
+
 
+def tfidf_index(docs: DataFrame, id_col: str = "id", text_col: str = "text", only: Column | None = None) -> tuple[DataFrame, DataFrame]:
+    """(postings: doc_id, term, weight with unit norm per document; terms: term, df, idf). Plain smoothed TF-IDF.
 
-def tfidf_index(docs: DataFrame, id_col: str = "id", text_col: str = "text") -> tuple[DataFrame, DataFrame]:
-    """(postings: doc_id, term, weight with unit norm per document; terms: term, df, idf). Plain smoothed TF-IDF."""
-    counts = term_counts(docs, id_col, text_col)
-    idf = term_idf(counts, docs.count())
+    `only` says which documents get postings; the terms are those of all. Ids are unique.
+    """
+    idf = term_idf(docs, text_col)
+    counts = term_counts(docs if only is None else docs.where(only), id_col, text_col)
     raw = counts.join(idf, "term").select("doc_id", "term", (F.col("tf") / F.col("n_terms") * F.col("idf")).alias("w"))
     norm = raw.groupBy("doc_id").agg(F.sqrt(F.sum(F.col("w") * F.col("w"))).alias("norm"))
     return raw.join(norm, "doc_id").select("doc_id", "term", (F.col("w") / F.when(F.col("norm") == 0, 1.0).otherwise(F.col("norm"))).alias("weight")), idf
@@ -75,9 +82,15 @@ def query_index(postings: DataFrame, idf: DataFrame, query: str, k: int = 5, lea
 
 
 def tfidf_search(docs: DataFrame, query: str, k: int = 5, id_col: str = "id", text_col: str = "text", type_col: str | None = None, type_is: str | None = None, least: float = SPARSE_LEAST) -> DataFrame:
-    """query_index over an index built on the fly, with an optional type filter."""
-    among = None if type_is is None else docs.where(F.col(type_col) == type_is).select(F.col(id_col).alias("doc_id"))
-    return query_index(*tfidf_index(docs, id_col, text_col), query, k, least, among)
+    """query_index over an index built on the fly, with an optional type filter. Only documents of the type that contain one
+    of the query's words, be it within a longer one, are weighed: no other can be a hit."""
+    low = F.lower(F.col(text_col))
+    only = F.lit(False)
+    for word in re.findall(T.TERM, query.lower()):
+        only = only | F.contains(low, F.lit(word))
+    if type_is is not None:
+        only = only & (F.col(type_col) == type_is)
+    return query_index(*tfidf_index(docs, id_col, text_col, only), query, k, least)
 
 
 def write_index(postings: DataFrame, idf: DataFrame, path: str) -> None:
@@ -86,6 +99,16 @@ def write_index(postings: DataFrame, idf: DataFrame, path: str) -> None:
     idf.write.mode("overwrite").parquet(f"{path}/terms")
 
 
+def read_index(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame]:
+    """The postings and terms of a stored index; an empty index, which finds nothing, where none is stored."""
+    try:
+        return spark.read.parquet(f"{path}/postings"), spark.read.parquet(f"{path}/terms")
+    except AnalysisException as missing:
+        if missing.getCondition() != "PATH_NOT_FOUND":
+            raise
+        return spark.createDataFrame([], "doc_id string, term string, weight double"), spark.createDataFrame([], "term string, df bigint, idf double")
+
+
 def cosine(a: Column, b: Column) -> Column:
     dot = lambda x, y: F.aggregate(F.zip_with(x, y, lambda u, v: u.cast("double") * v.cast("double")), F.lit(0.0), lambda s, z: s + z)
     return dot(a, b) / F.sqrt(dot(a, a) * dot(b, b))

@@ -77,8 +77,7 @@ def doc_union_search_text(spark, sf_dir):
 
 @registered(f"WITH tok AS ({TERMS_SQL}) SELECT t AS term, count(DISTINCT doc_id) AS df, round(ln(((SELECT count(*) FROM documents) + 1.0) / (count(DISTINCT doc_id) + 1)) + 1, 6) AS idf FROM tok GROUP BY t")
 def term_df_idf(spark, sf_dir):
-    docs = table(spark, sf_dir, "documents")
-    return search.term_idf(search.term_counts(docs, "doc_id"), docs.count()).select("term", "df", F.round("idf", 6).alias("idf"))
+    return search.term_idf(table(spark, sf_dir, "documents")).select("term", "df", F.round("idf", 6).alias("idf"))
 
 
 @registered(_tfidf_sql(QUERY_WORDS) + "SELECT doc_id, round(exact, 4) AS score FROM s WHERE exact >= 0.04 ORDER BY score DESC, doc_id LIMIT 10")
