@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from brindle.functions import text as T
@@ -74,6 +74,28 @@ def object_graph(node_table: DataFrame, edge_table: DataFrame, roots: DataFrame,
     return found.join(node_table.select("name", "type", "area", "title"), "name").select("root", "mode", "type", "name", "area", "title")
 
 
+def connection_counts(connections: DataFrame) -> DataFrame:
+    """root, mode, type, n, and total over the types, of object_graph's rows. A root without any has no row: see hints."""
+    n = connections.groupBy("root", "mode", "type").agg(F.count(F.lit(1)).alias("n"))
+    return n.withColumn("total", F.sum("n").over(Window.partitionBy("root")))
+
+
+def hints(node_table: DataFrame, name: str, most: int = 10) -> DataFrame:
+    """Names near one that resolve() does not find: the first ones that contain it, ignoring case, at most `most`."""
+    return node_table.where(F.contains(F.lower("name"), F.lit(name.lower()))).select("name", "type").orderBy("name", "type").limit(most)
+
+
+def enriched(node_table: DataFrame, entities: DataFrame, allowed: DataFrame) -> DataFrame:
+    """Nodes with live_entities (sorted, null for none): those that `entities` (service, entity) has for an API on the
+    list `allowed` (service), by its name or by its name without _SRV and _PROCESS."""
+    base = F.replace(F.replace("name", F.lit("_SRV"), F.lit("")), F.lit("_PROCESS"), F.lit(""))
+    listed = allowed.select(F.col("service").alias("_s")).distinct()
+    apis = node_table.where("type = 'api'").select("name", F.explode(F.array_distinct(F.array("name", base))).alias("_s"), base.alias("service"))
+    known = apis.join(listed, "_s", "left_semi").select("name", "service").distinct()
+    found = known.join(entities, "service").groupBy("name").agg(F.array_sort(F.collect_set("entity")).alias("live_entities"))
+    return node_table.join(found, "name", "left")
+
+
 def area_counts(node_table: DataFrame) -> DataFrame:
     """area, type, n."""
     return node_table.where("area <> ''").groupBy("area", "type").agg(F.count(F.lit(1)).alias("n"))

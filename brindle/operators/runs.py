@@ -87,6 +87,46 @@ def quality_scores(findings: DataFrame, run: str, severity: Column, resolved: Co
     )
 
 
+def review_state(findings: DataFrame, run: str, severity: Column, status: Column, least: int = 70) -> DataFrame:
+    """run, score, open_critical, open_major, total and needs_review: an open critical or major finding, or a low score."""
+    resolved = status.isin("Resolved", "Accepted")
+    n = lambda s: F.count_if((severity == s) & (status == "Open"))
+    g = findings.groupBy(run).agg(
+        F.greatest(F.lit(0), 100 - F.sum(deduction(severity, resolved))).cast("long").alias("score"),
+        n("Critical").alias("open_critical"), n("Major").alias("open_major"), F.count(F.lit(1)).alias("total"),
+    )
+    return g.withColumn("needs_review", (F.col("open_critical") > 0) | (F.col("open_major") > 0) | (F.col("score") < least))
+
+
+def apply_actions(findings: DataFrame, actions: DataFrame) -> DataFrame:
+    """Findings (id, status) with the status that the last action on each (id, action, n) asks for; other actions change nothing."""
+    last = actions.groupBy("id").agg(F.max(F.struct("n", "action")).alias("_last"))
+    wanted = F.when(F.col("_last.action") == "accept", "Accepted").when(F.col("_last.action") == "fix", "Pending Fix")
+    joined = findings.join(last, "id", "left")
+    return joined.select(*[F.coalesce(wanted, F.col(c)).alias(c) if c == "status" else F.col(c) for c in findings.columns], wanted.isNotNull().alias("actioned"))
+
+
+def picked_option(options: Column, selected: Column) -> Column:
+    """Of an array of (id, mandated, feasible, recommended, names) the id of: the selected option, else the first mandated
+    one that is not infeasible, else the first recommended one, else the first that has names; null for none."""
+    first = lambda test: F.get(F.filter(options, test), F.lit(0))["id"]
+    return F.coalesce(
+        first(lambda o: o["id"] == selected), first(lambda o: o["mandated"] & F.coalesce(o["feasible"], F.lit(True))),
+        first(lambda o: o["recommended"]), first(lambda o: F.size(F.coalesce(o["names"], F.array().cast("array<string>"))) > 0),
+    )
+
+
+def visible_steps(steps: Column, side: Column, hidden: tuple[str, ...] = ("13", "14")) -> Column:
+    """Steps (an array of structs with n) without those that only the side-by-side variant has."""
+    return F.when(side, steps).otherwise(F.filter(steps, lambda s: ~s["n"].cast("string").isin(*hidden)))
+
+
+def same_ids(a: Column, b: Column) -> Column:
+    """True if two arrays hold the same ids, whatever their order and repeats; null is empty."""
+    ids = lambda c: F.array_sort(F.array_distinct(F.coalesce(c, F.array().cast("array<string>"))))
+    return ids(a) == ids(b)
+
+
 def approval_errors(runs: DataFrame) -> DataFrame:
     """Adds `gate_error`, the first unmet condition: runs has checklist_open, bad_names, unactioned, unjustified,
     unverified, open_majors (counts) and comment."""

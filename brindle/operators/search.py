@@ -38,6 +38,11 @@ def search_documents(**sources: tuple[DataFrame, str, list[str]]) -> DataFrame:
     return out
 
 
+def type_counts(docs: DataFrame) -> DataFrame:
+    """type and number of search documents."""
+    return docs.groupBy("type").agg(F.count(F.lit(1)).alias("n"))
+
+
 def term_counts(docs: DataFrame, id_col: str = "id", text_col: str = "text") -> DataFrame:
     """doc_id, term, tf (occurrences) and n_terms (length of the document in terms)."""
     toks = docs.select(F.col(id_col).alias("doc_id"), T.terms(F.col(text_col)).alias("t"))

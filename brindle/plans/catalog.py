@@ -75,6 +75,11 @@ def doc_union_search_text(spark, sf_dir):
     )
 
 
+@registered("SELECT 'part' AS type, count(*) AS n FROM part UNION ALL SELECT 'supplier', count(*) FROM supplier UNION ALL SELECT 'document', count(*) FROM documents")
+def document_type_counts(spark, sf_dir):
+    return search.type_counts(doc_union_search_text(spark, sf_dir))
+
+
 @registered(f"WITH tok AS ({TERMS_SQL}) SELECT t AS term, count(DISTINCT doc_id) AS df, round(ln(((SELECT count(*) FROM documents) + 1.0) / (count(DISTINCT doc_id) + 1)) + 1, 6) AS idf FROM tok GROUP BY t")
 def term_df_idf(spark, sf_dir):
     return search.term_idf(table(spark, sf_dir, "documents")).select("term", "df", F.round("idf", 6).alias("idf"))
@@ -256,6 +261,32 @@ def object_graph(spark, sf_dir):
     return graph.object_graph(n, e, n.select("name"), 1)
 
 
+@registered(f"""WITH {TOKENS_SQL},
+f AS (SELECT e.src AS root, 'name_match' AS mode, e.dst AS name FROM e UNION ALL
+  SELECT a.name, 'area_fallback', b.name FROM n a JOIN n b ON a.area = b.area AND a.name <> b.name WHERE a.area <> '' AND NOT EXISTS (SELECT 1 FROM e WHERE e.src = a.name)),
+g AS (SELECT root, mode, type, count(*) AS n FROM f JOIN n ON f.name = n.name GROUP BY root, mode, type)
+SELECT *, (sum(n) OVER (PARTITION BY root))::BIGINT AS total FROM g""")
+def connection_counts(spark, sf_dir):
+    return graph.connection_counts(object_graph(spark, sf_dir))
+
+
+@registered(f"""WITH {TOKENS_SQL},
+ent AS (SELECT 'API_' || upper(split_part(p_name, ' ', 1)) || upper(split_part(p_name, ' ', 2)) AS service, list_sort(list(DISTINCT p_brand)) AS ents FROM part GROUP BY 1)
+SELECT n.name, n.type, ents AS live_entities FROM n LEFT JOIN ent ON n.type = 'api' AND ent.service = replace(replace(n.name, '_SRV', ''), '_PROCESS', '') AND (n.name < 'API_M' OR n.name > 'API_S')""")
+def live_entities(spark, sf_dir):
+    n = _graph(spark, sf_dir)[0]
+    words = F.split(F.upper("p_name"), " ")
+    entities = table(spark, sf_dir, "part").select(F.concat(F.lit("API_"), words[0], words[1]).alias("service"), F.col("p_brand").alias("entity"))
+    short = n.where("name < 'API_M'").select(F.replace("name", F.lit("_SRV"), F.lit("")).alias("service"))
+    allowed = short.union(n.where("name > 'API_S'").select("name"))
+    return graph.enriched(n, entities, allowed).select("name", "type", "live_entities")
+
+
+@registered(f"WITH {TOKENS_SQL} SELECT name, type FROM n WHERE contains(lower(name), 'item') ORDER BY name, type LIMIT 10")
+def name_hints(spark, sf_dir):
+    return graph.hints(_graph(spark, sf_dir)[0], "ITEM")
+
+
 @registered(f"WITH {TOKENS_SQL} SELECT area, type, count(*) AS n FROM n WHERE area <> '' GROUP BY area, type")
 def area_type_counts(spark, sf_dir):
     return graph.area_counts(_graph(spark, sf_dir)[0])
@@ -429,6 +460,46 @@ def quality_score(spark, sf_dir):
     return runs.quality_scores(f, "run", F.col("sev"), F.col("done"))
 
 
+@registered(f"""WITH {FINDINGS_SQL}, s AS (SELECT run,
+  greatest(0, 100 - sum(CASE WHEN sev = 'Critical' AND done THEN 5 WHEN sev = 'Major' AND NOT done THEN 8 WHEN sev = 'Major' THEN 2 WHEN sev = 'Minor' AND NOT done THEN 3 WHEN sev = 'Minor' THEN 1 ELSE 0 END))::BIGINT AS score,
+  count(*) FILTER (sev = 'Critical' AND NOT done) AS open_critical, count(*) FILTER (sev = 'Major' AND NOT done) AS open_major, count(*) AS total FROM f GROUP BY run)
+SELECT *, open_critical > 0 OR open_major > 0 OR score < 70 AS needs_review FROM s""")
+def review_state(spark, sf_dir):
+    n = F.col("l_linenumber") % 3
+    status = F.when(F.col("l_linestatus") == "F", "Resolved").otherwise("Open")
+    f = table(spark, sf_dir, "lineitem").select(F.col("l_orderkey").alias("run"), F.when(n == 0, "Critical").when(n == 1, "Major").otherwise("Minor").alias("sev"), status.alias("status"))
+    return runs.review_state(f, "run", F.col("sev"), F.col("status"))
+
+
+@registered("""WITH a AS (SELECT l_orderkey AS id, CASE l_linenumber % 3 WHEN 0 THEN 'accept' WHEN 1 THEN 'fix' ELSE 'skip' END AS action FROM lineitem
+  QUALIFY row_number() OVER (PARTITION BY l_orderkey ORDER BY l_linenumber::BIGINT * 1000000000 + l_partkey DESC) = 1)
+SELECT o_orderkey AS id, CASE action WHEN 'accept' THEN 'Accepted' WHEN 'fix' THEN 'Pending Fix' ELSE 'Open' END AS status, coalesce(action IN ('accept', 'fix'), false) AS actioned FROM orders LEFT JOIN a ON id = o_orderkey""")
+def finding_actions(spark, sf_dir):
+    n = F.col("l_linenumber")
+    actions = table(spark, sf_dir, "lineitem").select(F.col("l_orderkey").alias("id"), F.when(n % 3 == 0, "accept").when(n % 3 == 1, "fix").otherwise("skip").alias("action"), (n.cast("long") * 1000000000 + F.col("l_partkey")).alias("n"))
+    return runs.apply_actions(table(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("id"), F.lit("Open").alias("status")), actions)
+
+
+@registered("""SELECT o_orderkey, CASE WHEN o_orderkey % 7 = 0 THEN 'B' WHEN o_orderkey % 2 = 0 AND o_orderkey % 4 <> 0 THEN 'A' WHEN o_orderkey % 3 = 0 THEN 'B' WHEN o_orderkey % 5 = 0 THEN 'C' END AS picked FROM orders""")
+def picked_options(spark, sf_dir):
+    k, no = F.col("o_orderkey"), F.lit(False)
+    option = lambda i, m, f, r, n: F.struct(F.lit(i).alias("id"), m.alias("mandated"), f.alias("feasible"), r.alias("recommended"), n.alias("names"))
+    none = F.lit(None).cast("array<string>")
+    options = F.array(
+        option("A", k % 2 == 0, F.when(k % 4 == 0, False).when(k % 8 == 6, True), no, none), option("B", no, F.lit(True), k % 3 == 0, none),
+        option("C", no, F.lit(True), no, F.when(k % 5 == 0, F.array(F.lit("ZC")))),
+    )
+    return table(spark, sf_dir, "orders").select("o_orderkey", runs.picked_option(options, F.when(k % 7 == 0, "B").when(k % 11 == 0, "Z")).alias("picked"))
+
+
+@registered("SELECT c_custkey, CASE WHEN c_custkey % 2 = 0 THEN [11, 12, 13, 14] ELSE [11, 12] END AS steps, c_custkey % 3 <> 2 AS same FROM customer")
+def visible_steps(spark, sf_dir):
+    k = F.col("c_custkey")
+    steps = F.array(*[F.struct(F.lit(n).alias("n")) for n in (11, 12, 13, 14)])
+    ids = F.when(k % 3 == 0, F.array(F.lit("b"), F.lit("a"), F.lit("b"))).when(k % 3 == 1, F.array(F.lit("a"), F.lit("b"))).otherwise(F.array(F.lit("a")))
+    return table(spark, sf_dir, "customer").select("c_custkey", F.transform(runs.visible_steps(steps, k % 2 == 0), lambda s: s["n"]).alias("steps"), runs.same_ids(ids, F.array(F.lit("a"), F.lit("b"))).alias("same"))
+
+
 @registered("SELECT o_orderkey, CASE WHEN o_orderkey % 11 = 0 THEN 'checklist' WHEN o_orderkey % 7 = 0 THEN 'names' WHEN o_orderkey % 5 = 0 THEN 'findings without action' WHEN o_orderkey % 3 = 0 AND o_orderstatus <> 'F' THEN 'open majors need a comment' END AS gate_error FROM orders")
 def approval_gates(spark, sf_dir):
     k, one = F.col("o_orderkey"), lambda c: c.cast("int")
@@ -526,6 +597,10 @@ def idle_sessions(spark, sf_dir):
     return s.select("user_id", "n", F.unix_micros("last_activity").alias("last_us"))
 
 
-@registered()
+@registered("""WITH RECURSIVE r AS (SELECT user_id, event_id, epoch_us(ts) / 1e6 AS sec, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) AS n FROM events),
+s AS (SELECT user_id, event_id, n, [sec] AS w, true AS accepted FROM r WHERE n = 1 UNION ALL
+  SELECT user_id, event_id, n, CASE WHEN len(k) < 2 THEN list_append(k, sec) ELSE k END, len(k) < 2
+  FROM (SELECT r.*, list_filter(s.w, lambda x: r.sec - x <= 86400) AS k FROM s JOIN r ON r.user_id = s.user_id AND r.n = s.n + 1))
+SELECT user_id, event_id, accepted FROM s""")
 def rate_limited_events(spark, sf_dir):
-    return limits.rate_limited(table(spark, sf_dir, "events"), "event_type", "ts", "event_id", limit=3, span=3600.0)
+    return limits.rate_limited(table(spark, sf_dir, "events"), "user_id", "ts", "event_id", limit=2, span=86400.0)

@@ -59,6 +59,21 @@ def test_tfidf_known_scores(spark):
     assert {r.doc_id: round(r.n, 9) for r in postings.groupBy("doc_id").agg(F.sum(F.col("weight") ** 2).alias("n")).collect()} == {1: 1.0, 2: 1.0, 3: 1.0}
 
 
+def test_stored_index(spark, tmp_path):
+    docs = spark.createDataFrame([(1, "order item order"), (2, "order"), (3, "zebra"), (4, None)], "id int, text string")
+    search.write_index(*search.tfidf_index(docs), f"{tmp_path}/index")
+    found = search.query_index(*search.read_index(spark, f"{tmp_path}/index"), "order").collect()
+    assert found == search.tfidf_search(docs, "order").collect() and len(found) == 2
+    search.write_index(*search.tfidf_index(docs.where("false")), f"{tmp_path}/empty")
+    for path in ("empty", "missing"):
+        assert search.query_index(*search.read_index(spark, f"{tmp_path}/{path}"), "order").count() == 0
+
+
+def test_only_possible_hits_are_weighed(spark):
+    docs = spark.createDataFrame([(1, "preorder"), (2, "Order!"), (3, "order the"), (4, "x")], "id int, text string")
+    assert [r.doc_id for r in search.tfidf_search(docs, "order the").collect()] == [2, 3]
+
+
 def test_dense_threshold_and_ties(spark):
     v = spark.createDataFrame([(1, [1.0, 0.0]), (2, [0.0, 1.0]), (3, [2.0, 0.0])], "vec_id int, embedding array<float>")
     assert [r.vec_id for r in search.dense_search(v, [1.0, 0.0], 5).collect()] == [1, 3]
