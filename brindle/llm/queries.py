@@ -16,6 +16,9 @@ MODULES = {
     "op5_decontaminate": "decontaminate",
     "op2_pii": "pii",
     "op10_exact_dedup": "exact_dedup",
+    "op11_simhash": "simhash",
+    "op12_periodic_runs": "periodic",
+    "op13_whitening": "whitening",
 }
 
 
