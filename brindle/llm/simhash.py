@@ -37,6 +37,8 @@ BITS = 64
 #: Bytes of text that are split into words at a time, whatever the length of the text.
 BLOCK = 1 << 20
 SPACE = re.compile(rb"[\x20\x09-\x0D]")
+#: Fingerprints whose signatures one task makes.
+TASK_ROWS = 1 << 14
 LOWER = bytes(b + 32 if 65 <= b <= 90 else b for b in range(256))
 
 
@@ -126,7 +128,7 @@ def point_links(fps: DataFrame) -> DataFrame:
 
 def fingerprint_links(fps: DataFrame, max_bits: int = MAX_BITS) -> DataFrame:
     """Verified pairs (a < b) of distinct fingerprints; each that has another within `max_bits` bits is connected to it, directly or by others."""
-    sigs = signatures(fps, max_bits)
+    sigs = signatures(fps.repartition(1 + fps.count() // TASK_ROWS), max_bits)
     tally = sigs.groupBy("sig").agg(F.count(F.lit(1)).alias("size"), F.min("fp").alias("lo"), F.max("fp").alias("hi"), F.bit_xor("fp").alias("odd"))
     shared = compact(tally.where("size > 1"))
     middle = F.col("odd").bitwiseXOR(F.col("lo")).bitwiseXOR(F.col("hi"))
@@ -135,7 +137,7 @@ def fingerprint_links(fps: DataFrame, max_bits: int = MAX_BITS) -> DataFrame:
     large = shared.where("size > 3").select("sig")
     if not large.isEmpty():
         crowd = sigs.join(large, "sig", "left_semi").select("fp").distinct()
-        pairs = pairs.union(point_links(checkpointed(crowd)))
+        pairs = pairs.union(point_links(compact(crowd, rows=TASK_ROWS)))
     return pairs.where(differing("a", "b") <= max_bits).distinct()
 
 
