@@ -9,9 +9,10 @@ has a variant in common. The index is an equality join on (segment, masked bit,
 * a signature that two or three fingerprints share gives its pairs from the minimum, the maximum
   and the XOR of its members, which are map-side combined: a signature's members never come together;
 * a signature with more members (a large group of copies whose halves agree) is not expanded into
-  pairs. Its members go on to points: each emits itself and its 64 one-bit neighbours. Two of them
-  differ in at most two bits if and only if they share a point, and a point has 65 members at most, all
-  within two bits of each other, so linking each to the smallest of the point loses no connection.
+  pairs. Its members get a second round of longer signatures: what is left without `max_bits` of the eight bytes;
+* members of signatures that are still large go on to points: each emits itself and its 64 one-bit
+  neighbours. Two of them differ in at most two bits if and only if they share a point, and a point has 65 members
+  at most, all within two bits of each other, so linking each to the smallest of the point loses no connection.
 
 All candidate pairs are verified by their differing bits before they count.
 """
@@ -20,6 +21,7 @@ from __future__ import annotations
 
 import re
 from collections.abc import Iterator
+from itertools import combinations
 
 import numpy as np
 import pyarrow as pa
@@ -27,7 +29,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from brindle.llm.common import bound_batches, checkpointed, compact, table, texts
+from brindle.llm.common import bound_batches, checkpointed, compact, lit_array, table, texts
 from brindle.llm.components import connected_components
 
 MAX_BITS = 2
@@ -96,18 +98,26 @@ def fingerprints(docs: DataFrame) -> DataFrame:
     return docs.select("doc_id", "text").mapInArrow(run, f"doc_id {kind}, fp bigint")
 
 
-def signatures(fps: DataFrame, max_bits: int) -> DataFrame:
-    """fp and each of its one-wildcard signatures: 64-bit hashes of (segment, masked bit, rest)."""
+def segment_masks(max_bits: int) -> list[int]:
+    """Bits that the one-wildcard variants of all segments keep."""
     segments = max_bits // 2 + 1
     edges = [BITS * s // segments for s in range(segments + 1)]
-    variants = []
-    for s, (low, high) in enumerate(zip(edges, edges[1:])):
-        segment = ((1 << high) - 1) ^ ((1 << low) - 1)
-        for bit in range(low, high):
-            mask = segment & ~(1 << bit)
-            signed = mask - (1 << 64) if mask >> 63 else mask
-            variants.append(F.xxhash64(F.lit(s), F.lit(bit), F.col("fp").bitwiseAND(F.lit(signed).cast("long"))))
-    return fps.select("fp", F.explode(F.array(*variants)).alias("sig"))
+    return [((1 << high) - 1) ^ ((1 << low) - 1) ^ (1 << bit) for low, high in zip(edges, edges[1:]) for bit in range(low, high)]
+
+
+def byte_masks(max_bits: int) -> list[int]:
+    """Bits that remain without `max_bits` of the bytes."""
+    return [(1 << BITS) - 1 - sum(0xFF << 8 * b for b in gone) for gone in combinations(range(BITS // 8), max_bits)]
+
+
+def with_each(fps: DataFrame, bits: list[int], name: str) -> DataFrame:
+    """fp beside each of these 64-bit numbers: a constant list, so the generated code stays small."""
+    return fps.select("fp", F.explode(lit_array([b - (1 << BITS) if b >> BITS - 1 else b for b in bits], "bigint")).alias(name))
+
+
+def signatures(fps: DataFrame, masks: list[int]) -> DataFrame:
+    """fp and a 64-bit hash of each mask with what it leaves of fp."""
+    return with_each(fps, masks, "mask").select("fp", F.xxhash64("mask", F.col("fp").bitwiseAND(F.col("mask"))).alias("sig"))
 
 
 def differing(a: str, b: str) -> Column:
@@ -120,25 +130,32 @@ def ordered_pair(a: Column | str, b: Column | str) -> Column:
 
 def point_links(fps: DataFrame) -> DataFrame:
     """Pairs that connect all of `fps` within two bits of each other: members of a point with its smallest member."""
-    flips = [F.lit(0).cast("long")] + [F.lit((1 << b) - (1 << 64) if b == 63 else 1 << b).cast("long") for b in range(BITS)]
-    points = fps.select("fp", F.explode(F.array(*[F.col("fp").bitwiseXOR(f) for f in flips])).alias("point"))
+    points = with_each(fps, [0, *[1 << b for b in range(BITS)]], "flip").select("fp", F.col("fp").bitwiseXOR(F.col("flip")).alias("point"))
     least = points.groupBy("point").agg(F.min("fp").alias("least"), F.max("fp").alias("most")).where("least < most").select("point", "least")
-    return points.join(least, "point").where("fp <> least").select(ordered_pair("fp", "least").alias("p")).select("p.*").distinct()
+    return points.join(least, "point").where("fp <> least").select(ordered_pair("fp", "least").alias("p")).select("p.*")
 
 
-def fingerprint_links(fps: DataFrame, max_bits: int = MAX_BITS) -> DataFrame:
-    """Verified pairs (a < b) of distinct fingerprints; each that has another within `max_bits` bits is connected to it, directly or by others."""
-    sigs = signatures(fps.repartition(1 + fps.count() // TASK_ROWS), max_bits)
+def few_and_crowd(fps: DataFrame, masks: list[int]) -> tuple[DataFrame, DataFrame | None]:
+    """Pairs that connect the members of signatures that two or three have; the distinct members of larger ones, if any."""
+    sigs = signatures(fps.repartition(1 + fps.count() // TASK_ROWS), masks)
     tally = sigs.groupBy("sig").agg(F.count(F.lit(1)).alias("size"), F.min("fp").alias("lo"), F.max("fp").alias("hi"), F.bit_xor("fp").alias("odd"))
     shared = compact(tally.where("size > 1"))
     middle = F.col("odd").bitwiseXOR(F.col("lo")).bitwiseXOR(F.col("hi"))
-    three = F.when(F.col("size") == 3, F.array(ordered_pair("lo", middle), ordered_pair(middle, "hi"))).otherwise(F.array().cast("array<struct<a:bigint,b:bigint>>"))
-    pairs = shared.where("size <= 3").select(F.explode(F.concat(F.array(ordered_pair("lo", "hi")), three)).alias("p")).select("p.*").where("a < b")
+    third = F.when(F.col("size") == 3, F.array(ordered_pair("lo", middle), ordered_pair(middle, "hi"))).otherwise(F.array().cast("array<struct<a:bigint,b:bigint>>"))
+    pairs = shared.where("size <= 3").select(F.explode(F.concat(F.array(ordered_pair("lo", "hi")), third)).alias("p")).select("p.*")
     large = shared.where("size > 3").select("sig")
-    if not large.isEmpty():
-        crowd = sigs.join(large, "sig", "left_semi").select("fp").distinct()
-        pairs = pairs.union(point_links(compact(crowd, rows=TASK_ROWS)))
-    return pairs.where(differing("a", "b") <= max_bits).distinct()
+    return pairs, None if large.isEmpty() else compact(sigs.join(large, "sig", "left_semi").select("fp").distinct(), rows=TASK_ROWS)
+
+
+def fingerprint_links(fps: DataFrame, max_bits: int = MAX_BITS) -> DataFrame:
+    """Verified pairs (a < b) of distinct fingerprints; each that has another within `max_bits` bits is connected to it, directly or by others."""
+    pairs, crowd = few_and_crowd(fps, segment_masks(max_bits))
+    if crowd:
+        more, crowd = few_and_crowd(crowd, byte_masks(max_bits))
+        pairs = pairs.union(more)
+    if crowd:
+        pairs = pairs.union(point_links(crowd))
+    return pairs.where("a < b").where(differing("a", "b") <= max_bits).distinct()
 
 
 def simhash_components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", max_bits: int = MAX_BITS) -> DataFrame:
