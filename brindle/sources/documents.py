@@ -15,10 +15,13 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from brindle.functions.text import occurrences
+from brindle.sources import archives
 
 EXTRACTED = "struct<text:string,note:string>"
 #: The first bytes of known formats.
 SIGNATURES = {"zip": b"PK\x03\x04", "zip_directory": b"PK\x01\x02", "zip_end": b"PK\x05\x06", "pdf": b"%PDF", "ole": b"\xd0\xcf\x11\xe0", "gzip": b"\x1f\x8b", "png": b"\x89PNG", "jpeg": b"\xff\xd8\xff"}
+#: How a part of an archive is found, the surest way first.
+WAYS = ["zip", "directory", "scan"]
 UPLOAD_LIMIT = 15 << 20
 
 
@@ -40,13 +43,16 @@ def word_xml_text(xml: str) -> str:
     return html.unescape(re.sub(r"<[^>]+>", "", xml))
 
 
-def members(raw: bytes) -> tuple[dict[str, bytes], str]:
-    """Parts of a zip archive and how they were found: by its directory, or by scanning local headers if that is damaged."""
+def members(raw: bytes) -> tuple[dict[str, bytes], dict[str, str]]:
+    """Parts of a zip archive and how each was found: by the zip library; of a damaged one by a walk of its directory (checksums
+    hold), and what that does not give by a scan of local headers (not checked)."""
     try:
         with zipfile.ZipFile(io.BytesIO(raw)) as z:
-            return {n: z.read(n) for n in z.namelist()}, "zip"
+            parts = {n: z.read(n) for n in z.namelist()}
+            return parts, dict.fromkeys(parts, "zip")
     except (zipfile.BadZipFile, NotImplementedError, zlib.error, EOFError, OSError, RuntimeError, ValueError):
-        return scan_members(raw), "scan"
+        sure, loose = archives.directory_members(raw), scan_members(raw)
+        return loose | sure, dict.fromkeys(loose, "scan") | dict.fromkeys(sure, "directory")
 
 
 def scan_members(raw: bytes) -> dict[str, bytes]:
@@ -70,10 +76,12 @@ def scan_members(raw: bytes) -> dict[str, bytes]:
 
 
 def docx_text(raw: bytes) -> tuple[str, str]:
-    parts, how = members(raw)
+    """Text of the document, headers and footers; the note is the least certain way in which one of them was found."""
+    parts, found = members(raw)
     order = ["word/document.xml", *sorted(n for n in parts if re.fullmatch(r"word/(?:header|footer)\d*\.xml", n))]
-    text = "\n".join(word_xml_text(decode_text(parts[n])) for n in order if n in parts)
-    return re.sub(r"\n{3,}", "\n\n", text).strip(), how if text.strip() else "no document part"
+    order = [n for n in order if n in parts]
+    text = "\n".join(word_xml_text(decode_text(parts[n])) for n in order)
+    return re.sub(r"\n{3,}", "\n\n", text).strip(), max((found[n] for n in order), key=WAYS.index) if text.strip() else "no document part"
 
 
 def inflate(data: bytes) -> bytes | None:
@@ -105,8 +113,17 @@ def pdf_text(raw: bytes) -> str:
 
 
 def salvage(raw: bytes) -> str:
-    """Printable runs of six characters or more."""
-    return "\n".join(x.decode("latin-1") for x in re.findall(rb"[\x20-\x7e\xa0-\xff]{6,}", raw))
+    """Runs of six or more printable ASCII characters or tabs."""
+    return "\n".join(x.decode("ascii").strip() for x in re.findall(rb"[\x20-\x7e\t]{6,}", raw)).strip()
+
+
+def word_document(text: str) -> bytes:
+    """A word-processing archive with one paragraph per line."""
+    paragraphs = "".join(f"<w:p><w:r><w:t>{html.escape(line, quote=False)}</w:t></w:r></w:p>" for line in text.split("\n"))
+    out = io.BytesIO()
+    with zipfile.ZipFile(out, "w", zipfile.ZIP_DEFLATED) as z:
+        z.writestr("word/document.xml", f"<w:document><w:body>{paragraphs}</w:body></w:document>")
+    return out.getvalue()
 
 
 def extract(name: str | None, raw: bytes | None) -> tuple[str, str]:
@@ -150,6 +167,22 @@ def probe(docs: DataFrame, bytes_col: str = "content") -> DataFrame:
     return docs.select(*docs.columns, F.length(bytes_col).alias("size"), F.hex(F.substring(bytes_col, 1, 16)).alias("header"), *[count(s).alias(f"n_{k}") for k, s in SIGNATURES.items()])
 
 
+def uploaded_markdown(uploads: DataFrame) -> DataFrame:
+    """accept_upload's rows with md_name, text and note. A file without readable text gets a stub that names it, so that what follows
+    is not held up; a refused upload (error) has neither text nor note."""
+    checked = accept_upload(uploads)
+    read = extract_text(checked.withColumn("content", F.when(F.col("error").isNull(), F.col("content"))), "clean_name", "content")
+    base = F.regexp_replace("clean_name", r"\.[^.]*$", "")
+    blank = F.regexp_replace("text", r"\s+", "") == ""
+    stub = F.concat(F.lit("# "), base, F.lit("\n\n_No readable text in this file ("), F.col("note"), F.lit("). Its content can be pasted here._\n"))
+    fine = F.col("error").isNull()
+    return read.withColumns({
+        "md_name": F.when(fine, F.concat(base, F.lit(".md"))),
+        "text": F.when(fine, F.when(blank, stub).otherwise(F.col("text"))),
+        "note": F.when(fine, F.when(blank, F.lit("stub")).otherwise(F.col("note"))),
+    })
+
+
 def accept_upload(uploads: DataFrame) -> DataFrame:
     """Adds content, clean name and error: base64 that decodes, within the size limit, named by safe characters."""
     raw = F.try_to_binary("b64", F.lit("base64"))

@@ -4,6 +4,7 @@ import os
 
 import pytest
 
+import __spark_entry__  # noqa: F401  registers all queries
 from brindle.operators import search
 from brindle.plans import catalog
 
