@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 from brindle.plans.catalog import registered
 from brindle.session import table
-from brindle.sources import archives, documents
+from brindle.sources import archives, documents, remote
 
 # ---------------------------------------------------------------- damaged archives
 
@@ -57,3 +57,24 @@ def archive_states(spark, sf_dir):
     """What the ends of these archives look like, counted by kind of damage."""
     seen = archives.tail_analysis(word_files(table(spark, sf_dir, "documents")))
     return seen.groupBy((F.col("doc_id") % 4).alias("k"), "state").agg(F.count(F.lit(1)).alias("n"), F.coalesce(F.sum("entries"), F.lit(0)).alias("entries")).drop("k")
+
+
+# ---------------------------------------------------------------- service metadata
+
+
+@registered("""
+SELECT p_partkey, p_brand AS namespace, e.entity, e.property, e.type, e.nullable, e.is_key FROM part, unnest([
+  {'entity': p_type, 'property': 'Key', 'type': 'Edm.Int64', 'nullable': false, 'is_key': true},
+  {'entity': p_type, 'property': 'Size' || p_size, 'type': 'Edm.Int32', 'nullable': p_size % 2 = 0, 'is_key': false},
+  {'entity': p_type, 'property': 'Name', 'type': 'Edm.String', 'nullable': true, 'is_key': p_size > 25}]) AS u(e)""")
+def part_service_model(spark, sf_dir):
+    """Properties and keys read back from a metadata document for each part."""
+    text = lambda c: F.replace(F.replace(F.col(c), F.lit("&"), F.lit("&amp;")), F.lit('"'), F.lit("&quot;"))
+    xml = F.concat(
+        F.lit('<edmx:Edmx xmlns:edmx="urn:e"><edmx:DataServices><Schema Namespace="'), text("p_brand"), F.lit('"><EntityType Name="'), text("p_type"),
+        F.lit('"><Key><PropertyRef Name="Key"/>'), F.when(F.col("p_size") > 25, '<PropertyRef Name="Name"/>').otherwise(""),
+        F.lit('</Key><Property Name="Key" Type="Edm.Int64" Nullable="false"/><Property Name="Size'), F.col("p_size").cast("string"),
+        F.lit('" Type="Edm.Int32" Nullable="'), (F.col("p_size") % 2 == 0).cast("string"),
+        F.lit('"/><Property Name="Name" Type="Edm.String"/></EntityType></Schema></edmx:DataServices></edmx:Edmx>'),
+    )
+    return remote.metadata_properties(table(spark, sf_dir, "part").select("p_partkey", xml.alias("body")), "p_partkey").withColumnRenamed("service", "p_partkey")
