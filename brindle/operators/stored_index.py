@@ -24,7 +24,7 @@ def _finish(spark: SparkSession, path: str, version: int, base: int, n: int) ->
     w = F.col("tf") / F.col("n_terms") * F.col("idf")
     weighed = seen.live("postings", "doc_id").join(term_table(seen), "term").select("doc_id", (w * w).alias("w2"))
     layers.put(weighed.groupBy("doc_id").agg(F.sqrt(F.sum("w2")).alias("norm")), path, "norms", version)
-    return layers.commit(spark, path, version, base, n=n)
+    return layers.commit(spark, path, version, base, n=n, engine="tfidf")
 
 
 def _put_postings(counts: DataFrame, path: str, version: int) -> None:

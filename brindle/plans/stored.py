@@ -10,7 +10,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from brindle.operators import graph, layers, stored_graph, stored_index
+from brindle.operators import graph, layers, stored_graph, stored_index, stored_vectors
 from brindle.plans import catalog
 from brindle.plans.catalog import registered
 from brindle.session import scratch, table
@@ -59,3 +59,29 @@ def stored_graph_bfs(spark, sf_dir):
 @registered(catalog.SQL["graph_stats"])
 def stored_graph_status(spark, sf_dir):
     return stored_graph.graph_status(spark, _changed_graph(spark, sf_dir).path).select("nodes", "areas", "edges")
+
+
+# ---------------------------------------------------------------- dense vectors
+
+NEAREST = 10
+def _asked(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The stated query set: every vector whose id is divisible by 100, against all."""
+    return table(spark, sf_dir, "embeddings").where(F.col("vec_id") % 100 == 0)
+
+
+@registered(f"""
+WITH u AS (SELECT vec_id, embedding::DOUBLE[] AS v, sqrt(list_dot_product(embedding::DOUBLE[], embedding::DOUBLE[])) AS n FROM embeddings),
+s AS (SELECT q.vec_id AS id, u.vec_id AS hit, round(list_dot_product(q.v, u.v) / (q.n * u.n), 6) AS score FROM u AS q, u WHERE q.vec_id % 100 = 0),
+r AS (SELECT id, hit, score, row_number() OVER (PARTITION BY id ORDER BY score DESC, hit) AS place FROM s)
+SELECT id, hit, place::INT AS place, score FROM r WHERE place <= {NEAREST}""")
+def vector_neighbours(spark, sf_dir):
+    """The best matches of each query, exactly: the stored index with all cells probed."""
+    store = stored_vectors.build_vectors(table(spark, sf_dir, "embeddings"), scratch(spark, "vectors"))
+    return stored_vectors.search_vectors(store, _asked(spark, sf_dir), NEAREST, None, -2.0)
+
+
+@registered(f"SELECT count(*) FILTER (vec_id % 100 = 0) AS queries, {NEAREST} * count(*) FILTER (vec_id % 100 = 0) AS exact, true AS enough FROM embeddings")
+def vector_recall(spark, sf_dir):
+    """Whether the probing search finds 0.95 of the exact best matches of all queries."""
+    store = stored_vectors.build_vectors(table(spark, sf_dir, "embeddings"), scratch(spark, "vectors"), recall=0.97)
+    return stored_vectors.recall_of(store, _asked(spark, sf_dir), NEAREST).select("queries", "exact", (F.col("recall") >= 0.95).alias("enough"))
