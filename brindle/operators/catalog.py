@@ -13,6 +13,10 @@ GENERIC_SOURCES = ("pipeline run", "seed")
 PROTOCOLS = {"ODATA": "OData V2", "ODATAV4": "OData V4", "SOAP": "SOAP", "REST": "REST", "EVENT": "Event"}
 
 
+#: Shapes of object names by which a verdict is guessed.
+VIEW_SHAPE, SERVICE_END, EXIT_SHAPE = "^[ICARE]_[A-Z0-9][A-Z0-9_]{2,}$", "(?:_SRV|_IN|_OUT)$", "^[A-Z]{2,}_[A-Z0-9_]{3,}$"
+
+
 def replacements(views: DataFrame) -> DataFrame:
     """table (upper case) and the views that replace it, in order of name; `views` has name and replaces."""
     rows = views.select("name", F.explode("replaces").alias("t")).where("t IS NOT NULL AND t <> ''")
@@ -36,9 +40,9 @@ def release_verdicts(names: DataFrame, apis: DataFrame, badis: DataFrame, views:
         .when(F.col("views").isNotNull(), 2)
         .when(F.col("in_api"), 3).when(F.col("in_badi"), 4).when(F.col("in_view"), 5)
         .when(name.startswith("P_"), 6)
-        .when(kind.isin("cds", "cds_view", "view") | name.rlike("^[ICARE]_[A-Z0-9][A-Z0-9_]{2,}$"), 7)
-        .when(kind.isin("api", "odata", "soap", "service", "event") | name.startswith("API_") | name.startswith("CE_") | name.rlike("(?:_SRV|_IN|_OUT)$"), 8)
-        .when((kind == "badi") | name.rlike("^[A-Z]{2,}_[A-Z0-9_]{3,}$"), 9)
+        .when(kind.isin("cds", "cds_view", "view") | name.rlike(VIEW_SHAPE), 7)
+        .when(kind.isin("api", "odata", "soap", "service", "event") | name.startswith("API_") | name.startswith("CE_") | name.rlike(SERVICE_END), 8)
+        .when((kind == "badi") | name.rlike(EXIT_SHAPE), 9)
         .otherwise(10)
     )
     j = j.withColumn("rule", rule)
@@ -126,9 +130,9 @@ def technical_name(description: Column, name: Column) -> Column:
 
 
 def view_rows(raw: DataFrame) -> DataFrame:
-    """Remote views (Name, DisplayName, Description, State) as catalog rows, released ones only."""
+    """Remote views (Name, DisplayName, Description, State) as catalog rows, released ones only: the notes are the display name, and there is no title."""
     name = technical_name(F.col("Description"), T.filled(F.col("Name")))
-    return raw.where(F.upper("State") == "RELEASED").select(name.alias("name"), T.first_filled(F.col("DisplayName"), F.col("Name")).alias("title"), T.filled(F.col("Description")).alias("notes"))
+    return raw.where(F.upper("State") == "RELEASED").select(name.alias("name"), T.filled(F.col("DisplayName")).alias("notes"))
 
 
 def artifact_rows(raw: DataFrame, url_base: str) -> DataFrame:

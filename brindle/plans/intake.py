@@ -9,6 +9,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from brindle.operators import artifacts
 from brindle.plans.catalog import registered
 from brindle.session import table
 from brindle.sources import archives, documents, remote
@@ -78,3 +79,53 @@ def part_service_model(spark, sf_dir):
         F.lit('"/><Property Name="Name" Type="Edm.String"/></EntityType></Schema></edmx:DataServices></edmx:Edmx>'),
     )
     return remote.metadata_properties(table(spark, sf_dir, "part").select("p_partkey", xml.alias("body")), "p_partkey").withColumnRenamed("service", "p_partkey")
+
+
+# ---------------------------------------------------------------- artifacts
+
+RAW_SQL = """raw AS (SELECT c_custkey AS k, ['API', 'Event', 'CDSVIEW', 'BADI', 'Package'][1 + c_custkey % 5] AS type, upper('n_' || (c_custkey // 10)) AS name,
+  CASE WHEN c_custkey % 4 > 0 THEN c_name END AS shown,
+  CASE c_custkey % 3 WHEN 0 THEN 'N_' || (c_custkey // 10) || 'View (Basic)' WHEN 1 THEN c_mktsegment ELSE ' ' END AS told,
+  CASE c_custkey % 7 WHEN 0 THEN 'SOAP' WHEN 1 THEN 'odatav4' WHEN 2 THEN '' WHEN 3 THEN 'EVENT' ELSE 'other' END AS sub,
+  CASE WHEN c_custkey % 6 = 0 THEN 'https://x/' || c_custkey ELSE '' END AS url FROM customer WHERE c_custkey % 11 > 0),
+rows AS (SELECT k, lower(CASE type WHEN 'CDSVIEW' THEN 'view' ELSE type END) AS kind,
+  CASE WHEN type = 'CDSVIEW' AND told LIKE '% (%' THEN split_part(told, ' (', 1) ELSE name END AS name,
+  CASE WHEN type <> 'CDSVIEW' THEN coalesce(shown, name) END AS title,
+  CASE type WHEN 'Event' THEN 'Event' WHEN 'API' THEN CASE upper(sub) WHEN 'SOAP' THEN 'SOAP' WHEN 'ODATAV4' THEN 'OData V4' WHEN 'EVENT' THEN 'Event' ELSE 'OData V2' END END AS protocol,
+  CASE WHEN type IN ('API', 'Event') THEN CASE WHEN url <> '' THEN url ELSE 'https://hub/' || name || '/overview' END END AS hub_url,
+  CASE type WHEN 'CDSVIEW' THEN shown WHEN 'BADI' THEN NULL ELSE nullif(trim(told), '') END AS notes,
+  CASE WHEN type = 'BADI' THEN nullif(trim(told), '') END AS use_case, CASE WHEN type = 'BADI' THEN false END AS verified_in_tenant FROM raw WHERE type <> 'Package')"""
+
+
+def raw_artifacts(spark, sf_dir) -> DataFrame:
+    """Artifacts of every kind, some unreleased or of another type, derived from the customers."""
+    k, tens = F.col("c_custkey"), F.expr("CAST(c_custkey DIV 10 AS STRING)")
+    return table(spark, sf_dir, "customer").select(
+        F.concat(F.lit("N_"), tens).alias("Name"), F.when(k % 4 > 0, F.col("c_name")).alias("DisplayName"),
+        F.when(k % 3 == 0, F.concat(F.lit("N_"), tens, F.lit("View (Basic)"))).when(k % 3 == 1, F.col("c_mktsegment")).otherwise(" ").alias("Description"),
+        F.get(F.array(*map(F.lit, ("API", "Event", "CDSVIEW", "BADI", "Package"))), (k % 5).cast("int")).alias("Type"),
+        F.get(F.array(*map(F.lit, ("SOAP", "odatav4", "", "EVENT", "other", "other", "other"))), (k % 7).cast("int")).alias("SubType"),
+        F.when(k % 11 > 0, "Released").otherwise("DRAFT").alias("State"), F.when(k % 6 == 0, F.concat(F.lit("https://x/"), k)).otherwise("").alias("Url"),
+    )
+
+
+@registered(f"WITH {RAW_SQL} SELECT kind, name, title, protocol, hub_url, notes, use_case, verified_in_tenant, count(*) AS n FROM rows GROUP BY ALL")
+def catalog_artifacts(spark, sf_dir):
+    """APIs, events, views and extension points in one union."""
+    rows = artifacts.catalog_rows(raw_artifacts(spark, sf_dir), "https://hub")
+    return rows.groupBy("kind", "name", "title", "protocol", "hub_url", "notes", "use_case", "verified_in_tenant").agg(F.count(F.lit(1)).alias("n"))
+
+
+@registered(f"""WITH {RAW_SQL},
+old AS (SELECT 'N_' || s_suppkey AS name, CASE WHEN s_suppkey % 2 = 0 THEN s_name END AS title, CASE WHEN s_suppkey % 3 = 0 THEN '' END AS notes FROM supplier),
+new AS (SELECT * FROM rows WHERE kind IN ('api', 'event') QUALIFY row_number() OVER (PARTITION BY name ORDER BY kind, title NULLS FIRST, protocol, hub_url, notes NULLS FIRST) = 1)
+SELECT coalesce(o.name, n.name) AS name, coalesce(o.title, n.title) AS title, n.protocol, n.hub_url, coalesce(o.notes, n.notes) AS notes,
+  CASE WHEN o.name IS NULL THEN 'added' WHEN n.name IS NULL THEN 'existing' ELSE 'backfilled' END AS status FROM old o FULL JOIN new n ON o.name = n.name""")
+def synced_apis(spark, sf_dir):
+    """The API catalog after APIs and events are merged in."""
+    old = table(spark, sf_dir, "supplier").select(
+        F.concat(F.lit("N_"), F.col("s_suppkey").cast("string")).alias("name"), F.when(F.col("s_suppkey") % 2 == 0, F.col("s_name")).alias("title"),
+        *[F.lit(None).cast("string").alias(c) for c in ("protocol", "area", "communication_scenario", "hub_url")], F.when(F.col("s_suppkey") % 3 == 0, "").alias("notes"), F.lit("seed").alias("source"),
+    )
+    merged = artifacts.synced(old, artifacts.catalog_rows(raw_artifacts(spark, sf_dir), "https://hub"), "api")
+    return merged.select("name", "title", "protocol", "hub_url", "notes", F.col("_status").alias("status"))
