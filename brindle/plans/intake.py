@@ -9,10 +9,12 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from brindle.operators import artifacts
+from brindle.functions import tables
+from brindle.operators import artifacts, manifests
+from brindle.plans import catalog
 from brindle.plans.catalog import registered
 from brindle.session import table
-from brindle.sources import archives, documents, remote
+from brindle.sources import archives, documents, files, remote
 
 # ---------------------------------------------------------------- damaged archives
 
@@ -129,3 +131,63 @@ def synced_apis(spark, sf_dir):
     )
     merged = artifacts.synced(old, artifacts.catalog_rows(raw_artifacts(spark, sf_dir), "https://hub"), "api")
     return merged.select("name", "title", "protocol", "hub_url", "notes", F.col("_status").alias("status"))
+
+
+# ---------------------------------------------------------------- runs, skills, workflows
+
+STEP_CONTRACT = {n: {"name": f"step {n}", "agent": "builder", "gate": f"G{n}", "detail": "waits"} for n in manifests.SIDE_STEPS}
+
+
+@registered("""
+WITH r AS (SELECT o_orderkey AS k, o_custkey % 50 AS fd, o_orderkey % 3 = 0 AS side, o_orderkey % 10 + 1 AS v, row_number() OVER (PARTITION BY o_custkey % 50 ORDER BY o_orderkey % 10, 'run' || o_orderkey || CASE WHEN o_orderkey % 10 > 0 THEN '-R' || (o_orderkey % 10 + 1) ELSE '' END) AS n FROM orders),
+i AS (SELECT *, 'run' || k || CASE WHEN k % 10 > 0 THEN '-R' || v ELSE '' END AS id FROM r)
+SELECT id, side, CASE WHEN side THEN 'RICEFW Pipeline (14 steps, incl. BTP deploy)' ELSE 'RICEFW Pipeline (12 steps)' END AS workflow,
+  CASE WHEN side THEN '12:PASS:own,13:' || CASE WHEN k % 2 = 0 THEN 'RUNNING' ELSE 'PENDING' END || ':waits' ELSE '12:PASS:own' END AS steps,
+  CASE k % 4 WHEN 0 THEN 'TOP' WHEN 1 THEN 'MANDATED' WHEN 2 THEN 'SELECTED' ELSE 'RECOMMENDED' END AS first_name, v::INT AS version,
+  lag(id) OVER (PARTITION BY fd ORDER BY v, id) AS previous_run, count(*) OVER (PARTITION BY fd) AS run_count FROM i""")
+def run_manifests(spark, sf_dir):
+    """Runs from JSON manifests, one for each order, with variant, steps, names and version chain."""
+    k = F.col("o_orderkey")
+    text = lambda c: c.cast("string")
+    names = lambda n: F.concat(F.lit('[{"name": "'), F.lit(n), F.lit('"}]'))
+    option = lambda i, flags, n: F.concat(F.lit(f'{{"id": "{i}", '), flags, F.lit('"naming_contract": '), names(n), F.lit("}"))
+    body = F.concat(
+        F.lit('{"id": "run'), text(k), F.when(k % 10 > 0, F.concat(F.lit("-R"), text(k % 10 + 1))).otherwise(""), F.lit('", "fd_source": "'), text(F.col("o_custkey") % 50),
+        F.lit('", "workflow": "my pipeline", "steps": [{"n": 12, "name": "x", "status": "PASS", "detail": "own"}, {"n": "13", "name": "other", "status": "'),
+        F.when(k % 2 == 0, "RUNNING").otherwise("N/A"), F.lit('", "detail": " "}], "btp_components": ["sbpa"'), F.when(k % 3 == 0, ', "CAP_APP"').otherwise(""),
+        F.lit('], "checkpoint_request": {"approach_options": ['), option("a", F.when(k % 4 == 1, '"mandated": true, ').otherwise('"mandated": true, "feasible": false, '), "MANDATED"), F.lit(", "),
+        option("b", F.lit('"recommended": true, '), "RECOMMENDED"), F.lit(", "), option("c", F.lit(""), "SELECTED"), F.lit("]"),
+        F.when(k % 4 == 0, F.concat(F.lit(', "naming_contract": '), names("TOP"))).otherwise(""), F.when(k % 4 == 2, ', "selected_approach": "c"').otherwise(""), F.lit("}}"),
+    )
+    rows = manifests.run_rows(table(spark, sf_dir, "orders").select(text(k).alias("folder"), body.alias("body")), STEP_CONTRACT)
+    steps = F.array_join(F.transform("steps", lambda s: F.concat_ws(":", s["n"], s["status"], s["detail"])), ",")
+    return rows.select("id", "side", "workflow", steps.alias("steps"), F.get("names", F.lit(0))["name"].alias("first_name"), "version", "previous_run", "run_count")
+
+
+@registered(r"""SELECT 'skill' || doc_id AS name, CASE WHEN doc_id % 3 > 0 THEN source || '-' || lang ELSE '' END AS description,
+  round(length(CASE WHEN doc_id % 3 > 0 THEN '---' || chr(10) || 'description:  ' || source || '-' || lang || ' ' || chr(10) ELSE '' END || coalesce(text, '')) / 1024.0, 1)::DOUBLE AS size_kb
+FROM documents WHERE NOT regexp_matches(coalesce(text, ''), '(?m)^description:')""")
+def skill_files(spark, sf_dir):
+    """Name, description and size of skill files made from the documents."""
+    head = F.when(F.col("doc_id") % 3 > 0, F.concat(F.lit("---\ndescription:  "), "source", F.lit("-"), "lang", F.lit(" \n"))).otherwise("")
+    docs = table(spark, sf_dir, "documents").where(~F.coalesce("text", F.lit("")).rlike("(?m)^description:"))
+    made = docs.select(F.concat(F.lit("skills/skill"), F.col("doc_id").cast("string"), F.lit("/SKILL.md")).alias("path"), F.concat(head, F.coalesce("text", F.lit(""))).alias("value"))
+    return files.skill_rows(made).select("name", "description", "size_kb")
+
+
+# ---------------------------------------------------------------- table functions
+
+
+@registered(catalog.SQL["regex_lint_findings"])
+def lint_function_rows(spark, sf_dir):
+    """The lint's rows through SQL: a table function over a table, with rules from a table."""
+    rules = spark.createDataFrame([(r.id, r.severity, r.pattern, r.message) for r in catalog.RULES], "id string, severity string, pattern string, message string")
+    tables.register(spark, tables.rules_of(rules))
+    return spark.sql("SELECT * FROM lint(TABLE(SELECT doc_id, text FROM {docs}))", docs=table(spark, sf_dir, "documents"))
+
+
+@registered(f"WITH tok AS ({catalog.TERMS_SQL}) SELECT t AS term, count(*) AS n, count(DISTINCT doc_id) AS df FROM tok GROUP BY t")
+def term_function_counts(spark, sf_dir):
+    """Terms, their occurrences and documents, by the tokenising table function."""
+    tables.register(spark, [])
+    return spark.sql("SELECT term, sum(tf) AS n, count(*) AS df FROM terms(TABLE(SELECT doc_id, text FROM {docs})) GROUP BY term", docs=table(spark, sf_dir, "documents"))

@@ -3,13 +3,18 @@
 from __future__ import annotations
 
 import json
+import re
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as ty
 
+from brindle.functions import text as T
+from brindle.operators import manifests
 from brindle.operators.runs import titled
 
+SAFE_NAME = r"[A-Za-z0-9._ -]+"
+
 
 def scan_ordered(spark: SparkSession, path: str, key: str) -> DataFrame:
     """A stored table in order of its key."""
@@ -46,6 +51,49 @@ def read_manifests(spark: SparkSession, root: str, pattern: str = "run.json") ->
     return rows.select("path", F.element_at(F.split("path", "/"), -2).alias("folder"), salvage_json(F.col("value")).alias("body"))
 
 
+def read_runs(spark: SparkSession, root: str, contract: dict[str, dict[str, str]]) -> DataFrame:
+    """Runs below a folder (one folder each, with run.json) with all that manifests.run_rows derives."""
+    listed = spark.read.format("binaryFile").load(f"{root}/*/*").select("path")  # names only: no content is read
+    files = listed.select(F.element_at(F.split("path", "/"), -2).alias("folder"), F.element_at(F.split("path", "/"), -1).alias("file"))
+    bodies = read_texts(spark, f"{root}/*/run.json").select(F.element_at(F.split("path", "/"), -2).alias("folder"), salvage_json(F.col("value")).alias("body"))
+    return manifests.run_rows(bodies, contract, files)
+
+
+def read_run_file(spark: SparkSession, root: str, run: str, name: str) -> DataFrame:
+    """value: the text of one file of a run. Both names are plain, so nothing outside the run's folder can be named."""
+    for part in (run, name):
+        if not re.fullmatch(SAFE_NAME, part or "") or set(part) <= {".", " "}:
+            raise ValueError(f"invalid name: {part!r}")
+    return spark.read.text(f"{root}/{run}/{name}", wholetext=True)
+
+
+def size_kb(text: Column) -> Column:
+    return F.round(F.length(text) / 1024, 1)
+
+
+def skill_rows(files: DataFrame) -> DataFrame:
+    """name (the folder), description (the first such line of the head), size_kb, path and content of skill files (path, value)."""
+    found = F.regexp_extract("value", r"(?m)^description:\s*(.+)$", 1)
+    return files.select(F.element_at(F.split("path", "/"), -2).alias("name"), F.trim(found).alias("description"), size_kb(F.col("value")).alias("size_kb"), "path", F.col("value").alias("content"))
+
+
+def workflow_rows(files: DataFrame) -> DataFrame:
+    """file, title (a heading at the very start, else the file's name), type by the file's name, description (the line named Realization, else
+    Skill, without quotes and stars), size_kb and content of workflow files (path, value)."""
+    file = F.element_at(F.split("path", "/"), -1)
+    line = lambda name: T.filled(F.regexp_extract("value", rf"\*\*{name}:\*\*\s*(.+)", 1))
+    title = T.filled(F.regexp_extract("value", r"\A#\s*(.+)", 1))
+    return files.select(
+        file.alias("file"), F.coalesce(title, F.regexp_replace(file, r"\.md$", "")).alias("title"), F.when(F.upper(file).startswith("RICEFW"), "RICEFW").otherwise("Process").alias("type"),
+        F.trim(F.regexp_replace(F.coalesce(line("Realization"), line("Skill"), F.lit("")), "[`*]", "")).alias("description"), size_kb(F.col("value")).alias("size_kb"), F.col("value").alias("content"),
+    )
+
+
+def read_texts(spark: SparkSession, pattern: str) -> DataFrame:
+    """path and value (whole) of the files that a path pattern names, such as skills/*/SKILL.md or workflows/*.md; empty files have no row."""
+    return spark.read.text(pattern, wholetext=True).select(F.col("_metadata.file_path").alias("path"), "value")
+
+
 def read_log(spark: SparkSession, path: str, schema: str) -> DataFrame:
     """JSON lines; a bad line is left out, and only that line (a sequential reader would stop there)."""
     bad = "_bad_line"
