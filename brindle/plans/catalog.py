@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 
 from brindle.functions import text as T
 from brindle.operators import catalog, graph, lint, runs, search
-from brindle.session import TABLES, table
+from brindle.session import TABLES, checkpointed, table
 from brindle.streaming import limits
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -230,8 +230,8 @@ e AS (SELECT src, dst FROM one UNION SELECT dst, src FROM one)"""
 
 
 def _graph(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
-    n = graph.nodes(**{k: df.drop("replaces") for k, df in objects(spark, sf_dir).items()}).persist()
-    return n, graph.edges(n).persist()  # each hop and each fallback reads them again
+    n = checkpointed(graph.nodes(**{k: df.drop("replaces") for k, df in objects(spark, sf_dir).items()}))
+    return n, checkpointed(graph.edges(n))  # each hop and each fallback reads them again
 
 
 @registered(f"WITH {TOKENS_SQL} SELECT name, type, list_sort(list(tok)) AS tokens FROM t GROUP BY name, type")
@@ -524,7 +524,7 @@ def redact_props(spark, sf_dir):
 
 
 @registered("""WITH c AS (SELECT CASE WHEN l_linenumber % 2 = 0 THEN 'o' || l_orderkey ELSE 'c' || l_suppkey END AS target, l_returnflag || l_linestatus AS text, l_orderkey * 10 + l_linenumber AS n FROM lineitem),
-l AS (SELECT target, text, n FROM c QUALIFY row_number() OVER (PARTITION BY target ORDER BY n DESC, text DESC) = 1)
+l AS (SELECT target, max(n) AS n, max(text) AS text FROM c JOIN (SELECT target, max(n) AS n FROM c GROUP BY target) m USING (target, n) GROUP BY target)
 SELECT 'o' || o_orderkey AS id, 'c' || o_custkey AS file, CASE WHEN coalesce(a.n, -1) >= coalesce(b.n, -1) THEN a.text ELSE b.text END AS comment
 FROM orders LEFT JOIN l a ON a.target = 'o' || o_orderkey LEFT JOIN l b ON b.target = 'c' || o_custkey""")
 def last_comments(spark, sf_dir):

@@ -42,3 +42,9 @@ def scratch(spark: SparkSession, name: str) -> str:
             raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         sc.setCheckpointDir(found := tempfile.mkdtemp(prefix="brindle-"))
     return f"{found}/{name}-{uuid.uuid4().hex}"
+
+
+def checkpointed(df: DataFrame) -> DataFrame:
+    """`df` written once to the shared folder: what reads it repeatedly neither computes it again nor depends on an executor's memory."""
+    scratch(df.sparkSession, "")  # sees to the folder
+    return df.checkpoint(eager=True)
