@@ -25,8 +25,10 @@ _TAG = re.compile(r"""<!--.*?(?:-->|\Z)|<!\[CDATA\[.*?(?:\]\]>|\Z)|<[!?][^>]*>|<
 _ATTR = re.compile(r"""(class|id|role|hidden|aria-hidden|style)(?:\s*=\s*("[^"]*"|'[^']*'|[^\s"'>]+))?""", re.IGNORECASE)
 _HIDDEN = re.compile(r"display\s*:\s*none|visibility\s*:\s*hidden", re.IGNORECASE)
 
+_HREF = re.compile(r"(?<![\w-])href(?![\w-])", re.IGNORECASE)
+
 #: Kinds of elements, and words in class, id and role that tell what one holds.
-RAW = frozenset("script style noscript template textarea title iframe object svg math select option button canvas audio video head datalist".split())
+RAW = frozenset("script style noscript template textarea title iframe object svg annotation select option button canvas audio video head datalist".split())
 #: Of these, elements that take the rest of a page if they have no end tag, and controls that can't be nested.
 SWALLOW = frozenset("script style template textarea title iframe".split())
 CONTROLS = frozenset("button option select".split())
@@ -53,10 +55,12 @@ CONTENT_WORDS = frozenset("article articlebody body content entry main post post
 #: Words that make a class name speak of a state or an absence ("no-comments", "with-sidebar"), not of what an element holds.
 STATE_WORDS = frozenset("with without no not has is hide hidden show open closed enabled disabled on off".split())
 COMMENT_WORDS = frozenset("comment comments commentlist discussion disqus replies reply respond".split())
-#: Elements that may wrap a whole page; they and named boilerplate count as such only up to this share of the page's text.
+#: Last words of a class name that make it speak of the whole page ("tags-page", "sidebar-layout").
+PAGE_WORDS = frozenset("page template layout theme site".split())
+#: Elements that may wrap a whole page, and what such a wrapper holds.
 WRAPPERS = frozenset("form fieldset".split())
-WRAPPED = 2 / 3
-#: What an element says of its contents. STRICT and GONE hold for all that is inside, LOOSE up to its share of the text.
+FURNITURE = frozenset("header nav footer aside main article h1".split())
+#: What an element says of its contents. STRICT and GONE hold for all that is inside, LOOSE unless the element is a wrapper (see Tree.hints).
 CONTENT, NOTHING, LOOSE, STRICT, GONE = 2, 0, -1, -2, -3
 
 
@@ -85,15 +89,31 @@ class Tree:
         return len(self.parent) - 1
 
     def hints(self, own: list[int]) -> list[int]:
-        """1, 0 or -1 for each element, from what it and those around it say; `own`: characters of its own blocks."""
-        size, total = list(own), sum(own)
-        for k in range(len(size) - 1, -1, -1):
-            if self.parent[k] >= 0:
-                size[self.parent[k]] += size[k]
+        """1, 0 or -1 for each element, from what it and those around it say; `own`: characters of its own blocks.
+
+        An element that is boilerplate by its name or kind is a wrapper, and says nothing, if it holds the page's content elements, all of
+        them; or if it is a form around page furniture; or if it holds all text that is not in other boilerplate. Its length does not matter.
+        """
+        n = len(self.parent)
+        shut, inside = [False] * n, [False] * n  # within sure boilerplate; within content
+        for k, says in enumerate(self.says):
+            up = self.parent[k]
+            inside[k] = says == CONTENT or (up >= 0 and inside[up])
+            shut[k] = says in (STRICT, GONE) or (up >= 0 and shut[up]) or (self.tag[k] == "header" and not inside[k])
+        free = [0 if shut[k] else own[k] for k in range(n)]
+        content = [int(says == CONTENT and not shut[k]) for k, says in enumerate(self.says)]
+        furnished = [False] * n
+        all_free, all_content = sum(free), sum(content)
+        for k in range(n - 1, 0, -1):
+            if (up := self.parent[k]) >= 0:
+                free[up] += free[k]
+                content[up] += content[k]
+                furnished[up] = furnished[up] or furnished[k] or self.tag[k] in FURNITURE
         out: list[int] = []
         for k, says in enumerate(self.says):
             around = out[self.parent[k]] if self.parent[k] >= 0 else 0
-            if around < 0 or says in (STRICT, GONE) or (says == LOOSE and size[k] <= WRAPPED * total):
+            wraps = 0 < content[k] == all_content or 0 < free[k] == all_free or (self.tag[k] in WRAPPERS and furnished[k])
+            if around < 0 or says in (STRICT, GONE) or (says == LOOSE and not wraps):
                 around = -1
             elif self.tag[k] == "header" and around == 0:
                 around = -1
@@ -127,7 +147,7 @@ def element_says(tag: str, attrs: str) -> int:
             if name in ("class", "id", "role"):
                 tokens |= set(value.split())
     plain = {t.rstrip("0123456789") for t in tokens}
-    words = {w for t in tokens for parts in [re.split(r"[^a-z0-9]+", t)] if not STATE_WORDS & set(parts) for p in parts for w in (p, p.rstrip("0123456789"))}
+    words = {w for t in tokens for parts in [re.split(r"[^a-z0-9]+", t)] if not STATE_WORDS & set(parts) and parts[-1] not in PAGE_WORDS for p in parts for w in (p, p.rstrip("0123456789"))}
     if words & COMMENT_WORDS and not (plain & CONTENT_WORDS and not plain & COMMENT_WORDS):
         return GONE
     if tag == "article":
@@ -198,7 +218,7 @@ def page_blocks(page: str) -> tuple[list[Block], Tree]:
                 elif not end:
                     unclosed.add(tag)
         elif tag == "a":
-            in_link = not closing
+            in_link = not closing and _HREF.search(attrs) is not None
         elif tag == "br":
             pending.append(" ")
         elif tag in BLOCK:
@@ -213,6 +233,7 @@ def page_blocks(page: str) -> tuple[list[Block], Tree]:
                     if open_tag in SCOPES and tag not in SCOPES:
                         break
             elif tag not in VOID:
+                in_link = False
                 if stack and tree.tag[stack[-1]] == "p":
                     close(len(stack) - 1)
                 for k in range(len(stack) - 1, -1, -1) if any(opened[t] for t in ENDS.get(tag, ())) else ():
@@ -235,12 +256,14 @@ def page_blocks(page: str) -> tuple[list[Block], Tree]:
 
 #: Weights of the block classifier (log-odds of content).
 HINT, LENGTH, SHORT, LINKS, SENTENCE, HEADING, ITEM = 5.0, 0.7, -1.4, -5.0, 0.8, 1.2, -0.4
+#: Words from which a block is as long as any.
+FULL = 50
 #: Smoothness: between neighbours, by their distance in the tree; between one parent's blocks further apart.
 NEAR, SIBLING = 2.0, 1.0
 
 
 def log_odds(b: Block) -> float:
-    words = b.text.count(" ") + 1
+    words = min(b.text.count(" ") + 1, FULL)  # so that no length outweighs what the elements say
     return (
         HINT * b.hint + SHORT + LENGTH * math.log(words) + LINKS * min(b.linked / len(b.text), 1.0)
         + SENTENCE * (b.text[-1] in ".!?…”\"") + HEADING * (b.tag in ("h1", "h2", "h3")) + ITEM * (b.tag == "li")
