@@ -11,7 +11,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from brindle.llm.common import table, texts
-from brindle.llm.spans import match_spans, places
+from brindle.llm.spans import let, match_spans, part_of, pieces, places, scanned
 
 #: Plain pattern of each kind, in the order in which kinds are listed.
 PLAIN = {
@@ -80,12 +80,11 @@ def confirmed(kind: str, spans: Column) -> Column:
     return spans if kind == "email" else F.filter(spans, keep)
 
 
-def scored(kind: str, text: Column, spans: Column) -> Column:
-    """kind, start, end, value and score of each span."""
+def scored(kind: str, cut: Column, spans: Column) -> Column:
+    """kind, start, end, value and score of each span; `cut`: the text's pieces."""
 
     def one(span: Column) -> Column:
-        begin = F.greatest(span["start"] - WINDOW, F.lit(0))
-        before = F.lower(F.substring(text, begin + 1, span["start"] - begin))
+        before = F.lower(part_of(cut, F.greatest(span["start"] - WINDOW, F.lit(0)), span["start"]))
         near = before.rlike(r"(?<![a-z])(?:" + "|".join(CONTEXT[kind]) + r")")
         score = F.lit(PRIOR[kind]) + F.when(near, CONTEXT_GAIN).otherwise(0.0)
         return F.struct(F.lit(kind).alias("kind"), span["start"].alias("start"), span["end"].alias("end"), span["value"].alias("value"), F.least(score, F.lit(1.0)).alias("score"))
@@ -106,19 +105,25 @@ def find_pii(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") ->
     df = df.withColumn("has_digit", text.rlike("[0-9]"))
     df = df.select("doc_id", "text", *[match_spans(text, LINEAR[k], guards[k]).alias(k) for k in LINEAR])
     df = df.select("doc_id", "text", *[confirmed(k, F.col(k)).alias(k) for k in LINEAR])
-    return df.withColumn("findings", F.concat(*[scored(k, text, F.col(k)) for k in LINEAR]))
+    any_span = sum((F.size(k) for k in LINEAR), F.lit(0)) > 0
+    cut = F.when(any_span, pieces(text)).otherwise(F.array().cast("array<string>"))
+    return df.withColumn("findings", let(cut, lambda c: F.concat(*[scored(k, c, F.col(k)) for k in LINEAR])))
 
 
 def mask_pii(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", least_score: float = 0.0) -> DataFrame:
-    """doc_id and the text with every finding replaced by [KIND], left to right, overlaps by first start."""
+    """doc_id and the text with every finding replaced by [KIND], left to right; of findings that overlap the one that starts first, then ends
+    first, then by name of its kind. Null texts become empty, repeated rows give a row each, an empty table stays empty."""
     found = find_pii(docs, id_col, text_col)
     spans = F.array_sort(F.transform(F.filter("findings", lambda f: f["score"] >= least_score), lambda f: F.struct(f["start"].alias("start"), f["end"].alias("end"), f["kind"].alias("kind"))))
-    step = lambda s, f: F.when(
-        f["start"] >= s["at"],
-        F.struct(f["end"].alias("at"), F.concat(s["out"], F.substring(F.col("text"), s["at"] + 1, f["start"] - s["at"]), F.lit("["), F.upper(f["kind"]), F.lit("]")).alias("out")),
-    ).otherwise(s)
-    end = lambda s: F.concat(s["out"], F.substring(F.col("text"), s["at"] + 1, F.length("text")))
-    return found.select("doc_id", F.aggregate(spans, F.struct(F.lit(0).alias("at"), F.lit("").alias("out")), step, end).alias("text"))
+    free = lambda at, f: f["start"] >= at
+    after = lambda at, f: F.when(free(at, f), f["end"]).otherwise(at)
+    kept = scanned(spans, "struct<from:int,start:int,end:int,kind:string>", after, lambda at, f: F.struct(at.alias("from"), f["start"].alias("start"), f["end"].alias("end"), f["kind"].alias("kind")), free)
+
+    def masked(cut: Column, kept: Column) -> Column:
+        parts = F.transform(kept, lambda k: F.concat(part_of(cut, k["from"], k["start"]), F.lit("["), F.upper(k["kind"]), F.lit("]")))
+        return F.concat(F.array_join(parts, ""), part_of(cut, F.coalesce(F.get(kept, F.size(kept) - 1)["end"], F.lit(0)), F.length("text")))
+
+    return found.select("doc_id", let(pieces(F.col("text")), lambda cut: let(kept, lambda k: masked(cut, k))).alias("text"))
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
