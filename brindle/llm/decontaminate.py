@@ -178,25 +178,36 @@ def item_blocks(benchmark: DataFrame, id_col: str = "item_id", text_col: str = "
     yield block
 
 
-def find_leaks(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, text_col: str = "text", block_words: int = BLOCK_WORDS) -> DataFrame:
-    """The input's columns plus _n_words, _spans (hit word spans, end exclusive, disjoint) and _items (ids as strings, sorted).
-
-    Null and empty texts have no words; an item without words has no window. Repeated rows each give
-    their own row; the input's columns pass through whatever their names, but for those three.
-    """
+def _leaks(docs: DataFrame, benchmark: DataFrame, window: int, text_col: str, block_words: int) -> DataFrame:
+    """row (the input's columns as a struct, so that no name can clash), text, n_words, spans and items of each input row."""
     bound_batches(docs.sparkSession)
-    found = docs.withColumns({"_n_words": F.lit(0).cast("long"), "_spans": F.array().cast("array<struct<start:int,end:int>>"), "_items": F.array().cast("array<string>")})
+    found = docs.select(
+        F.struct("*").alias("row"), F.col(f"`{text_col}`").cast("string").alias("text"), F.lit(0).cast("long").alias("n_words"),
+        F.array().cast("array<struct<start:int,end:int>>").alias("spans"), F.array().cast("array<string>").alias("items"),
+    )
     before = None
     for block in item_blocks(benchmark, block_words=block_words, window=window):
         if before:  # one scan at a time: the earlier one is finished and its items are released
             found = checkpointed(found)
             before.unpersist()
         before = docs.sparkSession.sparkContext.broadcast([(str(i), ws) for i, ws in block if ws])
-        found = _scan(found, before, window, text_col)
+        found = _scan(found, before, window)
     return found
 
 
-def _scan(docs: DataFrame, shared, window: int, text_col: str) -> DataFrame:
+def find_leaks(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, text_col: str = "text", block_words: int = BLOCK_WORDS) -> DataFrame:
+    """The input's columns plus _n_words, _spans (hit word spans, end exclusive, disjoint) and _items (ids as strings, sorted).
+
+    Null and empty texts have no words; an item without words has no window, and items may repeat. Repeated rows each give
+    their own row; an empty table stays empty, and without items nothing is hit. The input's columns pass through whatever
+    their names, but columns named as the three added ones are replaced by them.
+    """
+    found = _leaks(docs, benchmark, window, text_col, block_words)
+    added = {"_n_words": "n_words", "_spans": "spans", "_items": "items"}
+    return found.select(*[F.col("row").getField(c).alias(c) for c in docs.columns if c not in added], *[F.col(c).alias(name) for name, c in added.items()])
+
+
+def _scan(found: DataFrame, shared, window: int) -> DataFrame:
     """Adds the hits of one block of items to those found so far, row by row."""
     name = uuid.uuid4().hex
 
@@ -204,20 +215,18 @@ def _scan(docs: DataFrame, shared, window: int, text_col: str) -> DataFrame:
         auto = automaton_of(name, shared, window)
         span = pa.list_(pa.struct([("start", pa.int32()), ("end", pa.int32())]))
         for batch in batches:
-            at = {name: batch.schema.get_field_index(name) for name in (text_col, "_n_words", "_spans", "_items")}
             n, spans, items = [], [], []
-            before = zip(batch.column(at["_spans"]).to_pylist(), batch.column(at["_items"]).to_pylist(), strict=True)
-            for text, (old_spans, old_items) in zip(batch.column(at[text_col]).cast(pa.binary()), before, strict=True):
+            before = zip(batch.column("spans").to_pylist(), batch.column("items").to_pylist(), strict=True)
+            for text, (old_spans, old_items) in zip(batch.column("text").cast(pa.binary()), before, strict=True):
                 ws = words(text.as_py())
-                new, found = auto.scan(ws)
+                new, hit = auto.scan(ws)
                 n.append(len(ws))
                 spans.append([{"start": a, "end": b} for a, b in (united([(s["start"], s["end"]) for s in old_spans], new) if old_spans else new)])
-                items.append(sorted({*old_items, *found}))
-            columns = list(batch.columns)
-            columns[at["_n_words"]], columns[at["_spans"]], columns[at["_items"]] = pa.array(n, pa.int64()), pa.array(spans, span), pa.array(items, pa.list_(pa.string()))
-            yield pa.RecordBatch.from_arrays(columns, names=batch.schema.names)
+                items.append(sorted({*old_items, *hit}))
+            columns = [batch.column("row"), batch.column("text"), pa.array(n, pa.int64()), pa.array(spans, span), pa.array(items, pa.list_(pa.string()))]
+            yield pa.RecordBatch.from_arrays(columns, names=["row", "text", "n_words", "spans", "items"])
 
-    return docs.mapInArrow(run, docs.schema)
+    return found.mapInArrow(run, found.schema)
 
 
 def united(a: list[tuple[int, int]], b: list[tuple[int, int]]) -> list[tuple[int, int]]:
@@ -231,7 +240,7 @@ def united(a: list[tuple[int, int]], b: list[tuple[int, int]]) -> list[tuple[int
 
 
 def cut_spans(text: str, spans: list) -> str:
-    """The text without the hit words and what stands between them."""
+    """The text without the hit words and what stands between them; `spans` are disjoint, in order."""
     data = text.encode()
     places = [m.span() for m in WORD.finditer(data)]
     out, at = [], 0
@@ -243,12 +252,16 @@ def cut_spans(text: str, spans: list) -> str:
 
 
 def decontaminate(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, max_coverage: float = MAX_COVERAGE, text_col: str = "text") -> DataFrame:
-    """The input's columns, texts without their hit spans; documents with a larger hit share are dropped."""
-    found = find_leaks(docs, benchmark, window, text_col=text_col)
+    """The input's columns (any names, their own values), texts without their hit spans; documents with a larger hit share are dropped.
+
+    Null and empty texts stay as they are. Repeated rows each stay or go for themselves; an empty table stays empty, and without items nothing changes.
+    """
+    found = _leaks(docs, benchmark, window, text_col, BLOCK_WORDS)
     cut = F.udf(lambda text, spans: cut_spans(text, spans) if spans else text, "string", useArrow=True)
-    hit = F.aggregate("_spans", F.lit(0), lambda s, x: s + x["end"] - x["start"])
-    kept = found.where(hit <= max_coverage * F.col("_n_words"))
-    return kept.select(*[F.when(F.size("_spans") > 0, cut(F.col(c), "_spans")).otherwise(F.col(c)).alias(c) if c == text_col else F.col(f"`{c}`") for c in docs.columns])
+    hit = F.aggregate("spans", F.lit(0), lambda s, x: s + x["end"] - x["start"])
+    kept = found.where(hit <= max_coverage * F.col("n_words"))
+    text = F.when(F.size("spans") > 0, cut(F.col("text"), "spans")).otherwise(F.col("row").getField(text_col))
+    return kept.select(*[(text if c == text_col else F.col("row").getField(c)).alias(c) for c in docs.columns])
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -252,3 +252,18 @@ def test_long_texts_stay_linear(spark):
     text = "password" * 20000 + " " + "AKIA" * 20000 + "f" * 100000
     secrets.scan_block([text], secrets.compiled(secrets.RULES))
     assert time.time() - began < 10
+
+
+def test_decontaminate_keeps_columns_of_any_name(spark):
+    item = "one two three four five six seven eight nine ten eleven"
+    columns = ["text", "doc_id", "_items", "_n_words", "_spans", "row", "n_words", "spans", "items", "start", "a.b"]
+    rows = [(f"lead words before it stand here {item} and many more words after it than there are inside of it", 1, *"cdefghijk"), (None, None, *"cdefghijk"), ("", 1, *"cdefghijk"), ("", 1, *"cdefghijk"), ("word " * 50_000 + item, 2, *"cdefghijk")]
+    docs = spark.createDataFrame(rows, columns)
+    bench = spark.createDataFrame([(1, item), (1, item), (2, None), (3, "")], "item_id long, text string")
+    out = decontaminate.decontaminate(docs, bench)
+    got = out.collect()
+    assert out.columns == columns and len(got) == 5 and all(tuple(r)[2:] == tuple("cdefghijk") for r in got)
+    assert [r.text for r in got][1:4] == [None, "", ""] and not any(item in (r.text or "") for r in got)
+    assert [r.text for r in decontaminate.decontaminate(docs, bench.where("item_id > 1")).collect()] == [r[0] for r in rows]
+    leaks = decontaminate.find_leaks(docs, bench)
+    assert sorted(leaks.columns) == sorted(columns) and [r["_n_words"] for r in leaks.collect()][1:4] == [0, 0, 0]
