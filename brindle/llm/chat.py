@@ -3,14 +3,15 @@
 Conversations are cut into pieces of bounded size (nearly always one each) by streaming their turns
 in order; every turn is named by a digest of all turns up to it. Ordered by those names, pieces that
 share initial turns stand next to each other, in depth-first order, and a streaming pass over each
-range emits the trees: shared turns are written once, each node carries its position (continuing its
+range emits the trees: shared turns are written once in all, each node carries its position (continuing its
 parent's) and the intervals of its ancestors, which are all that it may attend to.
 
 Trees are cut into rows of bounded size, between nodes. What is above a cut is not written again: a node
-whose parent stands in another row names it (`above`), and its position goes on from there. So do the
-later pieces of a very long conversation. No group is ever collected: a first turn that a third of all
-conversations share is spread over as many rows and partitions as its size asks for; each partition
-writes the one path with which it begins.
+whose parent stands in another row names it (`above`), its position goes on from there, and the row lists the path above
+its first nodes (`entry`), for which with_intervals() adds the rows and intervals where these turns stand. So do the
+later pieces of a very long conversation, which know the last turn of the piece before. No group is ever collected: a first
+turn that a third of all conversations share is spread over as many rows and partitions as its size asks for; a
+partition goes on from the end of the one before, of which it is told the path that both share.
 """
 
 from __future__ import annotations
@@ -25,7 +26,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from brindle.llm.common import bound_batches, table
+from brindle.llm.common import bound_batches, checkpointed, table
 from brindle.llm.packing import Encoder, encoder_of, tokenizer_path
 
 #: The strings that have a meaning in a template; inside texts they are escaped.
@@ -141,7 +142,7 @@ class Tree:
     """A row: nodes of a tree in depth-first order, and the tokens of each, emitted once.
 
     `stack` is the path from the root to the latest node, as (name, number in this row or -1, position of its end);
-    it goes on from row to row.
+    it goes on from row to row. `entry` is the part of the path at the row's start that its nodes refer to.
     """
 
     def __init__(self, stack: list[tuple[bytes, int, int]]):
@@ -149,6 +150,11 @@ class Tree:
         self.nodes: list[dict] = []
         self.stack = [(name, -1, end) for name, _, end in stack]
         self.leaves: list[dict] = []
+        self.before, self.used = [name for name, _, _ in stack], 0
+
+    @property
+    def entry(self) -> list[bytes]:
+        return self.before[: self.used]
 
     def shared(self, path: list[bytes]) -> int:
         n = 0
@@ -167,6 +173,8 @@ class Tree:
             above, parent, begin = self.stack[-1] if self.stack else (piece["above"], -1, piece["begin"])
             start = len(self.ids)
             intervals: list[dict] = []
+            if self.stack and parent < 0:
+                self.used = max(self.used, len(self.stack))
             if parent >= 0:
                 over = self.nodes[parent]
                 above, intervals = over["above"], [dict(x) for x in over["ancestors"]]
@@ -178,25 +186,85 @@ class Tree:
             self.positions.extend(range(begin, begin + len(ids)))
             self.nodes.append({"name": name, "above": above, "start": start, "end": len(self.ids), "parent": parent, "position": begin, "loss_start": start + first, "loss_end": start + last, "ancestors": intervals})
             self.stack.append((name, len(self.nodes) - 1, begin + len(ids)))
+        if self.stack[-1][1] < 0:
+            self.used = max(self.used, len(self.stack))
         self.leaves.append({"conv_id": piece["conv_id"], "piece": piece["piece"], "turns": len(path), "name": path[-1], "leaf": self.stack[-1][1]})
 
 
 TREE = (
     "tree_id bigint, ids array<int>, positions array<bigint>, "
     "nodes array<struct<name:binary,above:binary,start:int,end:int,parent:int,position:bigint,loss_start:int,loss_end:int,ancestors:array<struct<start:int,end:int>>>>, "
-    "leaves array<struct<conv_id:{id},piece:int,turns:int,name:binary,leaf:int>>"
+    "leaves array<struct<conv_id:{id},piece:int,turns:int,name:binary,leaf:int>>, entry array<binary>"
 )
+#: Characters that the paths shared at the borders of partitions may have in all; beyond, the lower turns of long ones are written on both sides.
+CARRIED = 64 << 20
 #: The bits of a tree_id below its stream (the range it was made from); in these, rows of a stream are numbered.
 ROW_BITS = 33
 
 
+def border_paths(ordered: DataFrame, path: str) -> dict[int, list[tuple[bytes, int, int]]]:
+    """For each partition of the ordered pieces the path that its first piece shares with the last one before it: names, and where each turn ends.
+
+    Two rows per partition are looked at, and no others leave the JVM.
+    """
+    marked = ordered.withColumn("pid", F.spark_partition_id()).withColumn("n", F.monotonically_increasing_id())
+    ends = marked.groupBy("pid").agg(F.min("n").alias("first"), F.max("n").alias("last")).collect()  # a row per partition
+    if len(ends) < 2:
+        return {}
+    at = ordered.sparkSession.createDataFrame([(n,) for n in sorted({x for r in ends for x in (r.first, r.last)})], "n bigint")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        encoder = encoder_of(path)
+        for batch in batches:
+            rows = batch.to_pylist()
+            stops = []
+            for r in rows:
+                here, stop = r["begin"], []
+                for t in zip(r["roles"], r["texts"]):
+                    here += len(coded(encoder, *t)[0])
+                    stop.append(here)
+                stops.append(stop)
+            sizes = [[len(r) + len(t) + 64 for r, t in zip(x["roles"], x["texts"])] for x in rows]
+            columns = [batch.column("n"), batch.column("path"), pa.array(stops, pa.list_(pa.int64())), pa.array(sizes, pa.list_(pa.int64()))]
+            yield pa.RecordBatch.from_arrays(columns, names=["n", "path", "stops", "sizes"])
+
+    few = marked.join(F.broadcast(at), "n").select("n", "path", "roles", "texts", "begin")  # two rows per partition
+    found = {r.n: (r.path, r.stops, r.sizes) for r in few.mapInArrow(run, "n bigint, path array<binary>, stops array<bigint>, sizes array<bigint>").toLocalIterator()}
+    ends.sort(key=lambda r: r.pid)
+    most, out = CARRIED // len(ends), {}
+    for before, now in zip(ends, ends[1:]):
+        (left, stops, sizes), (right, _, _) = found[before.last], found[now.first]
+        shared, size = [], 0
+        for name, other, stop, more in zip(left, right, stops, sizes):
+            size += more
+            if name != other or size > most:
+                break
+            shared.append((bytes(name), -1, stop))
+        if shared:
+            out[now.pid] = shared
+    return out
+
+
+def with_intervals(trees: DataFrame) -> DataFrame:
+    """The rows with `entry` as array of (name, tree_id, start, end): the tokens of the path above the row, from the root on. A node
+    whose `above` is the k-th of these attends to the first k of them, besides its ancestors in its own row."""
+    nodes = trees.select("tree_id", F.explode("nodes").alias("n")).select(F.col("n.name").alias("name"), F.col("tree_id").alias("at"), F.col("n.start").alias("start"), F.col("n.end").alias("end"))
+    asked = trees.select("tree_id", F.posexplode("entry").alias("k", "name"))
+    found = asked.join(nodes, "name").groupBy("tree_id").agg(F.array_sort(F.collect_list(F.struct("k", "name", F.col("at").alias("tree_id"), "start", "end"))).alias("_far"))
+    short = F.transform("_far", lambda x: F.struct(x["name"].alias("name"), x["tree_id"].alias("tree_id"), x["start"].alias("start"), x["end"].alias("end")))
+    none = F.array().cast("array<struct<name:binary,tree_id:bigint,start:int,end:int>>")
+    return trees.join(found, "tree_id", "left").withColumn("entry", F.coalesce(short, none)).drop("_far")
+
+
 def chat_trees(turns: DataFrame, path: str | None = None, tree_tokens: int = TREE_TOKENS, piece_turns: int = PIECE_TURNS) -> DataFrame:
     """Rows of prefix trees: token ids with their positions, nodes (a turn each: its name, token interval, parent,
     position of its first token, interval under the loss, intervals of its ancestors in this row, and `above`, the name
     of the nearest ancestor in another row) and leaves (a conversation's piece, its number of turns, its last turn).
 
     A token attends to the earlier ones of its own node, to its ancestors' intervals and, where there is an `above`,
-    to that node and all that it attends to; positions count from the conversation's first token over all of these. A
+    to that node and all that it attends to: the row's `entry` names these from the root on (with_intervals() adds where they
+    stand), but for the earlier pieces of a conversation that is longer than one, of which the first node's `above` names the last turn. A turn that
+    conversations share is written once, whatever the number of partitions. Positions count from the conversation's first token over all of these. A
     leaf or parent of -1 stands in another row (or, without `above`, nowhere). A row holds `tree_tokens` tokens, or the one
     piece that is longer. Rows without conv_id form one conversation; other columns are not read. An empty table gives no trees.
     """
@@ -206,11 +274,13 @@ def chat_trees(turns: DataFrame, path: str | None = None, tree_tokens: int = TRE
     kind = found.schema["conv_id"].dataType.simpleString()
     keys = ["path", "conv_id", "piece"]
     n = int(turns.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    ordered = found.repartitionByRange(n, *keys).sortWithinPartitions(*keys)
+    ordered = checkpointed(found.repartitionByRange(n, *keys).sortWithinPartitions(*keys))  # for two passes over the same partitions
+    borders = border_paths(ordered, path)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encoder = encoder_of(path)
-        base, made, tree, leaf_type = TaskContext.get().partitionId() << ROW_BITS, 0, Tree([]), None
+        pid = TaskContext.get().partitionId()
+        base, made, tree, leaf_type = pid << ROW_BITS, 0, Tree(borders.get(pid, [])), None
         span = [("start", pa.int32()), ("end", pa.int32())]
         names = [("name", pa.binary()), ("above", pa.binary())]
         node = pa.struct([*names, *span, ("parent", pa.int32()), ("position", pa.int64()), ("loss_start", pa.int32()), ("loss_end", pa.int32()), ("ancestors", pa.list_(pa.struct(span)))])
@@ -218,8 +288,8 @@ def chat_trees(turns: DataFrame, path: str | None = None, tree_tokens: int = TRE
         def row() -> pa.RecordBatch:
             leaf = pa.struct([("conv_id", leaf_type), ("piece", pa.int32()), ("turns", pa.int32()), ("name", pa.binary()), ("leaf", pa.int32())])
             columns = [pa.array([base + made], pa.int64())]
-            columns += [pa.array([x], t) for x, t in ((tree.ids, pa.list_(pa.int32())), (tree.positions, pa.list_(pa.int64())), (tree.nodes, pa.list_(node)), (tree.leaves, pa.list_(leaf)))]
-            return pa.RecordBatch.from_arrays(columns, names=["tree_id", "ids", "positions", "nodes", "leaves"])
+            columns += [pa.array([x], t) for x, t in ((tree.ids, pa.list_(pa.int32())), (tree.positions, pa.list_(pa.int64())), (tree.nodes, pa.list_(node)), (tree.leaves, pa.list_(leaf)), (tree.entry, pa.list_(pa.binary())))]
+            return pa.RecordBatch.from_arrays(columns, names=["tree_id", "ids", "positions", "nodes", "leaves", "entry"])
 
         for batch in batches:
             leaf_type = batch.schema.field("conv_id").type
@@ -235,16 +305,29 @@ def chat_trees(turns: DataFrame, path: str | None = None, tree_tokens: int = TRE
     return ordered.mapInArrow(run, TREE.format(id=kind))
 
 
+def border_turns(trees: DataFrame) -> DataFrame:
+    """name, ids, loss_start and loss_end of the turns above the first row of each stream, which stand in other streams. Their number and
+    length are bounded by what chat_trees carries over borders."""
+    first = trees.groupBy(F.shiftright("tree_id", ROW_BITS).alias("stream")).agg(F.min_by("entry", "tree_id").alias("entry"))
+    wanted = first.select(F.explode("entry").alias("name")).distinct()
+    nodes = trees.select("tree_id", F.explode("nodes").alias("n")).select("tree_id", F.col("n.name").alias("name"), "n.start", "n.end", "n.loss_start", "n.loss_end")
+    here = nodes.join(wanted, "name", "left_semi").dropDuplicates(["name"])
+    rows = trees.select("tree_id", "ids").join(F.broadcast(here), "tree_id")
+    return rows.select("name", F.slice("ids", F.col("start") + 1, F.col("end") - F.col("start")).alias("ids"), (F.col("loss_start") - F.col("start")).alias("loss_start"), (F.col("loss_end") - F.col("start")).alias("loss_end"))
+
+
 def read_back(trees: DataFrame, path: str | None = None, in_order: bool = False) -> DataFrame:
     """conv_id, piece, n_turns, turns ("role\\ntext\\n" of each), loss (all text under the loss mask, unescaped)
-    and formatted_chars, from the trees' tokens, nodes and masks alone.
+    and formatted_chars, from the trees' tokens, nodes and masks alone. `trees` is read more than once: give a stored or checkpointed table.
 
-    The rows of a stream are read one after the other: what is above a row is the end of the path before it.
-    `in_order` tells that they come straight from chat_trees; else they are brought together and sorted first.
+    The rows of a stream are read one after the other: what is above a row is the end of the path before it, and what is above
+    a stream are turns of other streams, which are looked up first. `in_order` tells that they come straight from chat_trees; else they
+    are brought together and sorted first.
     """
     path = path or tokenizer_path()
     kind = trees.schema["leaves"].dataType.elementType["conv_id"].dataType.simpleString()
     bound_batches(trees.sparkSession, rows=64, size=4 << 20)
+    carried = {bytes(r.name): (r.ids, r.loss_start, r.loss_end) for r in border_turns(trees).toLocalIterator()}
     if not in_order:
         trees = trees.repartition(F.shiftright("tree_id", ROW_BITS)).sortWithinPartitions("tree_id")
 
@@ -257,6 +340,7 @@ def read_back(trees: DataFrame, path: str | None = None, in_order: bool = False)
         kinds = (None, pa.int32(), pa.int64(), pa.string(), pa.string(), pa.int64())
         now: list[tuple[bytes, str, str]] = []  # the path to the latest node: name, formatted, text under the loss
         depth: dict[bytes, int] = {}
+        stream = None
 
         def back_to(name: bytes | None) -> None:
             keep = depth.get(name, 0)
@@ -264,6 +348,10 @@ def read_back(trees: DataFrame, path: str | None = None, in_order: bool = False)
                 del depth[gone]
             del now[keep:]
 
+        def add(name: bytes, ids: list[int], first: int, last: int) -> None:
+            now.append((name, decode(ids), unescape(decode(ids[first:last]))))
+            depth[name] = len(now)
+
         def read(leaf: dict) -> tuple:
             own = now[len(now) - leaf["turns"] :]
             formatted = "".join(x[1] for x in own)
@@ -274,6 +362,11 @@ def read_back(trees: DataFrame, path: str | None = None, in_order: bool = False)
             kinds = (batch.schema.field("leaves").type.value_type.field("conv_id").type, *kinds[1:])
             for tree in batch.to_pylist():
                 ids, nodes, rows, ended = tree["ids"], tree["nodes"], [], {}
+                if tree["tree_id"] >> ROW_BITS != stream:
+                    stream = tree["tree_id"] >> ROW_BITS
+                    back_to(None)
+                    for name in tree["entry"]:
+                        add(name, *carried[name])
                 for leaf in tree["leaves"]:
                     ended.setdefault(leaf["leaf"], []).append(leaf)
                 for leaf in ended.get(-1, []):
@@ -281,8 +374,7 @@ def read_back(trees: DataFrame, path: str | None = None, in_order: bool = False)
                     rows.append(read(leaf))
                 for k, node in enumerate(nodes):
                     back_to(nodes[node["parent"]]["name"] if node["parent"] >= 0 else node["above"])
-                    now.append((node["name"], decode(ids[node["start"] : node["end"]]), unescape(decode(ids[node["loss_start"] : node["loss_end"]]))))
-                    depth[node["name"]] = len(now)
+                    add(node["name"], ids[node["start"] : node["end"]], node["loss_start"] - node["start"], node["loss_end"] - node["start"])
                     rows.extend(map(read, ended.get(k, [])))
                 for at in range(0, len(rows), 256):
                     yield pa.RecordBatch.from_arrays([pa.array([x[k] for x in rows[at : at + 256]], t) for k, t in enumerate(kinds)], names=names)
@@ -330,7 +422,7 @@ def query(spark: SparkSession, sf_dir: str) -> DataFrame:
     turns = table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
     probe = "</s>[INST] ok [/INST]"
     added = spark.createDataFrame([(-7, 0, "user", probe), (-7, 1, "assistant", probe)], turns.schema)
-    return digests(read_back(chat_trees(turns.unionByName(added)), in_order=True))
+    return digests(read_back(checkpointed(chat_trees(turns.unionByName(added))), in_order=True))
 
 
 SQL = r"""

@@ -75,7 +75,7 @@ def test_tree_layout(spark, rows):
                 assert covered == [i for a, b in reversed(chain) for i in range(a, b)]
                 assert n.above == top.above and n.position == ends[n.above] + len(covered)
                 assert tree.positions[n.start : n.end] == list(range(n.position, n.position + n.end - n.start))
-                seen.append((tree.tree_id >> chat.ROW_BITS, bytes(n.name)))
+                seen.append(bytes(n.name))
             assert at == len(tree.ids)
         assert len(set(seen)) == len(seen)
         assert any(n.above for tree in trees for n in tree.nodes)
@@ -93,6 +93,46 @@ def test_chat_rows_in_any_order(spark, rows, piece_turns):
         assert got.sort_values("conv_id").to_dict("records") == one.sort_values("conv_id").to_dict("records")
 
 
+@pytest.mark.parametrize("partitions", [1, 3, 8, 40])
+def test_shared_turns_are_written_once(spark, partitions):
+    """Whatever the number of partitions: 400 conversations share their first turns; each distinct path is one node, in all."""
+    rng = random.Random(4)
+    rows = [(c, t, "user" if t % 2 == 0 else "assistant", "shared start" if t < 2 else f"turn {rng.randint(0, 3)}" if t < 5 else f"own {c}") for c in range(400) for t in range(rng.randint(1, 7))]
+    rows += [(1000 + c, t, "user", f"turn {t}") for c in range(3) for t in range(90)] + [(2000, 0, "user", "alone")]
+    df = turns(spark, rows)
+    before = spark.conf.get("spark.sql.shuffle.partitions")
+    spark.conf.set("spark.sql.shuffle.partitions", str(partitions))
+    try:
+        trees = chat.checkpointed(chat.chat_trees(df, tree_tokens=200))
+        got = {r.conv_id: r.turns_sha256 for r in chat.digests(chat.read_back(trees, in_order=True)).collect()}
+        again = {r.conv_id: r.turns_sha256 for r in chat.digests(chat.read_back(trees.repartition(5))).collect()}
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", before)
+    assert got == {c: e[1] for c, e in expected(rows).items()} == again
+    paths = {tuple((r, t) for c, _, r, t in rows if c == conv)[: k + 1] for conv in {r[0] for r in rows} for k in range(sum(r[0] == conv for r in rows))}
+    collected = chat.with_intervals(trees).collect()
+    where = {bytes(n.name): (t.tree_id, n.start, n.end) for t in collected for n in t.nodes}
+    assert sum(len(t.nodes) for t in collected) == len(where) == len(paths)
+    for t in collected:  # a node's ancestors, in its own row and above it, are all tokens before it
+        assert all((e.tree_id, e.start, e.end) == where[bytes(e.name)] and e.tree_id < t.tree_id for e in t.entry)
+        index = {bytes(e.name): k for k, e in enumerate(t.entry)}
+        for n in t.nodes:
+            far = t.entry[: index[bytes(n.above)] + 1] if n.above is not None else []
+            assert n.position == sum(e.end - e.start for e in far) + sum(a.end - a.start for a in n.ancestors)
+
+
+def test_a_long_shared_turn_keeps_its_interval(spark):
+    """Every node behind a first turn longer than a row lists it, in whatever row it stands."""
+    rows = [(c, t, "user", "word " * 20_000 if t == 0 else f"{c} {t} " + "x " * 300) for c in range(60) for t in range(3)]
+    trees = chat.checkpointed(chat.chat_trees(turns(spark, rows)))
+    collected = chat.with_intervals(trees).collect()
+    assert len(collected) > 2 and sum(len(t.nodes) for t in collected) == 121
+    for t in collected:
+        for n in t.nodes:
+            size = sum(e.end - e.start for e in t.entry) * (n.above is not None) + sum(a.end - a.start for a in n.ancestors)
+            assert size == n.position and (n.position == 0 or size > 16_384)
+
+
 def test_chat_empty(spark, rows):
     assert chat.digests(chat.read_back(chat.chat_trees(turns(spark, rows[:1]).where("false")))).count() == 0
 
