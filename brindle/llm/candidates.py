@@ -19,6 +19,8 @@ from brindle.llm.components import connected_components
 
 #: Buckets of up to so many nodes are compared pair by pair.
 SMALL = 6
+#: Words of 64 bits in a node's bitmap.
+WORDS = 16
 #: Filters by cell are broadcasts of so many rows at most, for any input.
 CELLS = 1 << 18
 
@@ -64,6 +66,17 @@ def apart_members(many: DataFrame, keyed: DataFrame, comp: DataFrame) -> DataFra
     return compact(placed.join(parts.where("lo < hi"), "bucket", "left_semi").select("node", "part").distinct())
 
 
+def bitmaps(items: DataFrame) -> DataFrame:
+    """node and b0, b1, ...: a bit for each of its tokens. A bit that only one of two nodes has stands for a token that only this one has."""
+    word, bit = F.pmod(F.col("token"), F.lit(WORDS)), F.expr("shiftleft(1L, CAST(pmod(shiftright(token, 8), 64) AS INT))")
+    return items.groupBy("node").agg(*[F.bit_or(F.when(word == k, bit).otherwise(F.lit(0).cast("long"))).alias(f"b{k}") for k in range(WORDS)])
+
+
+def only_in(a: str, b: str) -> Column:
+    """Number of bits of the one bitmap that the other lacks: at least so many tokens are in the one set only."""
+    return sum((F.bit_count(F.col(f"b{k}_{a}").bitwiseAND(F.bitwise_not(F.col(f"b{k}_{b}")))) for k in range(1, WORDS)), F.bit_count(F.col(f"b0_{a}").bitwiseAND(F.bitwise_not(F.col(f"b0_{b}")))))
+
+
 def apart_pairs(items: DataFrame, apart: DataFrame, similarity: float, sized: bool) -> DataFrame:
     """Every pair (a < b) of nodes in different components that may reach the similarity. `items`: node, token, weight of whole sets;
     `apart`: node, part (its component).
@@ -74,8 +87,9 @@ def apart_pairs(items: DataFrame, apart: DataFrame, similarity: float, sized: bo
     two be alike whose first shared token comes too late for the rest to suffice, or (set Jaccard) that differ too
     much in size. With the normalised weights p and q before that token, the probability Jaccard is at most the mean
     of (1 - p) / (1 + p) and (1 - q) / (1 + q): these weights are in one of the two only, so each term of the sum is
-    at most the harmonic mean of its weight / (1 + p) and / (1 + q). `sized`: set Jaccard only. A token whose nodes are all of one
-    component is dropped.
+    at most the harmonic mean of its weight / (1 + p) and / (1 + q). The same bounds hold for what the bitmaps tell of tokens (of
+    weight 1 at least) that only one of the two has: related sets that are not alike seldom become a row of the join. `sized`: set Jaccard only. A token whose
+    nodes are all of one component is dropped.
     """
     items = items.repartition("token")
     often = items.groupBy("token").agg(F.count(F.lit(1)).alias("often"))
@@ -88,17 +102,23 @@ def apart_pairs(items: DataFrame, apart: DataFrame, similarity: float, sized: bo
     )
     slack = 1 - similarity
     first = ranked.where("often > 1").where((F.col("rank") - 1 <= slack * F.col("n") + 1e-6) | (F.col("mass") <= slack * F.col("total") + 1e-6))
-    placed = compact(first.join(apart, "node").select("token", "node", "n", "rank", (F.col("mass") / F.col("total")).alias("before"), "part", F.xxhash64("part").alias("h")))
+    bits = [f"b{k}" for k in range(WORDS)]
+    known = apart.join(bitmaps(items), "node")
+    placed = compact(first.join(known, "node").select("token", "node", "n", "rank", "total", (F.col("mass") / F.col("total")).alias("before"), "part", F.xxhash64("part").alias("h"), *bits))
     mixed = placed.groupBy("token").agg(F.min("h").alias("lo"), F.max("h").alias("hi")).where("lo < hi").select("token")
     met = compact(placed.join(mixed, "token", "left_semi"))
-    x, y = (met.select("token", *[F.col(c).alias(f"{c}_{k}") for c in ("node", "n", "rank", "before", "part")]) for k in "xy")
+    x, y = (met.select("token", *[F.col(c).alias(f"{c}_{k}") for c in ("node", "n", "rank", "total", "before", "part", *bits)]) for k in "xy")
     both = x.join(y, "token").where("part_x < part_y")
-    enough = similarity / (1 + similarity) * (F.col("n_x") + F.col("n_y")) - 1e-6  # shared tokens of such a pair
+    sizes = F.col("n_x") + F.col("n_y")
+    enough = similarity / (1 + similarity) * sizes - 1e-6  # shared tokens of such a pair
     left = 1 + F.least(F.col("n_x") - F.col("rank_x"), F.col("n_y") - F.col("rank_y"))
-    possible = (F.least("n_x", "n_y") >= similarity * F.greatest("n_x", "n_y") - 1e-6) & (left >= enough)
+    own = {"x": only_in("x", "y"), "y": only_in("y", "x")}
+    alike = own["x"] + own["y"] <= (1 - similarity) / (1 + similarity) * sizes + 1e-6
+    possible = (F.least("n_x", "n_y") >= similarity * F.greatest("n_x", "n_y") - 1e-6) & (left >= enough) & alike
     if not sized:
-        rest = lambda m: (1 - F.col(m)) / (1 + F.col(m))
-        possible = possible | ((rest("before_x") + rest("before_y")) / 2 >= similarity - 1e-6)
+        rest = lambda m: (1 - m) / (1 + m)
+        enough_mass = lambda of: (rest(of("x")) + rest(of("y"))) / 2 >= similarity - 1e-6
+        possible = possible | (enough_mass(lambda k: F.col(f"before_{k}")) & enough_mass(lambda k: own[k] / F.col(f"total_{k}")))
     both = both.where(possible)
     return both.select(F.least("node_x", "node_y").alias("a"), F.greatest("node_x", "node_y").alias("b")).distinct()
 

@@ -7,7 +7,7 @@ from itertools import combinations
 import numpy as np
 import pytest
 
-from brindle.llm import line_dedup, near_dedup
+from brindle.llm import candidates, line_dedup, near_dedup
 from brindle.llm.components import connected_components
 
 DOCS = "doc_id long, text string, lang string, source string, n_chars long"
@@ -233,3 +233,28 @@ def test_texts_that_differ_only_in_how_often_passages_repeat(spark):
     assert near_dedup.jaccard(a, b)[0] == 1 and near_dedup.jaccard(a, b)[1] < 0.6
     got = near_dedup.near_classes(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")).collect()
     assert sorted((r.doc_id, r.class_id, r.class_size) for r in got) == [(k, k - k % 2, 2) for k in range(30)]
+
+
+@pytest.mark.parametrize("sized", [True, False])
+def test_the_exact_join_misses_no_similar_pair(spark, sized):
+    """Related sets around the threshold, with weights: every pair of different components that reaches it is proposed, and few others."""
+    rng = random.Random(17)
+    sets = []
+    for _ in range(6):
+        base = [rng.getrandbits(62) - (1 << 61) for _ in range(rng.choice([3, 20, 90, 400]))]
+        for _ in range(14):
+            kept = [t for t in base if rng.random() > rng.choice([0.02, 0.08, 0.15, 0.4])] + [rng.getrandbits(62) for _ in range(rng.randint(0, len(base) // 6))]
+            sets.append({t: 1 if sized or rng.random() < 0.8 else rng.randint(1, 6) for t in kept})
+    items = spark.createDataFrame([(f"n{i:03}", t, w) for i, s in enumerate(sets) for t, w in s.items()], "node string, token long, weight long")
+    apart = spark.createDataFrame([(f"n{i:03}", f"p{i // 2:03}") for i, s in enumerate(sets) if s], "node string, part string")
+    got = {(r.a, r.b) for r in candidates.apart_pairs(items, apart, 0.8, sized).collect()}
+
+    def measures(a, b):
+        union = len(a.keys() | b.keys())
+        weighted = sum(1 / sum(max(a.get(j, 0) / a[i], b.get(j, 0) / b[i]) for j in a.keys() | b.keys()) for i in a.keys() & b.keys())
+        return [len(a.keys() & b.keys()) / union] + [weighted] * (not sized) if union else [0]
+
+    pairs = [(i, j) for i, j in combinations(range(len(sets)), 2) if i // 2 != j // 2 and sets[i] and sets[j]]
+    want = {(f"n{i:03}", f"n{j:03}") for i, j in pairs if max(measures(sets[i], sets[j])) >= 0.8}
+    assert want and not want - got, len(want - got)
+    assert len(got) < (4 if sized else 8) * len(want)
