@@ -236,7 +236,7 @@ def weighted_items(sets: DataFrame) -> DataFrame:
 
 def near_nodes(rows: DataFrame, similarity: float) -> DataFrame:
     """doc_id, node and class (a node of its component) of each row. `rows` has doc_id and text."""
-    bound_batches(rows.sparkSession, rows=1000, size=4 << 20)
+    bound_batches(rows.sparkSession, rows=250, size=1 << 20)
     signed = checkpointed(signatures(rows))
     nodes = signed.groupBy("node").agg(F.min(F.struct(F.col("doc_id").isNull(), "doc_id")).alias("rep"), F.first("buckets").alias("buckets"))
     nodes = compact(nodes.select("node", F.xxhash64("node").alias("key"), F.col("rep.doc_id").alias("rep"), "buckets"))
