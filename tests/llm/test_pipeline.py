@@ -121,3 +121,29 @@ def test_pipeline_on_empty_table(spark, data, tmp_path):
 def test_registration():
     names = list(entry.queries())
     assert [sum(n.startswith(f"op{k}_") for n in names) for k in range(1, 11)] == [1] * 10 and "pipeline" in names
+
+
+def test_every_operator_is_registered_once():
+    names = list(entry.queries())
+    assert [sum(n.startswith(f"op{k}_") for n in names) for k in range(1, 14)] == [1] * 13
+
+
+def test_stages_on_odd_rows(spark, data):
+    """Nulls, blanks, repeated rows and ids, a long text and clashing names: no stage crashes, and clean documents stay."""
+    folder, texts, _ = data
+    clean = next(t for i, t in texts.items() if i < 50 and len(t.split()) > 60)
+    rng = random.Random(2)
+    long = "\n".join(" ".join(f"w{rng.randrange(10**6)}" for _ in range(20)) for _ in range(1500))
+    extra = ["row", "class", "_spans", "_items", "part", "key", "node", "n", "score", "line"]
+    kind = "doc_id long, text string, lang string, source string, n_chars long, " + ", ".join(f"`{c}` string" for c in extra)
+    rows = [(1, clean), (1, clean), (2, None), (3, ""), (3, ""), (None, "some lonely words of its own"), (None, None), (4, " \n\t\n"), (5, long), (5, "another text under the same id, with words of its own")]
+    docs = spark.createDataFrame([(i, t, None, "s", None, *extra) for i, t in rows], kind)
+    for name, stage in corpus_pipeline.STAGES:
+        out = stage(spark, docs, folder).collect()
+        if name == "packing":
+            assert {r.doc_id for r in out} == {1, 2, 3, 4, 5, None}
+            continue
+        assert out and list(out[0].asDict()) == docs.columns and all(tuple(r)[5:] == tuple(extra) for r in out)
+        assert any(r.doc_id == 1 and r.text == clean for r in out)
+        if name != "quality classifier":
+            assert any(r.doc_id == 5 and r.text == long for r in out) and any(r.doc_id is None for r in out)
