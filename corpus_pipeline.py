@@ -22,27 +22,31 @@ def counted(docs: DataFrame) -> DataFrame:
 
 
 def quality_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that the classifier rejects go."""
+    """Documents that the classifier rejects go. Null and empty texts are scored like others; repeated rows stay or go alike; columns of any name pass through."""
     return quality.keep_good(docs, table(spark, sf_dir, "labels"))
 
 
 def line_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of equal and nearly equal lines the first stays; documents without any line left go."""
+    """Of equal and nearly equal lines the first (by doc_id, then place) stays; documents that lose all their lines go.
+
+    Blank lines are never duplicates, so null, empty and blank texts stay. n_chars is counted anew.
+    """
     return counted(line_dedup.dedup_lines(docs))
 
 
 def near_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each class of near copies stays."""
+    """One document of each class of near copies stays: the smallest (doc_id, text). Texts without words are alike if equal (null is empty);
+    rows without doc_id stay; of rows that repeat id and text one stays."""
     return near_dedup.drop_near_duplicates(docs)
 
 
 def benchmark_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Benchmark passages are cut out; documents that consist of them go."""
+    """Benchmark passages are cut out; documents that are more than half benchmark text go. Null and empty texts stay; n_chars is counted anew."""
     return counted(decontaminate.decontaminate(docs, table(spark, sf_dir, "benchmark")))
 
 
 def packing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Pieces of training sequences."""
+    """Pieces of training sequences, one row each; a null or empty text is one end token, repeated rows give pieces each, an empty table none."""
     return packing.pack(docs)
 
 
