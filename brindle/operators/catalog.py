@@ -130,9 +130,13 @@ def technical_name(description: Column, name: Column) -> Column:
 
 
 def view_rows(raw: DataFrame) -> DataFrame:
-    """Remote views (Name, DisplayName, Description, State) as catalog rows, released ones only: the notes are the display name, and there is no title."""
+    """Remote views (Name, DisplayName, Description, State) as catalog rows, released ones only: name, notes (the display name) and source.
+    The stored catalog has no title and no description; both are given beside them, so that nothing that a view tells is lost."""
     name = technical_name(F.col("Description"), T.filled(F.col("Name")))
-    return raw.where(F.upper("State") == "RELEASED").select(name.alias("name"), T.filled(F.col("DisplayName")).alias("notes"))
+    return raw.where(F.upper("State") == "RELEASED").select(
+        name.alias("name"), T.first_filled(F.col("DisplayName"), F.col("Name")).alias("title"), T.filled(F.col("DisplayName")).alias("notes"),
+        T.filled(F.col("Description")).alias("description"), F.lit("hub_sync").alias("source"),
+    )
 
 
 def artifact_rows(raw: DataFrame, url_base: str) -> DataFrame:

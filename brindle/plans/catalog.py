@@ -541,7 +541,7 @@ def upsert_last_of_batch(spark, sf_dir):
     return catalog.upsert(o.where("o_custkey % 2 = 0").dropDuplicates(["o_custkey"]), o, "o_custkey", order=["o_orderkey"])
 
 
-@registered("SELECT CASE WHEN c_custkey % 2 = 0 THEN c_name ELSE upper(c_name) END AS name, c_name AS notes FROM customer")
+@registered("SELECT CASE WHEN c_custkey % 2 = 0 THEN c_name ELSE upper(c_name) END AS name, c_name AS title, c_name AS notes, CASE WHEN c_custkey % 2 = 0 THEN c_name || ' (Basic)' END AS description, 'hub_sync' AS source FROM customer")
 def view_rows(spark, sf_dir):
     c = table(spark, sf_dir, "customer")
     raw = c.select(F.upper("c_name").alias("Name"), F.col("c_name").alias("DisplayName"), F.when(F.col("c_custkey") % 2 == 0, F.concat("c_name", F.lit(" (Basic)"))).alias("Description"), F.lit("Released").alias("State"))

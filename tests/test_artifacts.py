@@ -1,6 +1,6 @@
 """All kinds of remote artifacts as catalog rows, and their merges."""
 
-from brindle.operators import artifacts
+from brindle.operators import artifacts, catalog
 
 RAW = "Name string, DisplayName string, Description string, Type string, SubType string, State string, Url string"
 
@@ -40,3 +40,12 @@ def test_sync(spark):
     views = spark.createDataFrame([("I_A", "FI", None, "seed"), ("I_B", None, "own", "seed")], "name string, area string, notes string, source string")
     merged = {r.name: r for r in artifacts.synced(views, rows(spark, ("I_A", "Label", "I_A (Basic)", "CDSVIEW", None, "RELEASED", None), ("I_B", "other", None, "CDSVIEW", None, "RELEASED", None)), "view").collect()}
     assert (merged["I_A"].notes, merged["I_A"].area, merged["I_B"].notes) == ("Label", "FI", "own")
+
+
+def test_view_rows_lose_nothing_that_a_view_tells(spark):
+    raw = spark.createDataFrame([("I_VIEW", "Label", "I_View (Basic)", "RELEASED"), ("I_PLAIN", " ", "no bracket", "released"), ("D", "d", "d", "DRAFT")], "Name string, DisplayName string, Description string, State string")
+    got = [r.asDict() for r in catalog.view_rows(raw).orderBy("title").collect()]
+    assert got == [
+        {"name": "I_PLAIN", "title": "I_PLAIN", "notes": None, "description": "no bracket", "source": "hub_sync"},
+        {"name": "I_View", "title": "Label", "notes": "Label", "description": "I_View (Basic)", "source": "hub_sync"},
+    ]
