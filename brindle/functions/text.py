@@ -49,6 +49,21 @@ def terms(text: Column, stop: list[str] = STOP_WORDS) -> Column:
     return F.filter(found, lambda t: ~t.isin(*stop)) if stop else found
 
 
+def counted(items: Column) -> Column:
+    """Array of term and tf, in order of term, of an array of strings; counted in place, by runs of the sorted array.
+
+    (Arrays are bound to lambda variables, since an expression would be computed anew for each element.)
+    """
+    bound = lambda x, f: F.element_at(F.transform(F.array(x), f), 1)
+
+    def runs(s: Column) -> Column:
+        starts = F.filter(F.sequence(F.lit(0), F.size(s) - 1), lambda i: (i == 0) | (F.get(s, i) != F.get(s, i - 1)))
+        return bound(starts, lambda p: F.transform(p, lambda i, k: F.struct(F.get(s, i).alias("term"), (F.coalesce(F.get(p, k + 1), F.size(s)) - i).alias("tf"))))
+
+    none = F.array().cast("array<struct<term:string,tf:int>>")
+    return bound(F.sort_array(items), lambda s: F.when(F.size(s) > 0, runs(s)).otherwise(none))
+
+
 def name_tokens(name: Column) -> Column:
     """Distinct business tokens of an object name, sorted: affixes off, split at underscores and camel case."""
     bare = F.regexp_replace(F.regexp_replace(F.coalesce(name, F.lit("")), NAME_PREFIX, ""), NAME_SUFFIX, "")

@@ -48,3 +48,10 @@ def checkpointed(df: DataFrame) -> DataFrame:
     """`df` written once to the shared folder: what reads it repeatedly neither computes it again nor depends on an executor's memory."""
     scratch(df.sparkSession, "")  # sees to the folder
     return df.checkpoint(eager=True)
+
+
+def stored(df: DataFrame, name: str) -> DataFrame:
+    """`df` written once to the shared folder, by columns: what reads a part of it again reads no more than that."""
+    path = scratch(df.sparkSession, name)
+    df.write.parquet(path)
+    return df.sparkSession.read.parquet(path)

@@ -219,3 +219,22 @@ def test_idle_sessions_and_metrics(spark, tmp_path):
     q = m.writeStream.format("memory").queryName("metrics").outputMode("complete").option("checkpointLocation", str(tmp_path / "cp")).trigger(availableNow=True).start()
     q.awaitTermination(60)
     assert [tuple(r) for r in spark.table("metrics").collect()] == [("r", 3, 1, 6)]
+
+
+def test_terms_are_counted_without_a_shuffle(spark):
+    docs = spark.createDataFrame([(1, "beta alpha the beta X1 9zz"), (2, None), (3, ""), (4, "the of"), (5, "Beta b beta")], "id long, text string")
+    counts = search.term_counts(docs)
+    assert "Exchange" not in counts._jdf.queryExecution().executedPlan().toString()
+    got = sorted((r.doc_id, r.term, r.tf, r.n_terms) for r in counts.collect())
+    assert got == [(1, "alpha", 1, 5), (1, "beta", 2, 5), (1, "x1", 1, 5), (1, "zz", 1, 5), (5, "beta", 2, 2)]
+
+
+def test_rare_terms_get_the_same_idf_as_frequent_ones(spark, monkeypatch):
+    rows = spark.createDataFrame([(d, f"w{t}", d % 3 + 1) for t in range(20) for d in range(t + 1)], "doc_id long, term string, tf long")
+    idf = spark.createDataFrame([(f"w{t}", t + 1, 1.0 / (t + 1)) for t in range(20)], "term string, df long, idf double")
+    found = lambda: sorted(map(tuple, search.with_idf(rows, idf).select("doc_id", "term", "tf", "idf").collect()))
+    whole = found()
+    assert whole == sorted(map(tuple, rows.join(idf, "term").select("doc_id", "term", "tf", "idf").collect()))
+    for bound in (0, 3, 7, 100):
+        monkeypatch.setattr(search, "COMMON", bound)
+        assert found() == whole
