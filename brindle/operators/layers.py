@@ -45,10 +45,13 @@ class Store:
 
     def live(self, name: str, *keys: str) -> DataFrame:
         """Rows of a table none of whose keys has gone in a later version."""
-        rows = self.table(name)
+        return self.still(self.table(name), *keys).drop("version")
+
+    def still(self, rows: DataFrame, *keys: str) -> DataFrame:
+        """Those of given rows, with their version, none of whose keys has gone in a later one."""
         for k in keys:
             rows = rows.join(self.gone().withColumnRenamed("key", k), k, "left").where("gone_at IS NULL OR version >= gone_at").drop("gone_at")
-        return rows.drop("version")
+        return rows
 
 
 def open_store(spark: SparkSession, path: str, version: int | None = None) -> Store:

@@ -15,15 +15,16 @@ from pyspark.sql import functions as F
 
 from brindle.functions import text as T
 from brindle.operators import layers
-from brindle.operators.search import SPARSE_LEAST, term_counts
+from brindle.operators.search import SPARSE_LEAST, term_counts, with_idf
+from brindle.session import stored
 
 
 def _finish(spark: SparkSession, path: str, version: int, base: int, n: int) -> layers.Store:
-    """Norms of all live documents, then the head."""
+    """Norms of all live documents, then the head. Postings are summed up where they are read; which documents are live is asked of the sums."""
     seen = layers.Store(spark, path, version, base, {"n": n})
     w = F.col("tf") / F.col("n_terms") * F.col("idf")
-    weighed = seen.live("postings", "doc_id").join(term_table(seen), "term").select("doc_id", (w * w).alias("w2"))
-    layers.put(weighed.groupBy("doc_id").agg(F.sqrt(F.sum("w2")).alias("norm")), path, "norms", version)
+    weighed = with_idf(seen.table("postings"), stored(term_table(seen), "terms")).groupBy("doc_id", "version").agg(F.sqrt(F.sum(w * w)).alias("norm"))
+    layers.put(seen.still(weighed, "doc_id").select("doc_id", "norm"), path, "norms", version)
     return layers.commit(spark, path, version, base, n=n, engine="tfidf")
 
 

@@ -92,3 +92,15 @@ def test_query_terms_reach_the_scan(spark, tmp_path):
     store = stored_index.build_index(frame(spark, {1: "alpha beta", 2: "beta"}), str(tmp_path / "index"))
     plan = stored_index.search_store(store, "beta")._jdf.queryExecution().executedPlan().toString()
     assert "EqualTo(term,beta)" in plan or "In(term, [beta" in plan
+
+
+def test_rare_terms_and_postings_that_are_summed_before_the_gone_go(spark, tmp_path, monkeypatch):
+    docs = {i: f"common word{i} word{i // 2} alpha" for i in range(30)}
+    path = str(tmp_path / "index")
+    for bound in (0, 2):
+        monkeypatch.setattr(search, "COMMON", bound)
+        stored_index.build_index(frame(spark, docs), path)
+        store = stored_index.update_index(spark, path, frame(spark, {3: "common kappa alpha", 99: "alpha theta"}), spark.createDataFrame([(7,)], "doc_id long"))
+        assert state(store) == full(spark, {i: t for i, t in docs.items() if i != 7} | {3: "common kappa alpha", 99: "alpha theta"})
+    rows = spark.createDataFrame([(3, store.version - 1), (3, store.version), (7, store.version - 1), (8, store.version - 1)], "doc_id long, version int")
+    assert sorted(map(tuple, store.still(rows, "doc_id").collect())) == [(3, store.version), (8, store.version - 1)]
