@@ -29,8 +29,8 @@ def _finish(spark: SparkSession, path: str, version: int, base: int, n: int) ->
 
 
 def _put_postings(counts: DataFrame, path: str, version: int) -> None:
-    """In order of term, so that a query's terms reach few row groups."""
-    layers.put(counts.repartitionByRange("term").sortWithinPartitions("term"), path, "postings", version)
+    """Each file, which has all postings of some documents, in order of term, so that a query's terms reach few row groups and pages of it."""
+    layers.put(counts.sortWithinPartitions("term"), path, "postings", version)
 
 
 def build_index(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: str = "text") -> layers.Store:
