@@ -13,7 +13,7 @@ from brindle.functions import tables
 from brindle.operators import artifacts, manifests
 from brindle.plans import catalog
 from brindle.plans.catalog import registered
-from brindle.session import table
+from brindle.session import bound_batches, table
 from brindle.sources import archives, documents, files, remote
 
 # ---------------------------------------------------------------- damaged archives
@@ -35,6 +35,7 @@ def damaged(raw: bytes, kind: int) -> bytes:
 
 def word_files(docs: DataFrame) -> DataFrame:
     """doc_id, path, content: every document as a word-processing file, damaged in one of four ways by its id. Characters that XML can't hold become spaces."""
+    bound_batches(docs.sparkSession)
 
     @F.pandas_udf("binary")
     def build(ids: pd.Series, texts: pd.Series) -> pd.Series:

@@ -50,6 +50,12 @@ def checkpointed(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
+def bound_batches(spark: SparkSession, rows: int = 256, size: int = 1 << 20) -> None:
+    """Limits the rows and bytes of one Arrow batch, so that a Python worker's memory depends on neither the table nor its partitions."""
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(rows))
+    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(size))
+
+
 def stored(df: DataFrame, name: str) -> DataFrame:
     """`df` written once to the shared folder, by columns: what reads a part of it again reads no more than that."""
     path = scratch(df.sparkSession, name)

@@ -15,6 +15,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from brindle.functions.text import occurrences
+from brindle.session import bound_batches
 from brindle.sources import archives
 
 EXTRACTED = "struct<text:string,note:string>"
@@ -150,7 +151,8 @@ def read_documents(spark: SparkSession, path: str) -> DataFrame:
 
 
 def extract_text(docs: DataFrame, name_col: str = "path", bytes_col: str = "content") -> DataFrame:
-    """Adds text and note; Arrow batches, one row at a time in memory beyond the batch."""
+    """Adds text and note; small Arrow batches, one row at a time in memory beyond the batch."""
+    bound_batches(docs.sparkSession)
 
     @F.pandas_udf(EXTRACTED)
     def run(batches: Iterator[tuple[pd.Series, pd.Series]]) -> Iterator[pd.DataFrame]:

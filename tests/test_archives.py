@@ -6,6 +6,7 @@ import struct
 import zipfile
 
 import pytest
+from pyspark.sql import functions as F
 
 from brindle.sources import archives, documents
 
@@ -119,3 +120,13 @@ def test_uploads_without_text_get_a_stub(spark):
 
 def test_salvage_keeps_tabs_and_drops_noise():
     assert documents.salvage(b"\xd0\xcf\x11\xe0\xe9\xe8\xe7\xe6\xe5\xe4\xe3 col\tumn one \x00abc\x01second run\xff") == "col\tumn one\nsecond run"
+
+
+def test_batches_of_documents_are_small(spark):
+    from brindle.plans import intake
+    from brindle.sources import documents
+
+    for made in (lambda d: documents.extract_text(d.select("doc_id", F.lit("x.txt").alias("path"), F.col("text").cast("binary").alias("content"))), intake.word_files):
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "10000")
+        assert made(spark.range(3).select(F.col("id").alias("doc_id"), F.lit("a b").alias("text"))).count() == 3
+        assert int(spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")) <= 256
