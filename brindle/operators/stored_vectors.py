@@ -25,6 +25,8 @@ SAMPLE, ROUNDS = 20_000, 12
 TUNING = 200
 #: Vectors and queries that one task multiplies.
 BLOCK, QUERY_BLOCK = 8192, 2048
+#: Rows that placing gives, and scores that a task holds, at a time: some 8 MB each.
+PLACED, SCORED = 1 << 14, 1 << 20
 #: Texts that are encoded at a time.
 ENCODED = 64
 
@@ -59,20 +61,26 @@ def clean(vectors: DataFrame, id_col: str, vector_col: str) -> DataFrame:
     return rows.where(F.col("v").isNotNull() & (F.size("v") > 0) & ~bad)
 
 
+def placed(batch: pa.RecordBatch, centroids: np.ndarray, cells: int) -> Iterator[pa.RecordBatch]:
+    """id, v and cell for each of the `cells` nearest cells of each row; PLACED rows at a time, however many cells there are."""
+    dims, step = centroids.shape[1], max(1, PLACED // cells)
+    for first in range(0, batch.num_rows, step):
+        part = batch.slice(first, step)
+        v = _matrix(part.column("v"), dims)
+        score = unit_rows(v) @ centroids.T
+        near = np.argpartition(-score, cells - 1, axis=1)[:, :cells]
+        at = np.repeat(np.arange(len(v)), cells)
+        lists = pa.FixedSizeListArray.from_arrays(pa.array(v[at].ravel()), dims).cast(pa.list_(pa.float64()))
+        yield pa.RecordBatch.from_arrays([part.column("id").take(pa.array(at)), lists, pa.array(near.ravel().astype(np.int32))], names=["id", "v", "cell"])
+
+
 def _with_cells(rows: DataFrame, centroids: np.ndarray, probes: int) -> DataFrame:
     """id, v and cell: a row for each of the `probes` nearest cells."""
-    kind, dims = rows.schema["id"].dataType.simpleString(), centroids.shape[1]
+    kind, cells = rows.schema["id"].dataType.simpleString(), min(probes, len(centroids))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            if not batch.num_rows:
-                continue
-            v = _matrix(batch.column("v"), dims)
-            score = unit_rows(v) @ centroids.T
-            near = np.argpartition(-score, min(probes, len(centroids)) - 1, axis=1)[:, :probes]
-            at = np.repeat(np.arange(len(v)), near.shape[1])
-            lists = pa.FixedSizeListArray.from_arrays(pa.array(v[at].ravel()), dims).cast(pa.list_(pa.float64()))
-            yield pa.RecordBatch.from_arrays([batch.column("id").take(pa.array(at)), lists, pa.array(near.ravel().astype(np.int32))], names=["id", "v", "cell"])
+            yield from placed(batch, centroids, cells)
 
     return rows.select("id", "v").mapInArrow(run, f"id {kind}, v array<double>, cell int")
 
@@ -152,15 +160,19 @@ def search_vectors(store: layers.Store, queries: DataFrame, k: int = 10, probes:
         empty = pa.table({"id": q.column("id").slice(0, 0), "hit": s.column("hit").slice(0, 0), "score": pa.array([], pa.float64())})
         if not (q.num_rows and s.num_rows):
             return empty
-        score = np.round(unit_rows(_matrix(q.column("v"), dims)) @ unit_rows(_matrix(s.column("v"), dims)).T, 6)
         ids = s.column("hit").combine_chunks()
         order = pa.compute.array_sort_indices(ids).to_numpy()  # ties go to the smaller id
-        score = score[:, order]
-        top = np.argsort(-score, axis=1, kind="stable")[:, :k]
-        row = np.repeat(np.arange(len(score)), top.shape[1])
-        value = score[row, top.ravel()]
-        ok = value >= least
-        return pa.table({"id": q.column("id").combine_chunks().take(pa.array(row[ok])), "hit": ids.take(pa.array(order[top.ravel()][ok])), "score": pa.array(value[ok])})
+        asked_by, of = q.column("id").combine_chunks(), unit_rows(_matrix(q.column("v"), dims))
+        to = unit_rows(_matrix(s.column("v"), dims))[order]
+        out, step = [empty], max(1, SCORED // len(to))
+        for first in range(0, len(of), step):
+            score = np.round(of[first : first + step] @ to.T, 6)
+            top = np.argsort(-score, axis=1, kind="stable")[:, :k]
+            row = np.repeat(np.arange(len(score)), top.shape[1])
+            value = score[row, top.ravel()]
+            ok = value >= least
+            out.append(pa.table({"id": asked_by.take(pa.array(first + row[ok])), "hit": ids.take(pa.array(order[top.ravel()][ok])), "score": pa.array(value[ok])}))
+        return pa.concat_tables(out)
 
     found = left.groupBy(keys).cogroup(right.groupBy(keys)).applyInArrow(best, schema)
     place = F.row_number().over(Window.partitionBy("id").orderBy(F.desc("score"), "hit"))

@@ -82,3 +82,26 @@ def test_the_stored_head_chooses_the_engine(spark, tmp_path):
     assert [r.doc_id for r in a] == [4, 9, 14] == [r.doc_id for r in b] and {r.engine for r in a} == {"tfidf"} and {r.engine for r in b} == {"dense"} and b[0].score == 1.0
     assert stored_vectors.search_text(spark, none, "x").first().error and "encoder" in stored_vectors.search_text(spark, dense, "x").first().error
     assert layers.open_store(spark, dense).facts["n"] == 150 and stored_index.index_status(spark, sparse).first().documents == 150
+
+
+def test_memory_of_placing_does_not_grow_with_rows_and_cells():
+    import pyarrow as pa
+
+    rng = np.random.default_rng(4)
+    v, centroids = rng.normal(size=(1500, 4)), stored_vectors.unit_rows(rng.normal(size=(32, 4)))
+    batch = pa.RecordBatch.from_arrays([pa.array(range(1500)), pa.array(list(v), pa.list_(pa.float64()))], names=["id", "v"])
+    parts = list(stored_vectors.placed(batch, centroids, 32))
+    assert max(p.num_rows for p in parts) <= stored_vectors.PLACED < 1500 * 32
+    rows = pa.Table.from_batches(parts)
+    assert sorted(zip(rows["id"].to_pylist(), rows["cell"].to_pylist())) == [(i, c) for i in range(1500) for c in range(32)]
+    assert rows["v"].to_pylist()[-1] == v[1499].tolist()
+
+
+def test_scores_in_steps_equal_all_at_once(spark, tmp_path, monkeypatch):
+    rng = np.random.default_rng(5)
+    rows = spark.createDataFrame([(i, [float(x) for x in np.round(rng.normal(size=4), 1)]) for i in range(300)], "vec_id long, embedding array<double>")
+    store = stored_vectors.build_vectors(rows, str(tmp_path / "v"), cells=4)
+    found = lambda: sorted(map(tuple, stored_vectors.search_vectors(store, rows, 5, None, -2.0).collect()))
+    whole = found()
+    monkeypatch.setattr(stored_vectors, "SCORED", 1000)
+    assert found() == whole and len(whole) == 1500
