@@ -51,10 +51,9 @@ def bucket_pairs(members: DataFrame, small: int = SMALL) -> tuple[DataFrame, Dat
     met = compact(in_cells(members, "bucket", more).join(more, "bucket").select("bucket", "key", "size"))
     few, many = met.where(F.col("size") <= small), met.where(F.col("size") > small)
     x, y = (few.select("bucket", F.col("key").alias(k)) for k in "ab")
-    central = many.groupBy("key").agg(F.sum("size").alias("weight"))
-    ranked = many.join(central, "key")
-    heavy = ranked.groupBy("bucket").agg(F.max("weight").alias("weight"))
-    centre = ranked.join(heavy, ["bucket", "weight"]).groupBy("bucket").agg(F.min("key").alias("centre"))
+    # a key is in no more buckets than there are bands, so its window is small
+    ranked = many.select("bucket", "key", F.sum("size").over(Window.partitionBy("key")).alias("weight"))
+    centre = ranked.groupBy("bucket").agg(F.min(F.struct(-F.col("weight"), "key")).alias("first")).select("bucket", F.col("first.key").alias("centre"))
     star = many.join(centre, "bucket").select(F.least("key", "centre").alias("a"), F.greatest("key", "centre").alias("b"))
     return compact(pairs.union(x.join(y, "bucket").select("a", "b")).union(star).where("a < b").distinct()), many.select("bucket", "key")
 

@@ -258,3 +258,20 @@ def test_the_exact_join_misses_no_similar_pair(spark, sized):
     want = {(f"n{i:03}", f"n{j:03}") for i, j in pairs if max(measures(sets[i], sets[j])) >= 0.8}
     assert want and not want - got, len(want - got)
     assert len(got) < (4 if sized else 8) * len(want)
+
+
+def test_the_centre_of_a_large_bucket_has_the_greatest_weight(spark):
+    import random
+
+    from brindle.llm import candidates
+
+    rng = random.Random(9)
+    members = sorted({(rng.randrange(40), rng.randrange(9)) for _ in range(160)})
+    got, _ = candidates.bucket_pairs(spark.createDataFrame(members, "key long, bucket long"), small=6)
+    of = {b: [k for k, x in members if x == b] for b in range(9)}
+    weight = {k: sum(len(of[x]) for j, x in members if j == k) for k, _ in members}
+    want = set()
+    for keys in of.values():
+        centre = min(keys, key=lambda k: (-weight[k], k))
+        want |= {(min(k, centre), max(k, centre)) for k in keys if k != centre}
+    assert min(map(len, of.values())) > 6 and {(r.a, r.b) for r in got.collect()} == want
