@@ -3,7 +3,7 @@
 Used by both near-duplicate operators. Bands are short, so that hardly any similar pair is missed; where that
 makes a bucket large, its members meet only the most central of them at first. They get a second round with longer
 bands, which tell the similar from the merely related; what is then still apart in a large bucket of that round is
-settled by an exact join of the prefixes of their sets (apart_pairs), so that no bucket's overflow is lost. Everything here is joins and aggregations; the passes over all members are
+settled within the bucket, by bitmaps (bucket_mates), or, if it is larger than MEDIUM, by an exact join of the prefixes of their sets (apart_pairs), so that no bucket's overflow is lost. Everything here is joins and aggregations; the passes over all members are
 hash aggregates of 64-bit keys.
 """
 
@@ -19,6 +19,8 @@ from brindle.llm.components import connected_components
 
 #: Buckets of up to so many nodes are compared pair by pair.
 SMALL = 6
+#: Buckets of longer bands of up to so many nodes are compared within themselves, by the nodes' bitmaps.
+MEDIUM = 64
 #: Words of 64 bits in a node's bitmap.
 WORDS = 16
 #: Filters by cell are broadcasts of so many rows at most, for any input.
@@ -59,10 +61,10 @@ def bucket_pairs(members: DataFrame, small: int = SMALL) -> tuple[DataFrame, Dat
 
 
 def apart_members(many: DataFrame, keyed: DataFrame, comp: DataFrame) -> DataFrame:
-    """Nodes (node, part) of the large buckets that hold more than one component. `keyed`: key, node."""
+    """The members (bucket, node, part, members) of the large buckets that hold more than one component, and how many each has. `keyed`: key, node."""
     placed = compact(many.join(keyed, "key").join(comp, "node", "left").select("bucket", "node", F.coalesce("component", "node").alias("part")))
-    parts = placed.select("bucket", F.xxhash64("part").alias("h")).groupBy("bucket").agg(F.min("h").alias("lo"), F.max("h").alias("hi"))
-    return compact(placed.join(parts.where("lo < hi"), "bucket", "left_semi").select("node", "part").distinct())
+    parts = placed.select("bucket", F.xxhash64("part").alias("h")).groupBy("bucket").agg(F.min("h").alias("lo"), F.max("h").alias("hi"), F.count(F.lit(1)).alias("members"))
+    return compact(placed.join(parts.where("lo < hi").select("bucket", "members"), "bucket"))
 
 
 def bitmaps(items: DataFrame) -> DataFrame:
@@ -76,6 +78,27 @@ def only_in(a: str, b: str) -> Column:
     return sum((F.bit_count(F.col(f"b{k}_{a}").bitwiseAND(F.bitwise_not(F.col(f"b{k}_{b}")))) for k in range(1, WORDS)), F.bit_count(F.col(f"b0_{a}").bitwiseAND(F.bitwise_not(F.col(f"b0_{b}")))))
 
 
+def alike_enough(similarity: float, sized: bool) -> Column:
+    """What sizes (n, total) and bitmaps of x and y leave possible; see apart_pairs for the bounds."""
+    sizes, own = F.col("n_x") + F.col("n_y"), {"x": only_in("x", "y"), "y": only_in("y", "x")}
+    possible = (F.least("n_x", "n_y") >= similarity * F.greatest("n_x", "n_y") - 1e-6) & (own["x"] + own["y"] <= (1 - similarity) / (1 + similarity) * sizes + 1e-6)
+    if sized:
+        return possible
+    rest = lambda k: (1 - own[k] / F.col(f"total_{k}")) / (1 + own[k] / F.col(f"total_{k}"))
+    return possible | ((rest("x") + rest("y")) / 2 >= similarity - 1e-6)
+
+
+def bucket_mates(members: DataFrame, items: DataFrame, similarity: float, sized: bool) -> DataFrame:
+    """Every pair (a < b) of keys in one bucket but different components that may reach the similarity. `members`: bucket, node, part
+    (the buckets of bounded size); `items`: node, token, weight of the nodes' whole sets."""
+    known = bitmaps(items).join(items.groupBy("node").agg(F.count(F.lit(1)).alias("n"), F.sum("weight").alias("total")), "node")
+    bits = [f"b{k}" for k in range(WORDS)]
+    met = members.join(known, "node").select("bucket", F.xxhash64("node").alias("key"), F.xxhash64("part").alias("part"), "n", "total", *bits)
+    x, y = (met.select("bucket", *[F.col(c).alias(f"{c}_{k}") for c in ("key", "part", "n", "total", *bits)]) for k in "xy")
+    both = x.join(y, "bucket").where("part_x < part_y").where(alike_enough(similarity, sized))
+    return both.select(F.least("key_x", "key_y").alias("a"), F.greatest("key_x", "key_y").alias("b")).distinct()
+
+
 def apart_pairs(items: DataFrame, apart: DataFrame, similarity: float, sized: bool) -> DataFrame:
     """Every pair (a < b) of nodes in different components that may reach the similarity. `items`: node, token, weight of whole sets;
     `apart`: node, part (its component).
@@ -138,6 +161,9 @@ def whole_components(
     apart = apart_members(many, keyed, comp)
     if not apart.take(1):
         return comp
-    found = apart_pairs(items_of(apart), apart, similarity, sized)
-    more = compact(verify(found.select(F.xxhash64("a").alias("a"), F.xxhash64("b").alias("b"))))
+    medium, large = apart.where(F.col("members") <= MEDIUM), compact(apart.where(F.col("members") > MEDIUM).select("node", "part").distinct())
+    found = bucket_mates(medium.select("bucket", "node", "part"), items_of(medium), similarity, sized)
+    if large.take(1):
+        found = found.union(apart_pairs(items_of(large), large, similarity, sized).select(F.xxhash64("a").alias("a"), F.xxhash64("b").alias("b"))).distinct()
+    more = compact(verify(compact(found)))
     return connected_components(comp.select(F.col("node").alias("a"), F.col("component").alias("b")).union(more)) if more.take(1) else comp

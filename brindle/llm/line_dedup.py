@@ -58,20 +58,24 @@ def shingle_hashes(norm: Column) -> Column:
 
 
 def banded(rows: DataFrame, bands: int = BANDS, width: int = ROWS) -> DataFrame:
-    """Replaces the hashes `h` (one at least) by `buckets`, one 64-bit key per band.
+    """Replaces the hashes `h` (one at least) by `size`, the number of distinct ones, and `buckets`, one 64-bit key per band.
 
-    The points at which bands begin are sorted into the hashes. Band k looks at the 2 * width hashes after point k
-    (from the end on to the beginning; other points may lie between) and takes the first `width` distinct ones.
+    Band k takes the first `width` distinct hashes after point k (from the end on to the beginning). The points at
+    which bands begin are sorted into the hashes to find how many of these are before each.
     """
     rest = [c for c in rows.columns if c != "h"]
     points = [(2 * k + 1) * (1 << 64) // (2 * bands) - (1 << 63) for k in range(bands)]
-    fixed, window = F.array(*map(F.lit, points)), 2 * width + bands
-    ring = rows.select(*rest, F.sort_array(F.concat("h", fixed)).alias("ring"))
-    ring = ring.select(*rest, F.concat("ring", F.slice("ring", 1, window)).alias("ring"))
-    after = lambda p: F.slice("ring", F.array_position("ring", F.lit(p)).cast("int") + 1, F.lit(window))
-    keys = F.array(*[F.xxhash64(F.lit(k), F.slice(F.array_except(after(p), fixed), 1, width)) for k, p in enumerate(points)])
+    hashes = rows.select(*rest, F.sort_array(F.array_distinct("h")).alias("h"))
+    ring = hashes.select(*rest, F.size("h").alias("size"), F.concat("h", F.slice("h", 1, width)).alias("round"), F.sort_array(F.concat("h", F.array(*map(F.lit, points)))).alias("ring"))
+    after = lambda k, p: F.slice("round", F.array_position("ring", F.lit(p)).cast("int") - F.lit(k), F.lit(width))
+    keys = F.array(*[F.xxhash64(F.lit(k), after(k, p)) for k, p in enumerate(points)])
     # a higher-order function (here of nothing) makes Spark compile each key by itself; all in one are too large for the JIT
-    return ring.select(*rest, F.concat(keys, F.transform(F.slice("ring", 1, 0), lambda x: x)).alias("buckets"))
+    return ring.select(*rest, "size", F.concat(keys, F.transform(F.slice("ring", 1, 0), lambda x: x)).alias("buckets"))
+
+
+def close(a: str, b: str, similarity: float) -> Column:
+    """Sets of sizes a and b may have this Jaccard."""
+    return F.least(a, b) >= similarity * F.greatest(a, b) - 1e-9
 
 
 def verified(pairs: DataFrame, norms: DataFrame, similarity: float) -> DataFrame:
@@ -79,8 +83,8 @@ def verified(pairs: DataFrame, norms: DataFrame, similarity: float) -> DataFrame
 
     Sets of too different sizes are not compared."""
     a, b = (norms.select(F.col("key").alias(k), *[F.col(c).alias(f"{c}_{k}") for c in ("node", "norm", "n")]) for k in "ab")
-    both = pairs.join(a, "a").join(b, "b").where(F.least("n_a", "n_b") >= similarity * F.greatest("n_a", "n_b") - 1e-9).select("node_a", "node_b", F.array_distinct(shingle_hashes(F.col("norm_a"))).alias("sa"), F.array_distinct(shingle_hashes(F.col("norm_b"))).alias("sb"))
-    sized = both.select("node_a", "node_b", (F.size("sa") + F.size("sb")).alias("n"), F.size(F.array_intersect("sa", "sb")).alias("shared"))
+    both = pairs.join(a, "a").join(b, "b").where(close("n_a", "n_b", similarity)).select("node_a", "node_b", (F.col("n_a") + F.col("n_b")).alias("n"), shingle_hashes(F.col("norm_a")).alias("sa"), shingle_hashes(F.col("norm_b")).alias("sb"))
+    sized = both.select("node_a", "node_b", "n", F.size(F.array_intersect("sa", "sb")).alias("shared"))
     return sized.where(F.col("shared") >= similarity * (F.col("n") - F.col("shared")) - 1e-9).select(F.col("node_a").alias("a"), F.col("node_b").alias("b"))
 
 
@@ -97,16 +101,19 @@ def dropped_lines(docs: DataFrame, similarity: float = SIMILARITY, id_col: str =
     spark = docs.sparkSession
     rows = marked(docs, id_col, text_col)
     path = scratch(spark, "lines")
-    banded(lines_of(rows).select("node", "doc_id", "mark", "line", shingle_hashes(F.col("norm")).alias("h"))).write.parquet(path)
-    lines = spark.read.parquet(path)
-    nodes = lines.groupBy("node").agg(F.min(F.struct("doc_id", "mark", "line")).alias("first"), F.count(F.lit(1)).alias("n"), F.first("buckets").alias("buckets"))
-    nodes = compact(nodes.withColumn("key", F.xxhash64("node")))
+    lines = lines_of(rows).select("node", F.struct("doc_id", "mark", "line").alias("place"), shingle_hashes(F.col("norm")).alias("h"))
+    banded(lines).groupBy("node").agg(F.min("place").alias("first"), F.count(F.lit(1)).alias("n"), F.first("size").alias("size"), F.first("buckets").alias("buckets")).write.parquet(path)
+    nodes = spark.read.parquet(path).withColumn("key", F.xxhash64("node"))
     pairs, many = bucket_pairs(nodes.select("key", F.explode_outer("buckets").alias("bucket")))
-    need = pairs.select(F.col("a").alias("key")).union(pairs.select("b")).distinct()
-    wanted = compact(in_cells(nodes.select("key", "node", "first.*"), "key", need).join(need, "key", "left_semi"))
+    ends = lambda of: of.select(F.col("a").alias("key")).union(of.select("b"))
+    met = ends(pairs).distinct()
+    met = compact(in_cells(nodes.select("key", "node", "size", "first.*"), "key", met).join(met, "key", "left_semi"))
+    a, b = (met.select(F.col("key").alias(k), F.col("size").alias(f"size_{k}")) for k in "ab")
+    pairs = compact(pairs.join(a, "a").join(b, "b").where(close("size_a", "size_b", similarity)).select("a", "b"))
+    wanted = compact(met.join(ends(pairs).union(many.select("key")).distinct(), "key", "left_semi"))
     # a line's text comes from the first document that has it; few other documents are split once more
     texts = in_cells(lines_of(in_cells(rows, "mark", wanted)).withColumn("key", F.xxhash64("node")), "key", wanted)
-    norms = compact(texts.join(wanted, ["key", "node", "doc_id", "mark", "line"], "left_semi").dropDuplicates(["node"]).select("key", "node", "norm", F.size(F.array_distinct(shingle_hashes(F.col("norm")))).alias("n")))
+    norms = compact(texts.join(wanted, ["key", "node", "doc_id", "mark", "line"]).dropDuplicates(["node"]).select("key", "node", "norm", F.col("size").alias("n")))
     links = compact(verified(pairs, norms, similarity))
     of = lambda few: norms.join(few, "node", "left_semi")
     again = lambda few: banded(norms.join(few, "key", "left_semi").select("key", shingle_hashes(F.col("norm")).alias("h")), LONG_BANDS, LONG_ROWS).select("key", F.explode_outer("buckets").alias("bucket"))
@@ -115,7 +122,7 @@ def dropped_lines(docs: DataFrame, similarity: float = SIMILARITY, id_col: str =
     joined = nodes.select("node", "first", "n").join(comp, "node", "left").where("component IS NOT NULL OR n > 1")
     keep = joined.where("component IS NOT NULL").groupBy("component").agg(F.min("first").alias("keep"))
     copies = compact(joined.join(keep, "component", "left").select("node", F.coalesce("keep", "first").alias("keep")))
-    placed = lines.select("node", "doc_id", "mark", "line").join(copies, "node")
+    placed = lines_of(rows).select("node", "doc_id", "mark", "line").join(copies, "node")
     return placed.where(F.struct("doc_id", "mark", "line") != F.col("keep")).select("doc_id", "mark", "line", F.col("keep.doc_id").alias("keep_id"), F.col("keep.line").alias("keep_line"))
 
 
